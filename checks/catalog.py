@@ -1,7 +1,7 @@
 """Every registered query with the SQL that checks it.
 
 Queries take (spark, sf_dir) and read whole tables. Doubles are rounded to six
-decimals on both sides, since float sums depend on the order of rows.
+decimals on both sides (money to three), since float sums depend on row order.
 """
 
 from __future__ import annotations
@@ -51,18 +51,18 @@ def query(name: str, oracle: str | None = None, **local: str):
     return add
 
 
-def r6(df: DataFrame) -> DataFrame:
+def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to six decimals, without negative zero."""
     return df.select(*[
-        (F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def rnd(*columns: str) -> str:
+def rnd(*columns: str, digits: int = 6) -> str:
     """SQL select items rounded to six decimals: 'a', or 'expr AS a'."""
     out = []
     for c in columns:
         expr, _, name = c.rpartition(" AS ")
-        out.append(f"round(({expr or c})::DOUBLE, 6) + 0.0 AS {name or c}")
+        out.append(f"round(({expr or c})::DOUBLE, {digits}) + 0.0 AS {name or c}")
     return ", ".join(out)
 
 
@@ -76,38 +76,43 @@ def gpanel(spark, d):
     return retail.group_panel(spark, d)
 
 
+_CALENDARS: dict = {}
+
+
 def cal(spark, d):
-    return retail.calendar(spark, d)
+    """The tables' calendar; its two dates are read once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CALENDARS:
+        c = retail.calendar(spark, d)
+        _CALENDARS[key] = (c, C.week_window(c))
+    return _CALENDARS[key][0]
 
 
-def week_end(c):
-    """Scorecard week: twelve calendar weeks before the last."""
-    return C.week(C.history_start(c, C.week(C.last_week(c)), 12))
+def window(spark, d):
+    cal(spark, d)
+    return _CALENDARS[(spark.sparkContext.applicationId, d)][1]
 
 
 def history_calendar(spark, d):
-    c = cal(spark, d)
-    end = week_end(c)
-    return c.filter(F.col("yr_wk").between(C.week(C.history_start(c, end)), end))
+    w = window(spark, d)
+    return cal(spark, d).filter(F.col("yr_wk").between(w.start, w.end))
 
 
 def future_calendar(spark, d):
-    c = cal(spark, d)
-    end = week_end(c)
-    return c.filter(F.col("yr_wk").between(C.week(C.horizon_start(c, end)), C.week(C.horizon_end(c, end))))
+    w = window(spark, d)
+    return cal(spark, d).filter(F.col("yr_wk").between(w.forecast_start, w.forecast_end))
 
 
-def history_panel(spark, d):
-    c = cal(spark, d)
-    end = week_end(c)
-    return tables.scan_panel(gpanel(spark, d), C.week(C.history_start(c, end)), end)
+def history_panel(spark, d, source=None):
+    w = window(spark, d)
+    return tables.scan_panel(source if source is not None else gpanel(spark, d), w.start, w.end)
 
 
-def future_panel(spark, d):
+def future_panel(spark, d, source=None):
     """Planned weeks: promotions known, quantities withheld."""
-    c = cal(spark, d)
-    end = week_end(c)
-    rows = tables.scan_panel(gpanel(spark, d), C.week(C.horizon_start(c, end)), C.week(C.horizon_end(c, end)))
+    w = window(spark, d)
+    rows = tables.scan_panel(source if source is not None else gpanel(spark, d),
+                             w.forecast_start, w.forecast_end)
     return rows.withColumns({"qty": F.lit(0.0), "sales": F.lit(0.0)})
 
 
@@ -119,12 +124,12 @@ def hclean(spark, d, **kw):
     return M.clean_panel(rows, history_calendar(spark, d), **kw)
 
 
-def fclean(spark, d):
-    return M.clean_panel(K.round_depths(future_panel(spark, d)), future_calendar(spark, d))
+def fclean(spark, d, source=None):
+    return M.clean_panel(K.round_depths(future_panel(spark, d, source)), future_calendar(spark, d))
 
 
-def table(spark, d, params=PARAMS):
-    return M.model_table(history_panel(spark, d), history_calendar(spark, d),
+def table(spark, d, params=PARAMS, source=None):
+    return M.model_table(history_panel(spark, d, source), history_calendar(spark, d),
                          retail.pull_forward_edges(spark, d), params)
 
 
@@ -132,12 +137,23 @@ def full_lag_table(spark, d):
     return M.model_table(history_panel(spark, d), history_calendar(spark, d), None, PARAMS)
 
 
-def results(spark, d):
-    return B.baseline_results(table(spark, d))
+def results(spark, d, source=None):
+    return B.baseline_results(table(spark, d, source=source))
+
+
+def results_and_plan(spark, d):
+    """Results and forecast from one pass over the order lines.
+
+    Both read the weekly panel, and the forecast reads the results, so each is
+    computed once.
+    """
+    weekly = sink.shared(gpanel(spark, d))
+    r = sink.shared(results(spark, d, weekly))
+    return r, FC.forecast(r, fclean(spark, d, weekly))
 
 
 def planned(spark, d):
-    return FC.forecast(results(spark, d), fclean(spark, d))
+    return results_and_plan(spark, d)[1]
 
 
 def blocks(spark, d):
@@ -186,9 +202,8 @@ def _(spark, d):
 
 @query("future_targets", "SELECT DISTINCT group_code, dept FROM fpanel WHERE flyer_flag=1")
 def _(spark, d):
-    c = cal(spark, d)
-    end = week_end(c)
-    return tables.future_targets(gpanel(spark, d), C.week(C.horizon_start(c, end)), C.week(C.horizon_end(c, end)))
+    w = window(spark, d)
+    return tables.future_targets(gpanel(spark, d), w.forecast_start, w.forecast_end)
 
 
 @query("normalize_columns", "SELECT upc AS panel_upc, store AS st, yr_wk AS wm_week, units AS total_units FROM panel")
@@ -210,8 +225,7 @@ def _(spark, d):
   (SELECT w FROM wk_end) AS scorecard_wk FROM gpanel""")
 def _(spark, d):
     root = f"{sink.shared_dir(spark)}/frames"
-    c = cal(spark, d)
-    out = tables.stamp(gpanel(spark, d).select("dept", "group_code", "yr_wk", "qty", "sales"), week_end(c))
+    out = tables.stamp(gpanel(spark, d).select("dept", "group_code", "yr_wk", "qty", "sales"), window(spark, d).end)
     sink.write_frames({"panel": out}, root)
     return r6(spark.read.parquet(f"{root}/panel"))
 
@@ -232,7 +246,7 @@ def _(spark, d):
 @query("stamp", "SELECT dept, group_code, yr_wk, (SELECT w FROM wk_end) AS scorecard_wk, 1 AS is_forecast FROM fpanel")
 def _(spark, d):
     rows = future_panel(spark, d).select("dept", "group_code", "yr_wk")
-    return tables.stamp(rows, week_end(cal(spark, d)), is_forecast=1)
+    return tables.stamp(rows, window(spark, d).end, is_forecast=1)
 
 
 # --- calendar -------------------------------------------------------------------
@@ -244,28 +258,26 @@ def _(spark, d):
 
 @query("history_start", "SELECT w AS week_start FROM wk_start_")
 def _(spark, d):
-    c = cal(spark, d)
-    return C.history_start(c, week_end(c))
+    return C.history_start(cal(spark, d), window(spark, d).end)
 
 
 @query("horizon_end", """SELECT max(yr_wk) AS forecast_end FROM (SELECT yr_wk FROM cal
   WHERE yr_wk > (SELECT w FROM wk_end) ORDER BY yr_wk LIMIT 12)""")
 def _(spark, d):
-    c = cal(spark, d)
-    return C.horizon_end(c, week_end(c))
+    return C.horizon_end(cal(spark, d), window(spark, d).end)
 
 
 @query("horizon_start", "SELECT min(yr_wk) AS forecast_start FROM cal WHERE yr_wk > (SELECT w FROM wk_end)")
 def _(spark, d):
-    c = cal(spark, d)
-    return C.horizon_start(c, week_end(c))
+    return C.horizon_start(cal(spark, d), window(spark, d).end)
 
 
 @query("calendar_slice", """SELECT DISTINCT yr_wk, start_date, end_date FROM cal
   WHERE yr_wk BETWEEN (SELECT w FROM wk_start_) AND (SELECT w FROM wk_end)""")
 def _(spark, d):
+    # bounds as scalar columns, inside the plan
     c = cal(spark, d)
-    end = week_end(c)
+    end = C.week(C.history_start(c, C.week(C.last_week(c)), 12))
     return C.calendar_slice(c, C.week(C.history_start(c, end)), end)
 
 
@@ -395,7 +407,7 @@ def _(spark, d):
 @query("on_promo_in_week", """SELECT DISTINCT dept, group_code FROM gpanel WHERE yr_wk = (SELECT w FROM wk_end)
   AND greatest(flyer_flag, cpp_flag, digest_flag, digital_flag) > 0""")
 def _(spark, d):
-    return K.on_promo_in_week(gpanel(spark, d), week_end(cal(spark, d)))
+    return K.on_promo_in_week(gpanel(spark, d), window(spark, d).end)
 
 
 TWO_DEPTS = """SELECT * REPLACE (CASE WHEN yr_wk%2=0 AND regexp_extract(group_code,'(\\d+)$',1)::INTEGER%7=0
@@ -411,10 +423,11 @@ def _(spark, d):
 
 
 @query("skip_empty", """SELECT group_code, count(*) AS n FROM hclean WHERE group_code IN
-  (SELECT group_code FROM hclean GROUP BY 1 HAVING max(abs(digest_flag*tr_depth))>0) GROUP BY 1""")
+  (SELECT group_code FROM hclean GROUP BY 1 HAVING max(page_front*ar_depth*digest_flag*digital_flag)>0) GROUP BY 1""")
 def _(spark, d):
-    rows = hclean(spark, d).withColumn("both", F.col("digest_flag") * F.col("tr_depth"))
-    return X.skip_empty(rows, "both").groupBy("group_code").agg(F.count(F.lit(1)).alias("n"))
+    product = F.col("page_front") * F.col("ar_depth") * F.col("digest_flag") * F.col("digital_flag")
+    return X.skip_empty(hclean(spark, d).withColumn("rare", product), "rare").groupBy("group_code").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 # --- joins ------------------------------------------------------------------------------
@@ -478,12 +491,11 @@ INTEREST = """SELECT DISTINCT dept, group_code FROM (
 
 
 def interest(spark, d):
-    c = cal(spark, d)
-    end = week_end(c)
+    w = window(spark, d)
     g = gpanel(spark, d)
-    ahead = tables.future_targets(g, C.week(C.horizon_start(c, end)), C.week(C.horizon_end(c, end)))
+    ahead = tables.future_targets(g, w.forecast_start, w.forecast_end)
     return G.groups_of_interest(
-        K.on_promo_in_week(g, end), ahead,
+        K.on_promo_in_week(g, w.end), ahead,
         tables.scan_edges(retail.relation_edges(spark, d, "halo"), [1]),
         tables.scan_edges(retail.relation_edges(spark, d, "cann"), [2]))
 
@@ -493,7 +505,7 @@ def interest(spark, d):
          AND greatest(flyer_flag, cpp_flag, digest_flag, digital_flag)>0""")
 def _(spark, d):
     g = gpanel(spark, d)
-    return G.keep_groups(g, K.on_promo_in_week(g, week_end(cal(spark, d)))).select("group_code", "yr_wk", "qty")
+    return G.keep_groups(g, K.on_promo_in_week(g, window(spark, d).end)).select("group_code", "yr_wk", "qty")
 
 
 @query("last_regular_block", "SELECT upc, store, block_id, ref_block FROM eref")
@@ -628,10 +640,10 @@ EFFECT = " UNION ALL ".join(f"""SELECT dept, group_code, '{p}' AS promo,
 
 @query("promo_effectiveness", "SELECT dept, group_code, promo, weeks_on, weeks_off, " + rnd(
     "avg_lift", "qty_on", "qty_off", "sales_on", "sales_off",
-    "CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END AS roi")
+    "CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END AS roi", digits=3)
     + " FROM effect WHERE weeks_on>0 AND weeks_off>0", effect=EFFECT)
 def _(spark, d):
-    return r6(I.promo_effectiveness(results(spark, d)))
+    return r6(I.promo_effectiveness(results(spark, d)), 3)
 
 
 RECENT = """SELECT dept, group_code, avg(qty) AS recent_qty FROM
@@ -645,8 +657,7 @@ TREND = """SELECT dept, group_code, recent_qty, forecast_qty,
 @query("forecast_vs_recent", "SELECT dept, group_code, " + rnd("recent_qty", "forecast_qty", "pct_change")
        + " FROM trending", recent_=RECENT, trending=TREND)
 def _(spark, d):
-    r = results(spark, d)
-    return r6(I.forecast_vs_recent(r, FC.forecast(r, fclean(spark, d))))
+    return r6(I.forecast_vs_recent(*results_and_plan(spark, d)))
 
 
 LAG_CORR = """SELECT dept, group_code, lag, corr(resid, value) AS r FROM (
@@ -735,15 +746,13 @@ INSIGHT_CTES = dict(effect=EFFECT, best_=BEST, worst_=WORST, bestf=BESTF, recent
 @query("insights", "SELECT group_code, dept, insight_type, promo_type, metric, " + rnd("value")
        + ", recommendation FROM found", found=INSIGHT_SQL, **INSIGHT_CTES)
 def _(spark, d):
-    r = results(spark, d)
-    ahead = FC.forecast(r, fclean(spark, d)).withColumn("qty", F.round("qty", 6))
-    return r6(I.insights(r, ahead).drop("analysis"))
+    r, ahead = results_and_plan(spark, d)
+    return r6(I.insights(r, ahead.withColumn("qty", F.round("qty", 6))).drop("analysis"))
 
 
 @query("insight_texts")
 def _(spark, d):
-    r = results(spark, d)
-    return I.insights(r, FC.forecast(r, fclean(spark, d)))
+    return I.insights(*results_and_plan(spark, d))
 
 
 @query("scoreboard", """SELECT dept, sum(result)::BIGINT AS result_rows, count(DISTINCT group_code) FILTER (result>0) AS groups,
@@ -753,8 +762,7 @@ def _(spark, d):
     UNION ALL SELECT dept, group_code, 'i' FROM found) GROUP BY 1, 2) GROUP BY ROLLUP (dept)""",
        found=INSIGHT_SQL, **INSIGHT_CTES)
 def _(spark, d):
-    r = results(spark, d)
-    ahead = FC.forecast(r, fclean(spark, d))
+    r, ahead = results_and_plan(spark, d)
     return S.scoreboard(r, ahead, I.insights(r, ahead))
 
 
@@ -1133,11 +1141,11 @@ def _(spark, d):
 
 
 @query("promo_lift", "SELECT group_code, yr_wk, " + rnd(
-    "baseline_sales", "lift_sales", "lift_share", "qty AS total_qty", "sales AS total_sales", "modelled_qty", "fitted")
-    + " FROM results")
+    "baseline_sales", "lift_sales", "lift_share", "qty AS total_qty", "sales AS total_sales", "modelled_qty", "fitted",
+    digits=3) + " FROM results")
 def _(spark, d):
     return r6(results(spark, d).select("group_code", "yr_wk", "baseline_sales", "lift_sales", "lift_share",
-                                       "total_qty", "total_sales", "modelled_qty", "fitted"))
+                                       "total_qty", "total_sales", "modelled_qty", "fitted"), 3)
 
 
 @query("fit_log", "SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
@@ -1155,10 +1163,10 @@ def _(spark, d):
     "baseline_qty", "qty", "regular_price", "qty*regular_price AS sales", "baseline_qty*regular_price AS baseline_sales",
     "qty*regular_price-baseline_qty*regular_price AS lift_sales",
     """CASE WHEN baseline_qty*regular_price>0 THEN (qty*regular_price-baseline_qty*regular_price)
-      /(baseline_qty*regular_price) ELSE 0 END AS lift_share""") + ", 1 AS is_forecast FROM ahead")
+      /(baseline_qty*regular_price) ELSE 0 END AS lift_share""", digits=3) + ", 1 AS is_forecast FROM ahead")
 def _(spark, d):
     return r6(planned(spark, d).select("dept", "group_code", "yr_wk", "baseline_qty", "qty", "regular_price", "sales",
-                                       "baseline_sales", "lift_sales", "lift_share", "is_forecast"))
+                                       "baseline_sales", "lift_sales", "lift_share", "is_forecast"), 3)
 
 
 # Least squares on slots and promotions by successive projection: demean within the
@@ -1207,14 +1215,14 @@ def _(spark, d):
 
 @query("trendless_levels")
 def _(spark, d):
-    rows = table(spark, d)
+    rows = sink.shared(table(spark, d))
     kept = LV.trendless_levels(rows, LV.level_shifts(rows))
     return kept.select("group_code", F.explode_outer("breaks").alias("break_after"))
 
 
 @query("level_trend")
 def _(spark, d):
-    rows = table(spark, d)
+    rows = sink.shared(table(spark, d))
     return r6(LV.level_trend(rows, LV.level_shifts(rows)))
 
 
@@ -1240,7 +1248,7 @@ def _(spark, d):
 
 @query("lag_contributions")
 def _(spark, d):
-    t = table(spark, d)
+    t = sink.shared(table(spark, d))
     return r6(RG.lag_contributions(t, RG.promo_regression(t)))
 
 
@@ -1252,5 +1260,6 @@ def _(spark, d):
 for _kind in ("cann", "halo"):
     @query(f"relation_coefficients_{_kind}")
     def _(spark, d, kind=_kind):
-        f = X.cross_features(hclean(spark, d), retail.relation_edges(spark, d, kind), kind)
-        return r6(RG.relation_coefficients(table(spark, d), f))
+        weekly = sink.shared(table(spark, d))
+        f = X.cross_features(weekly, retail.relation_edges(spark, d, kind), kind)
+        return r6(RG.relation_coefficients(weekly, f))

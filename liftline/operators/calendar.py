@@ -1,12 +1,15 @@
 """Calendar operators.
 
-Each returns one row with one week; `week()` turns that into a scalar column, so
-bounds stay inside the plan and no job runs on the driver to find them. The
-calendar has one row per week, which bounds every sort and array built from it.
+Each returns one row with one week. `week()` turns that into a scalar column that
+stays inside the plan; `week_window()` fetches the four bounds of a run as ints, so
+that they reach the scans as literals. The calendar has one row per week, which
+bounds every sort and array built from it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,33 @@ def horizon_start(cal: DataFrame, end) -> DataFrame:
     return cal.filter(F.col(WEEK) > end).agg(F.min(WEEK).alias("forecast_start"))
 
 
+@dataclass(frozen=True)
+class WeekWindow:
+    """First and last week of history and of the horizon."""
+
+    start: int
+    end: int
+    forecast_start: int
+    forecast_end: int
+
+
+def week_window(cal: DataFrame, end: int | None = None, history: int = HISTORY_WEEKS,
+                horizon: int = HORIZON_WEEKS) -> WeekWindow:
+    """The bounds of a run whose last historical week is `end`.
+
+    Without `end` the horizon takes the calendar's last weeks. One job on the
+    calendar, returning one row of ints.
+    """
+    if end is None:
+        last = last_week(cal).first()[0]
+        end = history_start(cal, last, horizon).first()[0]
+    row = history_start(cal, end, history).select(
+        "week_start",
+        week(horizon_start(cal, end)).alias("forecast_start"),
+        week(horizon_end(cal, end, horizon)).alias("forecast_end")).first()
+    return WeekWindow(row[0], end, row[1], row[2])
+
+
 def calendar_slice(cal: DataFrame, lo, hi) -> DataFrame:
     return cal.filter(F.col(WEEK).between(lo, hi)).select(WEEK, "start_date", "end_date").distinct()
 

@@ -56,10 +56,16 @@ def design(pdf: pd.DataFrame, terms: list[str], slot: str | None) -> tuple[np.nd
 
 
 def ols_residuals(df: DataFrame, y: str, terms: Iterable[str], keys: Iterable[str],
-                  order: str, slot: str | None = None, out: str = "residual") -> DataFrame:
-    """Rows (keys, order, fitted, residual) of the per-group fit of y."""
+                  order: str, slot: str | None = None, out: str = "residual",
+                  carry: Iterable[str] = ()) -> DataFrame:
+    """Rows (keys, order, carry, fitted, residual) of the per-group fit of y.
+
+    `carry` names columns to pass through, so that the result need not be joined
+    back to its own input.
+    """
     terms, keys = list(terms), list(keys)
-    fields = [df.schema[k] for k in keys] + [df.schema[order]]
+    kept = [*keys, order, *carry]
+    fields = [df.schema[c] for c in kept]
     schema = T.StructType(fields + [T.StructField("fitted", T.DoubleType()),
                                     T.StructField(out, T.DoubleType())])
 
@@ -69,9 +75,9 @@ def ols_residuals(df: DataFrame, y: str, terms: Iterable[str], keys: Iterable[st
         target = pdf[y].to_numpy(float)
         beta = np.linalg.lstsq(x, target, rcond=None)[0]
         fitted = x @ beta
-        return pdf[keys + [order]].assign(**{"fitted": fitted, out: target - fitted})
+        return pdf[kept].assign(**{"fitted": fitted, out: target - fitted})
 
-    needed = keys + [order, y] + terms + ([slot] if slot else [])
+    needed = list(dict.fromkeys([*kept, y, *terms, *([slot] if slot else [])]))
     return df.select(*needed).groupBy(*keys).applyInPandas(solve, schema)
 
 

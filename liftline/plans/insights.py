@@ -73,13 +73,14 @@ def _unfold(agg: DataFrame, rows: list[Column]) -> DataFrame:
     return agg.select(GROUP, "dept", F.inline(present)).select(GROUP, "dept", *FIELDS)
 
 
-def history_insights(history: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
-    """Promo effectiveness, best and worst week of every group, from one aggregate."""
-    promos = list(promos)
+def _history_aggregate(history: DataFrame, promos: list[str]) -> DataFrame:
+    """Everything the insights need from the past, one row per group."""
     week = F.struct(F.col(WEEK).alias("wk"), F.col("qty").alias("qty"), active_promos(promos).alias("active"))
+    latest = Window.partitionBy(GROUP).orderBy(F.col(WEEK).desc())
     aggs = [
         F.max_by(week, F.struct(F.col("qty"), -F.col(WEEK))).alias("best"),
         F.min_by(week, F.when(F.col("qty") > 0, F.struct(F.col("qty"), F.col(WEEK)))).alias("worst"),
+        F.avg(F.when(F.col("rn") <= RECENT_WEEKS, F.col("qty"))).alias("recent_qty"),
     ]
     for p in promos:
         on, off = F.col(p) > 0, F.col(p) == 0
@@ -87,7 +88,10 @@ def history_insights(history: DataFrame, promos: Iterable[str] = PROMOS) -> Data
                  F.avg(F.when(on, F.col("lift_share"))).alias(f"{p}_lift"),
                  F.avg(F.when(on, F.col("sales"))).alias(f"{p}_on"),
                  F.avg(F.when(off, F.col("sales"))).alias(f"{p}_off")]
-    agg = history.groupBy(GROUP, "dept").agg(*aggs)
+    return history.withColumn("rn", F.row_number().over(latest)).groupBy(GROUP, "dept").agg(*aggs)
+
+
+def _history_rows(promos: list[str]) -> list[Column]:
     rows = []
     for p in promos:
         lift = F.coalesce(F.col(f"{p}_lift"), F.lit(0.0))
@@ -107,35 +111,42 @@ def history_insights(history: DataFrame, promos: Iterable[str] = PROMOS) -> Data
             F.concat(F.lit(f"{label} week was "), w["wk"].cast("string"), F.lit(" with "),
                      units_text(w["qty"]), F.lit(" units")),
             F.concat(F.lit(advice), w["active"]), w.isNotNull()))
-    return _unfold(agg, rows)
+    return rows
 
 
-def forecast_insights(history: DataFrame, planned: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
-    """Forecast trend and best forecast week of every group that has a forecast."""
-    trend = forecast_vs_recent(history, planned)
-    week = F.struct(F.col(WEEK).alias("wk"), F.col("qty").alias("qty"))
-    best = planned.groupBy(GROUP).agg(
-        F.max_by(week, F.struct(F.col("qty"), -F.col(WEEK))).alias("best"))
-    change = F.col("pct_change")
-    direction = F.when(F.col("forecast_qty") > F.col("recent_qty"), "up").otherwise("down")
-    b = F.col("best")
-    return _unfold(trend.join(best, GROUP), [
+def _forecast_rows() -> list[Column]:
+    b = F.col("ahead")
+    recent, ahead = F.col("recent_qty"), F.col("forecast_qty")
+    change = F.when(recent > 0, (ahead - recent) / recent).otherwise(0.0)
+    return [
         _insight(
             "FORECAST_TREND", "ALL", "QTY", change,
-            F.concat(F.lit("Forecast trending "), direction, F.lit(" by "), percent_text(F.abs(change)),
-                     F.lit(" vs. recent average")),
+            F.concat(F.lit("Forecast trending "), F.when(ahead > recent, "up").otherwise("down"),
+                     F.lit(" by "), percent_text(F.abs(change)), F.lit(" vs. recent average")),
             F.when(change < 0, "Review promotion strategy").otherwise("Continue current promotion strategy"),
-            F.lit(True)),
+            ahead.isNotNull()),
         _insight(
             "FORECAST_BEST_WEEK", "ALL", "QTY", b["qty"],
             F.concat(F.lit("Best forecast week is "), b["wk"].cast("string"), F.lit(" with projected "),
                      units_text(b["qty"]), F.lit(" units")),
             F.concat(F.lit("Ensure inventory is sufficient for peak at week "), b["wk"].cast("string")),
             b.isNotNull()),
-    ])
+    ]
 
 
-def insights(history: DataFrame, planned: DataFrame | None = None) -> DataFrame:
-    """All insight rows; groups without a forecast still get the historical ones."""
-    past = history_insights(history)
-    return past if planned is None else past.unionByName(forecast_insights(history, planned))
+def insights(history: DataFrame, planned: DataFrame | None = None,
+             promos: Iterable[str] = PROMOS) -> DataFrame:
+    """All insight rows: promo effectiveness, best and worst week, forecast trend and peak.
+
+    One aggregate over the past, one over the forecast. Groups without a
+    forecast still get the historical insights.
+    """
+    promos = list(promos)
+    agg = _history_aggregate(history, promos)
+    if planned is None:
+        return _unfold(agg, _history_rows(promos))
+    week = F.struct(F.col(WEEK).alias("wk"), F.col("qty").alias("qty"))
+    ahead = planned.groupBy(GROUP).agg(
+        F.avg("qty").alias("forecast_qty"),
+        F.max_by(week, F.struct(F.col("qty"), -F.col(WEEK))).alias("ahead"))
+    return _unfold(agg.join(ahead, GROUP, "left"), _history_rows(promos) + _forecast_rows())

@@ -48,10 +48,10 @@ def negative_lags(correlations: DataFrame,
 
 
 def promo_residuals(table: DataFrame, holidays: Iterable[str] = ()) -> DataFrame:
-    """Table rows with the residual of the detrended quantity on promos, slots and holidays."""
-    rows = detrended_quantity(table)
-    fit = ols_residuals(rows, "above_trend", [*PROMOTIONS, *holidays], ["dept", GROUP], WEEK, slot="slot")
-    return rows.join(fit.drop("fitted"), ["dept", GROUP, WEEK])
+    """Lags with the residual of the detrended quantity on promos, slots and holidays."""
+    lags = [c for c in table.columns if "_lag_" in c]
+    return ols_residuals(detrended_quantity(table), "above_trend", [*PROMOTIONS, *holidays],
+                         ["dept", GROUP], WEEK, slot="slot", carry=lags).drop("fitted")
 
 
 def pull_forward(table: DataFrame, holidays: Iterable[str] = (),

@@ -17,6 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else tempfile.mkdtemp(prefix="liftline-")
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Compute a frame once for several branches of a job.
+
+    Written to the shared checkpoint folder, so it outlives the executors that
+    made it; it keeps the frame's partitioning.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def write_frame(df: DataFrame, path: str, partition_by: Iterable[str] = ("dept", "scorecard_wk"),
                 file_format: str = "parquet") -> None:
     """Overwrite the partitions present in the frame, parquet by default.
