@@ -640,10 +640,10 @@ EFFECT = " UNION ALL ".join(f"""SELECT dept, group_code, '{p}' AS promo,
 
 @query("promo_effectiveness", "SELECT dept, group_code, promo, weeks_on, weeks_off, " + rnd(
     "avg_lift", "qty_on", "qty_off", "sales_on", "sales_off",
-    "CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END AS roi", digits=3)
+    "CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END AS roi", digits=4)
     + " FROM effect WHERE weeks_on>0 AND weeks_off>0", effect=EFFECT)
 def _(spark, d):
-    return r6(I.promo_effectiveness(results(spark, d)), 3)
+    return r6(I.promo_effectiveness(results(spark, d)), 4)
 
 
 RECENT = """SELECT dept, group_code, avg(qty) AS recent_qty FROM
@@ -1142,10 +1142,10 @@ def _(spark, d):
 
 @query("promo_lift", "SELECT group_code, yr_wk, " + rnd(
     "baseline_sales", "lift_sales", "lift_share", "qty AS total_qty", "sales AS total_sales", "modelled_qty", "fitted",
-    digits=3) + " FROM results")
+    digits=4) + " FROM results")
 def _(spark, d):
     return r6(results(spark, d).select("group_code", "yr_wk", "baseline_sales", "lift_sales", "lift_share",
-                                       "total_qty", "total_sales", "modelled_qty", "fitted"), 3)
+                                       "total_qty", "total_sales", "modelled_qty", "fitted"), 4)
 
 
 @query("fit_log", "SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
