@@ -457,7 +457,7 @@ def _cross_sql(kind: str) -> str:
 for _kind in ("cann", "halo"):
     @query(f"add_{_kind}_features", _cross_sql(_kind))
     def _(spark, d, kind=_kind):
-        f = X.cross_features(hclean(spark, d), retail.relation_edges(spark, d, kind), kind)
+        f = X.cross_features(sink.shared(hclean(spark, d)), retail.relation_edges(spark, d, kind), kind)
         return f.select("target_group", "yr_wk", "feature", "value")
 
 
@@ -467,7 +467,7 @@ for _kind in ("cann", "halo"):
   max(value) FILTER (feature='Brand#20_digest_flag_CANN_PROMO') AS "Brand#20_digest_flag_CANN_PROMO"
   FROM crossed WHERE target_group='Brand#25' GROUP BY 1, 2""", crossed=_cross_sql("cann"))
 def _(spark, d):
-    f = X.cross_features(hclean(spark, d), retail.relation_edges(spark, d, "cann"), "cann")
+    f = X.cross_features(sink.shared(hclean(spark, d)), retail.relation_edges(spark, d, "cann"), "cann")
     return X.feature_matrix(f, "Brand#25", [
         f"Brand#20_{p}_CANN_PROMO" for p in ("cpp_flag", "tr_depth", "digest_flag")])
 
@@ -1263,3 +1263,17 @@ for _kind in ("cann", "halo"):
         weekly = sink.shared(table(spark, d))
         f = X.cross_features(weekly, retail.relation_edges(spark, d, kind), kind)
         return r6(RG.relation_coefficients(weekly, f))
+
+
+@query("wide_relation_coefficients")
+def _(spark, d):
+    weekly = sink.shared(table(spark, d))
+    edges = retail.relation_edges(spark, d, "cann")
+    f = X.cross_features(weekly, edges, "cann")
+    return r6(RG.wide_relation_coefficients(RG.relation_coefficients(weekly, f), edges))
+
+
+@query("model_results")
+def _(spark, d):
+    weekly = sink.shared(table(spark, d))
+    return r6(RG.model_results(B.baseline_results(weekly), RG.promo_regression(weekly)))

@@ -139,27 +139,41 @@ def single_dept_groups(panel: DataFrame) -> DataFrame:
             .filter(F.col("lo") == F.col("hi")).select(GROUP))
 
 
+# --- fixed value: edges of one focus group that a task may hold ---
+EDGES_PER_TASK = 10_000
+
+
 def cross_features(panel: DataFrame, edges: DataFrame, kind: str,
-                   promotions: Iterable[str] = PROMOTIONS) -> DataFrame:
+                   promotions: Iterable[str] = PROMOTIONS,
+                   edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """Promo columns of each focus group on its target group's weeks, long.
 
-    Rows (target_group, yr_wk, feature, value); `feature` is
+    Rows (target_group, yr_wk, focus_group, promo, feature, value); `feature` is
     <focus>_<promo>_<KIND>_PROMO. The panel joins the edges on the focus group
-    before the promo list is exploded, so wide rows are shuffled once. For halo
-    edges, focus groups found in several departments are left out.
+    before the promo list is exploded, so wide rows are shuffled once. A focus
+    group with very many edges is split by target over several tasks, its few
+    panel rows repeated for each. For halo edges, focus groups found in several
+    departments are left out.
     """
     promotions = list(promotions)
     if dict(edges.dtypes)["promos"] == "string":
         edges = edges.withColumn("promos", parse_quoted_list(F.col("promos")))
-    pairs = edges.select(F.col("focus_group").alias(GROUP), "target_group", "promos")
+    targets = panel.select(F.col(GROUP).alias("target_group")).distinct()
+    pairs = edges.select(F.col("focus_group").alias(GROUP), "target_group", "promos").join(
+        targets, "target_group", "left_semi")
     focus = panel.select("dept", GROUP, WEEK, *promotions)
     if kind == "halo":
         focus = focus.join(single_dept_groups(panel), GROUP, "left_semi")
-    targets = panel.select(F.col(GROUP).alias("target_group")).distinct()
+    # parts per focus group: 1 for all but the crowded ones
+    parts = pairs.groupBy(GROUP).agg(
+        F.ceil(F.count(F.lit(1)) / edges_per_task).cast("int").alias("parts"))
+    pairs = pairs.join(parts, GROUP).withColumn("part", F.pmod(F.hash("target_group"), F.col("parts")))
+    focus = focus.join(parts, GROUP).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     value = F.coalesce(*[F.when(F.col("promo") == p, F.col(p).cast("double")) for p in promotions],
                        F.lit(0.0))
     return (
-        focus.join(pairs.join(targets, "target_group", "left_semi"), GROUP)
+        focus.drop("parts").join(pairs.drop("parts"), [GROUP, "part"])
         .withColumn("promo", F.explode("promos"))
         .filter(F.col("promo").isin(promotions))
         .select(

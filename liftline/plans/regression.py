@@ -8,15 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import lags_long
-from ..operators.regression import independent_columns, ols_coefficients
-from ..params import GROUP, LAG_COLUMNS, PROMOTIONS, WEEK
-from ..schema import RELATION_COEFFICIENTS
+from ..operators.regression import ols_coefficients
+from ..params import GROUP, LAG_COLUMNS, PROMOTIONS, SLOTS, WEEK
 
 SIGNIFICANT_T = 2.0
 CLASSES = ("Positive_Significant", "Negative_Significant", "Positive_Insignificant",
@@ -55,29 +52,47 @@ def wide_coefficients(coefficients: DataFrame, terms: Iterable[str]) -> DataFram
     return wide.select("dept", GROUP, *[F.col(t).alias(f"{t}_coef") for t in terms])
 
 
+def model_results(results: DataFrame, coefficients: DataFrame, holidays: Iterable[str] = ()) -> DataFrame:
+    """Wide result frame: measures, every coefficient, and the contribution of every lag.
+
+    One row per group and week; terms the group's fit left out are 0. The
+    coefficients are pivoted over a fixed list of names.
+    """
+    lags = list(LAG_COLUMNS)
+    terms = [*PROMOTIONS, *[f"week_{i}" for i in range(1, SLOTS + 1)], *holidays, *lags, "intercept"]
+    wide = wide_coefficients(coefficients, terms)
+    measures = ["dept", GROUP, WEEK, "qty", "modelled_qty", "baseline_qty", "total_qty", "baseline_sales",
+                "total_sales", "lift_sales", "lift_share", "trend", "regular_price", "region", "fitted"]
+    filled = [F.coalesce(f"{t}_coef", F.lit(0.0)).alias(f"{t}_coef") for t in terms]
+    shares = [(F.coalesce(f"{c}_coef", F.lit(0.0)) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+              .alias(f"{c}_contri") for c in lags]
+    return results.join(wide, ["dept", GROUP]).select(*measures, *filled, *shares)
+
+
 def relation_coefficients(table: DataFrame, features: DataFrame,
                           measure: str = "modelled_qty") -> DataFrame:
-    """Effect of each focus promotion on its target group.
+    """Effect of each focus promotion on its target group, edge by edge.
 
-    Least squares of the target's detrended quantity on its cross features; one
-    task holds one target: weeks x features.
+    Least squares of the target's detrended quantity on the promotions of one
+    focus group. A task holds one edge, weeks x promotions, however many edges a
+    target has.
     """
     base = table.select(F.col(GROUP).alias("target_group"), WEEK,
                         (F.col(measure) - F.col("trend")).alias("y"))
-    rows = features.join(base, ["target_group", WEEK]).select(
-        "target_group", WEEK, "focus_group", "promo", "value", "y")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=WEEK, columns=["focus_group", "promo"], values="value",
-                               aggfunc="first", fill_value=0.0)
-        y = pdf.drop_duplicates(WEEK).set_index(WEEK)["y"].reindex(wide.index).to_numpy(float)
-        x = np.column_stack([np.ones(len(wide)), wide.to_numpy(float)])
-        keep = independent_columns(x)
-        beta = np.linalg.lstsq(x[:, keep], y, rcond=None)[0]
-        names = [wide.columns[k - 1] for k in keep if k > 0]
-        coef = [b for k, b in zip(keep, beta) if k > 0]
-        return pd.DataFrame({
-            "target_group": pdf["target_group"].iloc[0], "focus_group": [f for f, _ in names],
-            "promo": [p for _, p in names], "coef": coef})
-
-    return rows.groupBy("target_group").applyInPandas(solve, RELATION_COEFFICIENTS)
+    rows = features.join(base, ["target_group", WEEK]).groupBy("target_group", "focus_group", WEEK).agg(
+        F.first("y").alias("y"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("promo", "value"))))
+        .alias("strength"))
+    wide = rows.select("target_group", "focus_group", WEEK, "y", *[
+        F.coalesce(F.element_at("strength", p), F.lit(0.0)).alias(p) for p in PROMOTIONS])
+    fit = ols_coefficients(wide, "y", PROMOTIONS, ["target_group", "focus_group"], WEEK)
+    return fit.filter(F.col("term") != "intercept").select(
+        "target_group", "focus_group", F.col("term").alias("promo"), "coef")
+
+
+def wide_relation_coefficients(coefficients: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per edge: a <promo>_focus_coef column per promotion, and the focus department."""
+    wide = coefficients.groupBy("target_group", "focus_group").pivot("promo", list(PROMOTIONS)).agg(F.first("coef"))
+    depts = edges.select("target_group", "focus_group", "focus_dept").distinct()
+    return wide.join(depts, ["target_group", "focus_group"]).select(
+        F.col("target_group").alias(GROUP), "focus_group", "focus_dept",
+        *[F.col(p).alias(f"{p}_focus_coef") for p in PROMOTIONS])

@@ -58,25 +58,27 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: weekly integer sums over the order lines of a series
+FACTS = {
+    "n": "count(1)",
+    "qty": "sum(qty)",
+    "cents": "sum(cents)",
+    "net": "sum(cents * (100 - pct))",
+    "pct": "sum(pct)",
+    "kept_n": "count_if(rf <> 'R')",
+    "kept_qty": "sum(if(rf <> 'R', qty, 0L))",
+    "kept_net": "sum(if(rf <> 'R', cents * (100 - pct), 0L))",
+    "qty_a": "sum(if(rf = 'A', qty, 0L))",
+    "qty_n": "sum(if(rf = 'N', qty, 0L))",
+    "qty_r": "sum(if(rf = 'R', qty, 0L))",
+    "qty_f": "sum(if(ls = 'F', qty, 0L))",
+    "qty_o": "sum(if(ls = 'O', qty, 0L))",
+}
+
+
 def _facts(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Integer sums per series and week; partial aggregation before the shuffle."""
-    def total(value: Column, when: Column | None = None) -> Column:
-        return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0)).cast("bigint")
-
-    net = F.col("cents") * (100 - F.col("pct"))
-    kept = F.col("rf") != "R"
-    facts = lines.groupBy(*keys, "wk_start").agg(
-        F.count(F.lit(1)).alias("n"),
-        total(F.col("qty")).alias("qty"),
-        total(F.col("cents")).alias("cents"),
-        total(net).alias("net"),
-        total(F.col("pct")).alias("pct"),
-        total(F.lit(1), kept).alias("kept_n"),
-        total(F.col("qty"), kept).alias("kept_qty"),
-        total(net, kept).alias("kept_net"),
-        *[total(F.col("qty"), F.col("rf") == f).alias(f"qty_{f.lower()}") for f in "ANR"],
-        *[total(F.col("qty"), F.col("ls") == f).alias(f"qty_{f.lower()}") for f in "FO"],
-    )
+    facts = lines.groupBy(*keys, "wk_start").agg(*[F.expr(f"{e} AS {n}") for n, e in FACTS.items()])
     # one shuffle of the small weekly rows; every later window on the series reuses it
     facts = facts.repartition(*keys)
     quarter = Window.partitionBy(*keys, F.year("wk_start"), F.quarter("wk_start"))
@@ -105,22 +107,20 @@ def series_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    facts = _facts(lines, SERIES)
-    n, pct = F.col("n"), F.col("pct")
-    retail = half_up(F.col("regular_cents") * (100 * n - pct), 100 * n)
-    return facts.select(
+    # net_units and net_sales are net of returned lines and may be negative
+    return _facts(lines, SERIES).withColumn(
+        "retail_cents", half_up(F.expr("regular_cents * (100 * n - pct)"), F.expr("100 * n"))
+    ).selectExpr(
         *SERIES, WEEK,
-        (F.col("regular_cents") / 100.0).alias("regular_price"),
-        F.when(F.col("kept_n") > 0, retail / 100.0).alias("retail_price"),
-        F.col("qty").cast("double").alias("units"),
-        (F.col("net") / 10000.0).alias("sales"),
-        (pct > 5 * n).cast("int").alias("instore_promo"),
-        (F.col("qty_r") > F.col("qty_a")).cast("int").alias("flyer"),
-        F.when(F.col("qty_f") != F.col("qty_o"),
-               (F.col("qty_f") > F.col("qty_o")).cast("int")).alias("cpp"),
-        # net of returned lines: may be negative
-        (2 * F.col("kept_qty") - F.col("qty")).cast("double").alias("net_units"),
-        ((2 * F.col("kept_net") - F.col("net")) / 10000.0).alias("net_sales"),
+        "regular_cents / 100D AS regular_price",
+        "if(kept_n > 0, retail_cents / 100D, NULL) AS retail_price",
+        "double(qty) AS units",
+        "net / 10000D AS sales",
+        "int(pct > 5 * n) AS instore_promo",
+        "int(qty_r > qty_a) AS flyer",
+        "if(qty_f <> qty_o, int(qty_f > qty_o), NULL) AS cpp",
+        "double(2 * kept_qty - qty) AS net_units",
+        "(2 * kept_net - net) / 10000D AS net_sales",
     )
 
 
@@ -136,32 +136,27 @@ def group_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group panel: one row per product group x week with sales."""
     parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(GROUP))
     lines = _lines(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    facts = _facts(lines, (GROUP,))
-    n, pct, qty = F.col("n"), F.col("pct"), F.col("qty")
-    a, nn, r = F.col("qty_a"), F.col("qty_n"), F.col("qty_r")
-    promo = pct > 5 * n
-    depth = pct / n.cast("double")
-
-    def flag(condition: Column) -> Column:
-        return F.when(promo & condition, 1).otherwise(0)
-
-    return facts.select(
-        dept_of(F.col(GROUP)).alias("dept"), GROUP, WEEK,
-        qty.cast("double").alias("qty"),
-        (F.col("net") / 10000.0).alias("sales"),
-        F.when(promo & (a >= nn) & (a >= r), depth).otherwise(0.0).alias("pa_depth"),
-        F.when(promo & (nn > a) & (nn >= r), depth).otherwise(0.0).alias("ar_depth"),
-        F.when(promo & (r > a) & (r > nn), depth).otherwise(0.0).alias("tr_depth"),
-        F.when(promo & (qty % 4 == 0), "FRONT").when(promo & (qty % 4 == 1), "BACK")
-        .when(promo & (qty % 4 == 2), "INSIDE").alias("page_location"),
-        flag(r > a).alias("flyer_flag"),
-        flag(F.col("qty_f") > F.col("qty_o")).alias("cpp_flag"),
-        flag(qty % 3 == 0).alias("digital_flag"),
-        flag(n % 5 == 0).alias("digest_flag"),
-        (F.col("regular_cents") / 100.0).alias("regular_price"),
-        F.coalesce(half_up(F.col("kept_net"), 100 * F.col("kept_qty")) / 100.0, F.lit(0.0)).alias("live_price"),
-        # lines sold less lines returned: may be negative
-        (2 * F.col("kept_n") - n).cast("double").alias("transactions"),
+    # a promotion week has a mean discount above 5 %; transactions are net of returns
+    facts = _facts(lines, (GROUP,)).withColumns({
+        "dept": dept_of(F.col(GROUP)),
+        "promo": F.expr("pct > 5 * n"),
+        "live_cents": half_up(F.expr("kept_net"), F.expr("100 * kept_qty")),
+    })
+    return facts.selectExpr(
+        "dept", GROUP, WEEK,
+        "double(qty) AS qty",
+        "net / 10000D AS sales",
+        "if(promo AND qty_a >= qty_n AND qty_a >= qty_r, pct / double(n), 0D) AS pa_depth",
+        "if(promo AND qty_n > qty_a AND qty_n >= qty_r, pct / double(n), 0D) AS ar_depth",
+        "if(promo AND qty_r > qty_a AND qty_r > qty_n, pct / double(n), 0D) AS tr_depth",
+        "if(promo, element_at(array('FRONT', 'BACK', 'INSIDE', NULL), int(qty % 4) + 1), NULL) AS page_location",
+        "int(promo AND qty_r > qty_a) AS flyer_flag",
+        "int(promo AND qty_f > qty_o) AS cpp_flag",
+        "int(promo AND qty % 3 = 0) AS digital_flag",
+        "int(promo AND n % 5 = 0) AS digest_flag",
+        "regular_cents / 100D AS regular_price",
+        "coalesce(live_cents / 100D, 0D) AS live_price",
+        "double(2 * kept_n - n) AS transactions",
     )
 
 

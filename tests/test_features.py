@@ -87,6 +87,17 @@ def test_cross_features(spark, group_rows):
     assert {r["focus_group"] for r in X.cross_features(panel, edges, "halo").collect()} == {"A"}
 
 
+def test_crowded_focus_group_is_split_without_loss(spark, group_rows):
+    panel = K.one_hot_page(group_rows(
+        [dict(group_code="A", yr_wk=w, cpp_flag=w % 2) for w in (1, 2, 3)]
+        + [dict(group_code=f"T{i}") for i in range(40)]))
+    edges = spark.createDataFrame([("A", f"T{i}", "'cpp_flag'") for i in range(40)],
+                                  "focus_group string, target_group string, promos string")
+    whole = X.cross_features(panel, edges, "cann")
+    split = X.cross_features(panel, edges, "cann", edges_per_task=3)
+    assert sorted(whole.collect()) == sorted(split.collect()) and split.count() == 120
+
+
 def test_page_columns(group_rows):
     rows = group_rows([dict(page_location=p, yr_wk=w) for w, p in enumerate(["FRONT", "BACK", None], 1)])
     once = K.one_hot_page(rows)

@@ -177,6 +177,30 @@ def test_relation_coefficients(spark, modelled):
     assert (got["cpp_flag"], got["digital_flag"]) == pytest.approx((want[1], want[2]))
 
 
+def test_wide_results(spark, modelled):
+    rows = B.baseline_results(modelled)
+    coef = RG.promo_regression(modelled).persist()
+    wide = RG.model_results(rows, coef)
+    assert wide.count() == modelled.count()
+    assert len(wide.columns) == 15 + 9 + 52 + 36 + 36 + 1
+    lag = coef.filter("term = 'cpp_flag_lag_1' AND group_code = 'A'").first()["coef"]
+    for r in wide.filter("group_code = 'A'").join(
+            modelled.select("group_code", "yr_wk", "cpp_flag_lag_1"), ["group_code", "yr_wk"]).take(5):
+        assert r["cpp_flag_lag_1_contri"] == pytest.approx(lag * r["cpp_flag_lag_1"])
+    edges = spark.createDataFrame([("A", "B", 1, "'cpp_flag', 'digital_flag'")],
+                                  "focus_group string, target_group string, focus_dept int, promos string")
+    one = RG.wide_relation_coefficients(
+        RG.relation_coefficients(modelled, X.cross_features(modelled, edges, "cann")), edges).first()
+    assert one["cpp_flag_focus_coef"] is not None and one["pa_depth_focus_coef"] is None
+
+
+def test_holiday_terms(modelled):
+    rows = modelled.withColumn("new_years", (F.col("slot") == 3).cast("int"))
+    terms = RG.promo_regression(rows.drop("slot").withColumn("slot", F.lit(None).cast("int")), ["new_years"])
+    assert terms.filter("term = 'new_years'").count() == 2
+    assert P.promo_residuals(rows, ["new_years"]).count() == rows.count()
+
+
 def test_baseline_and_fit(modelled):
     rows = B.baseline_results(modelled)
     r = rows.first()
