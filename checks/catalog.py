@@ -750,9 +750,30 @@ def _(spark, d):
     return r6(I.insights(r, ahead.withColumn("qty", F.round("qty", 6))).drop("analysis"))
 
 
-@query("insight_texts")
+def _pct(x: str) -> str:
+    return f"printf('%.1f%%', round(100*({x}), 1))"
+
+
+TEXT_SQL = f"""
+SELECT group_code, dept, 'PROMO_EFFECTIVENESS' AS insight_type, promo AS promo_type,
+  'Avg sales lift of ' || {_pct('avg_lift')} || ' when ' || promo || ' is active' AS analysis
+  FROM effect WHERE weeks_on>0 AND weeks_off>0
+UNION ALL SELECT group_code, dept, 'BEST_WEEK', 'ALL',
+  'Best week was ' || yr_wk || ' with ' || printf('%.0f', round(qty)) || ' units' FROM best_
+UNION ALL SELECT group_code, dept, 'WORST_WEEK', 'ALL',
+  'Worst week was ' || yr_wk || ' with ' || printf('%.0f', round(qty)) || ' units' FROM worst_
+UNION ALL SELECT group_code, dept, 'FORECAST_TREND', 'ALL', 'Forecast trending ' ||
+  CASE WHEN forecast_qty>recent_qty THEN 'up' ELSE 'down' END || ' by ' || {_pct('abs(pct_change)')}
+  || ' vs. recent average' FROM trending
+UNION ALL SELECT group_code, dept, 'FORECAST_BEST_WEEK', 'ALL', 'Best forecast week is ' || yr_wk
+  || ' with projected ' || printf('%.0f', round(qty)) || ' units' FROM bestf"""
+
+
+@query("insight_texts", TEXT_SQL, **INSIGHT_CTES)
 def _(spark, d):
-    return I.insights(*results_and_plan(spark, d))
+    r, ahead = results_and_plan(spark, d)
+    return I.insights(r, ahead.withColumn("qty", F.round("qty", 6))).select(
+        "group_code", "dept", "insight_type", "promo_type", "analysis")
 
 
 @query("scoreboard", """SELECT dept, sum(result)::BIGINT AS result_rows, count(DISTINCT group_code) FILTER (result>0) AS groups,
@@ -849,7 +870,20 @@ def _(spark, d):
     return hclean(spark, d, params=ModelParams(price_fill="mode")).select("group_code", "yr_wk", "live_price")
 
 
-@query("fill_price_mode_recursive")
+# the last four filled prices travel along the weeks of a group
+@query("fill_price_mode_recursive", "SELECT group_code, yr_wk, live_price FROM walked WHERE rn>0",
+       numbered=f"SELECT group_code, yr_wk, live_price, row_number() OVER {W} AS rn FROM hdense",
+       windowed="""SELECT a.group_code, a.yr_wk, a.rn, a.live_price,
+           coalesce(list(b.live_price) FILTER (b.live_price<>0), []::DOUBLE[]) AS right_
+         FROM numbered a LEFT JOIN numbered b ON b.group_code=a.group_code AND b.rn BETWEEN a.rn+1 AND a.rn+4
+         GROUP BY a.group_code, a.yr_wk, a.rn, a.live_price""",
+       walked="""SELECT DISTINCT group_code, 0 AS yr_wk, 0::BIGINT AS rn, 0.0::DOUBLE AS live_price, []::DOUBLE[] AS done
+           FROM numbered
+         UNION ALL SELECT group_code, yr_wk, rn, price, done[-3:] || [price] FROM (
+           SELECT w.group_code, w.yr_wk, w.rn, p.done, CASE WHEN w.live_price<>0 THEN w.live_price ELSE coalesce((
+             SELECT v FROM (SELECT unnest(p.done || w.right_) AS v) WHERE v<>0
+             GROUP BY v ORDER BY count(*) DESC, v LIMIT 1), 0) END AS price
+           FROM walked p JOIN windowed w ON w.group_code=p.group_code AND w.rn=p.rn+1)""")
 def _(spark, d):
     rows = K.zero_fill(X.densify(history_panel(spark, d), history_calendar(spark, d)))
     return X.fill_price_mode(rows, ("live_price",), recursive=True).select("group_code", "yr_wk", "live_price")
@@ -1049,9 +1083,20 @@ def _(spark, d):
         "focus_group", F.explode(parse_quoted_list(F.col("promos"))).alias("promo"))
 
 
-@query("elasticity_detail")
+def _side(price: str, weeks: str, units: str) -> str:
+    def cents(x):
+        return f"round(({x})::DECIMAL(18,6),2)::DOUBLE"
+    return f"printf('P=%.2f(%dw)@U=%.2f', {cents(price)}, {weeks}, {cents(units)})"
+
+
+@query("elasticity_detail", f"""SELECT m.upc, m.store, m.block_id, metric,
+  'from ' || {_side('p.price', 'p.weeks', 'p.avg_units')} || ' to ' ||
+  {_side("CASE WHEN metric='E_regular' THEN b.price ELSE b.avg_price END", 'b.weeks', 'b.avg_units')} AS detail
+  FROM emetrics m JOIN esmooth b USING (upc, store, block_id) JOIN eref USING (upc, store, block_id)
+  JOIN esmooth p ON p.upc=m.upc AND p.store=m.store
+    AND p.block_id=CASE WHEN metric='E_regular' THEN m.block_id-1 ELSE eref.ref_block END""")
 def _(spark, d):
-    return E.elasticity_metrics(panel(spark, d), detail=True)
+    return E.block_metrics(blocks(spark, d)).select("upc", "store", "block_id", "metric", "detail")
 
 
 @query("to_number", "SELECT event_id, try_cast(event_type AS DOUBLE) AS kind_number, " + rnd("value") + " FROM events")
