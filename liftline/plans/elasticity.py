@@ -197,6 +197,11 @@ def _multiplier_key() -> Column:
     return key
 
 
+def _shown(value: Column) -> Column:
+    """Half up to cents; the noise of a float mean, below 1e-6, does not decide a tie."""
+    return metric_round(F.round(value, 6))
+
+
 def block_metrics(blocks: DataFrame) -> DataFrame:
     """Unlabelled metrics: (upc, store, block_id, metric, raw_value, weeks, detail).
 
@@ -206,11 +211,10 @@ def block_metrics(blocks: DataFrame) -> DataFrame:
     is_regular, is_promo = F.col("e_regular").isNotNull(), F.col("e_promo").isNotNull()
     base = F.when(is_regular, F.col("prev")).otherwise(F.col("ref"))
     price = F.when(is_regular, F.col("price")).otherwise(F.col("avg_price"))
-    # rounded half up first, as the values are; the formatter alone rounds the binary value
     detail = F.format_string(
         "from P=%.2f(%dw)@U=%.2f to P=%.2f(%dw)@U=%.2f",
-        metric_round(base["price"]), base["weeks"], metric_round(base["avg_units"]),
-        metric_round(price), F.col("weeks"), metric_round(F.col("avg_units")))
+        _shown(base["price"]), base["weeks"], _shown(base["avg_units"]),
+        _shown(price), F.col("weeks"), _shown(F.col("avg_units")))
     return rows.select(
         *SERIES, "block_id",
         F.when(is_regular, "E_regular").when(is_promo, "E_promo").otherwise(_multiplier_key()).alias("metric"),
