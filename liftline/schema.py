@@ -56,10 +56,3 @@ PULL_FORWARD = T.StructType([
     T.StructField("pf_promotions", T.StringType()),
     T.StructField("focus_dept", T.IntegerType()),
 ])
-
-RELATION_COEFFICIENTS = T.StructType([
-    T.StructField("target_group", T.StringType()),
-    T.StructField("focus_group", T.StringType()),
-    T.StructField("promo", T.StringType()),
-    T.StructField("coef", T.DoubleType()),
-])

@@ -21,10 +21,11 @@ def shared(df: DataFrame) -> DataFrame:
     """Compute a frame once for several branches of a job.
 
     Written to the shared checkpoint folder, so it outlives the executors that
-    made it; it keeps the frame's partitioning.
+    made it. Under adaptive execution the partitioning is not remembered: the next
+    operator by key shuffles the (weekly, already reduced) rows once more.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 

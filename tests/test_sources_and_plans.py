@@ -56,6 +56,25 @@ def test_constant_columns_have_no_association(spark):
     assert [r["value"] for r in S.association_matrix(df, ["x", "y"], ["c"]).collect()] == [None, None, 0.0]
 
 
+def test_output_contracts(spark):
+    from liftline import schema
+    from liftline.plans import baseline, elasticity, insights, pull_forward
+    r, ahead = Q.results_and_plan(spark, SF)
+    frames = {
+        "METRICS": elasticity.elasticity_metrics(Q.panel(spark, SF)),
+        "INSIGHTS": insights.insights(r, ahead), "FIT_LOG": baseline.fit_log(r),
+        "PULL_FORWARD": pull_forward.pull_forward(Q.full_lag_table(spark, SF))}
+    for name, df in frames.items():
+        want = [(f.name, f.dataType) for f in getattr(schema, name).fields]
+        assert [(f.name, f.dataType) for f in df.schema.fields] == want, name
+
+
+def test_shared_frame_is_cut_from_its_source(spark):
+    df = sink.shared(Q.gpanel(spark, SF))
+    assert df.count() == Q.gpanel(spark, SF).count()
+    assert "FileScan" not in plan_of(df)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
