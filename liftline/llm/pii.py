@@ -258,3 +258,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 def joined(array: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def number(array: str, kind: str) -> Column:
+    """How many spans of a kind."""
+    return F.size(F.filter(array, lambda x: x["kind"] == kind)).cast("long")
