@@ -11,6 +11,7 @@ from liftline import workers
 
 workers.ship()
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,14 +22,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame, computed once and cut from its lineage, in the folder that the session names.
 
-    Where none is named (tests), a folder below the session's warehouse is set.
+    Where none is named (tests), a folder below the session's warehouse is set. The shuffle files that led to the frame
+    are dropped with its lineage, not whenever the driver collects its garbage.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    return frame.checkpoint()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return frame.select("*").checkpoint()  # a new frame, which is planned under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def free_name(frame: DataFrame, name: str) -> str:
@@ -46,7 +56,3 @@ def column(frame: DataFrame, name: str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged. lower() does that for texts of ASCII only, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def partitions(frame: DataFrame) -> int:
-    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
