@@ -36,7 +36,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
     count = F.greatest(F.lit(1), F.ceil(F.char_length("norm") / block_chars).cast("int"))
     rows = rows.select("doc", "row", count.alias("n"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.transform(
         F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("norm"), i * block_chars + 1, F.lit(block_chars))).alias("parts"))
-    rows = rows.select("doc", "row", "n", "sha", F.posexplode("parts").alias("i", "block"))
+    # outer: the optimizer would else test every array for emptiness first, and so make all blocks twice
+    rows = rows.select("doc", "row", "n", "sha", F.posexplode_outer("parts").alias("i", "block"))
     return rows.withColumn("sha", F.when(F.col("i") == 0, F.col("sha")))
 
 
