@@ -87,13 +87,14 @@ class SuffixAutomaton:
 
 
 def segments(text: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """data, word starts and ends, and per segment: minimizer hash, first window, end of windows; plus word hashes."""
-    data = np.frombuffer(text, dtype=np.uint8)
+    """The words joined by one space, their starts and ends, and per segment: minimizer hash, first window, end of windows."""
+    plain = b" ".join(text.split())
+    data = np.frombuffer(plain, dtype=np.uint8)
     starts, ends = W.word_ranges(data, W.NOT_SPACE)
     n = len(starts) - window + 1
     if n <= 0:
         none = np.empty(0, dtype=np.int64)
-        return data, starts, ends, none.view(np.uint64), none, none, none.view(np.uint64)
+        return plain, starts, ends, none.view(np.uint64), none, none
     words = W.word_hashes(data, starts, ends)
     grams = W.window_hashes(words, gram)
     span = window - gram + 1
@@ -105,7 +106,7 @@ def segments(text: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
         np.copyto(best, other, where=less)
         np.copyto(at, np.arange(j, n + j), where=less)
     edges = np.flatnonzero(np.diff(at, prepend=-1))
-    return data, starts, ends, best[edges], edges, np.append(edges[1:], n), words
+    return plain, starts, ends, best[edges], edges, np.append(edges[1:], n)
 
 
 def _keys(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -119,31 +120,31 @@ def _keys(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _routed(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Segments with repeated minimizers; of crowded ones each window by itself."""
+def _routed(window: int, gram: int, single: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct segments with the given minimizers, or each of their windows by itself, and where they begin."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
-            out: dict[str, list] = {"key": [], "crowded": [], "at": [], "words": []}
-            for row, (text, known, crowds) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4))):
-                data, starts, ends, keys, first, end, _ = segments(text.as_py(), window, gram)
+            out_keys: list[int] = []
+            out_words: list[bytes] = []
+            out_at: list[list[int]] = []
+            for row, (text, known) in enumerate(zip(batch.column(2), batch.column(3))):
+                plain, starts, ends, keys, first, end = segments(text.as_py(), window, gram)
                 keys = keys.view(np.int64)
-                crowd = set(crowds.as_py())
-                whole = data.tobytes()
+                chosen = np.flatnonzero(np.isin(keys, known.values.to_numpy()))
                 begins, stops = starts.tolist(), ends.tolist()
-                for s in np.flatnonzero(np.isin(keys, known.values.to_numpy())):
-                    a, b, key = int(first[s]), int(end[s]), int(keys[s])
-                    crowded = key in crowd
-                    for x, y in ([(i, i + 1) for i in range(a, b)] if crowded else [(a, b)]):
-                        rows.append(row)
-                        out["key"].append(key)
-                        out["crowded"].append(crowded)
-                        out["at"].append(x)
-                        out["words"].append(b" ".join([whole[begins[j]:stops[j]] for j in range(x, y + window - 1)]))
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for key, a, b in zip(keys[chosen].tolist(), first[chosen].tolist(), end[chosen].tolist()):
+                    for x, y in ([(i, i + 1) for i in range(a, b)] if single else [(a, b)]):
+                        found.setdefault((key, plain[begins[x]:stops[y + window - 2]]), []).append(x)
+                rows += [row] * len(found)
+                out_keys += [k for k, _ in found]
+                out_words += [w for _, w in found]
+                out_at += found.values()
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(out["key"], pa.int64()), pa.array(out["crowded"], pa.bool_()),
-                 pa.array(out["at"], pa.int64()), pa.array(out["words"], pa.binary())], names=["doc", "row", "key", "crowded", "at", "words"])
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(out_keys, pa.int64()), pa.array(out_words, pa.binary()),
+                 pa.array(out_at, pa.list_(pa.int64()))], names=["doc", "row", "key", "words", "at"])
     return run
 
 
@@ -186,14 +187,14 @@ def _shards(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         shard, current = None, None
         for batch in batches:
             rows, masks = [], []
-            for i, (doc, key, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+            for i, (doc, key, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if shard is None or key != current:
                     shard, current = _Shard(window), key
                 if mask := shard.mask(doc, words):
                     rows.append(i)
                     masks.append(mask)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(masks, pa.int64())], names=["doc", "row", "at", "mask"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 4)), pa.array(masks, pa.int64())], names=["doc", "row", "at", "mask"])
     return run
 
 
@@ -234,20 +235,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     # under another name the counts are shuffled once more, and the join of two shuffles can be split where a key is frequent
     repeated = repeated.select(F.bitwise_not("key").alias("flipped"), (F.col("n") > crowd).alias("crowded"))
-    own = keys.join(repeated, F.col("key") == F.bitwise_not("flipped")).groupBy("doc", "row").agg(
-        F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("crowded"), F.col("key"))).alias("crowds"))
-    own = checkpointed(own)
-    routed = known.join(own, ["doc", "row"]).select("doc", "row", "text", "keys", "crowds").mapInArrow(
-        _routed(window, gram), f"doc {kind}, row long, key long, crowded boolean, at long, words binary")
-    shards = routed.filter("not crowded").select("doc", "row", "key", "at", "words").repartition("key").sortWithinPartitions("key", "doc")
-    marks = shards.mapInArrow(_shards(window), f"doc {kind}, row long, at long, mask long")
-    marks = marks.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    if not own.filter(F.size("crowds") > 0).isEmpty():
-        windows = routed.filter("crowded")
+    own = checkpointed(keys.join(repeated, F.col("key") == F.bitwise_not("flipped")).groupBy("doc", "row", "crowded").agg(F.collect_set("key").alias("keys")))
+
+    def routed(crowded: bool) -> DataFrame:
+        chosen = known.join(own.filter(F.col("crowded") == crowded), ["doc", "row"]).select("doc", "row", "text", "keys")
+        return chosen.mapInArrow(_routed(window, gram, crowded), f"doc {kind}, row long, key long, words binary, at array<long>")
+
+    shards = routed(False).repartition("key").sortWithinPartitions("key", "doc")
+    marks = shards.mapInArrow(_shards(window), f"doc {kind}, row long, at array<long>, mask long")
+    if not own.filter("crowded").isEmpty():
+        windows = routed(True)
         first = windows.groupBy("words").agg(F.min("doc").alias("least")).select(F.reverse("words").alias("backward"), "least")
         again = windows.join(first, F.col("words") == F.reverse("backward")).filter("doc > least")
-        again = again.groupBy("doc", "row").agg(F.collect_list(F.struct("at", F.lit(1).cast("long").alias("mask"))).alias("marks"))
-        marks = marks.unionByName(again).groupBy("doc", "row").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+        marks = marks.unionByName(again.select("doc", "row", "at", F.lit(1).cast("long").alias("mask")))
+    marks = marks.select("doc", "row", "mask", F.explode("at").alias("at")).groupBy("doc", "row").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
     marks = checkpointed(marks)
     return rows.join(marks, ["doc", "row"], "left").select("doc", "text", "marks").mapInArrow(
         _cut(window), f"doc {kind}, n_words long, cut_from array<long>, cut_to array<long>, kept_text string")
