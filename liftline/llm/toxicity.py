@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from liftline.llm.frames import column
 
-BITS, FACTORS, SAMPLE, THRESHOLD, SEED = 18, 4, 20_000, 0.7, 7
+BITS, FACTORS, SAMPLE, THRESHOLD, SEED = 18, 4, 10_000, 0.7, 7
 EPOCHS, BATCH, RATE, DECAY, FACTOR_DECAY = 40, 64, 0.2, 1e-3, 1e-2
 LEAST, DEVIATIONS = 4, 3.5  # examples a term needs, and standard deviations from what the label's share would give
 BEGINNINGS = (4, 5, 6)
@@ -70,9 +70,10 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factor
     if not len(examples):
         return machine
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    every = np.concatenate(examples)
-    counts = np.bincount(every, minlength=size)
-    excess = np.bincount(every, np.repeat(labels - share, [len(x) for x in examples]), size)
+    counts, excess = np.zeros(size, np.int64), np.zeros(size)
+    for places, label in zip(examples, labels):  # places of one example are distinct
+        counts[places] += 1
+        excess[places] += label - share
     known = (counts >= LEAST) & (np.abs(excess) >= DEVIATIONS * np.sqrt(share * (1 - share) * counts))
     examples = [x[known[x]] for x in examples]
     random = np.random.default_rng(SEED)
@@ -126,9 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # repeated ids can't make it more than sample: one text for each id
     rows = rows.groupBy("doc").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("toxic", "text")
     found: dict[bytes, list[float]] = {}
-    for toxic, places in rows.mapInArrow(_termer(bits), "toxic double, places binary").orderBy("places", "toxic").collect():
+    for toxic, places in rows.mapInArrow(_termer(bits), "toxic double, places binary").toLocalIterator():
         found.setdefault(bytes(places), []).append(toxic)
-    return fit([np.frombuffer(x, np.int32) for x in found], np.array([np.mean(y) for y in found.values()]), bits)
+    ordered = sorted(found.items())  # whatever the order in which rows come
+    return fit([np.frombuffer(x, np.int32) for x, _ in ordered], np.array([np.mean(sorted(y)) for _, y in ordered]), bits)
 
 
 def _scorer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
