@@ -17,7 +17,7 @@ fingerprint can't: at 0.8, SimHashes over 64 bits differ in up to 15 bits, of wh
 of its ring are made of shingles, not of bits: each shingle falls by its hash into one of m segments, where m exceeds the
 number of differing shingles that the threshold allows at this document size, and each segment has a SimHash of its
 own. By the pigeonhole at least one segment of a near-duplicate is equal, and about a third are; up to ``SEGMENTS`` of
-them are join keys. Whole-text fingerprints prune, whole shingle sets decide.
+them are join keys. Whole-text fingerprints and parity sketches prune, whole shingle sets decide.
 
 Null texts count as empty: fingerprint zero, and never a near-duplicate. A null doc_id is carried through, and is no
 component's smallest id while another id is there. Repeated rows have one result each. Empty tables give empty results.
@@ -41,6 +41,8 @@ from liftline.llm.frames import checkpointed, column, free_name
 
 SHINGLE, MAX_BITS, RING, CROWD, SEED = 3, 2, 6, 64, 42
 NEAR_SHINGLE, SIMILARITY, SEGMENTS, NEAR_BITS = 5, 0.8, 20, 24
+SKETCH = 16  # 64-bit words of a parity sketch; it prunes sets of up to about 2,300 shingles, larger ones go on to the whole check
+_SKETCH = [f"w{i}" for i in range(SKETCH)]
 _MASK = (1 << 64) - 1
 _COUNTED = 1 << 17
 
@@ -209,20 +211,35 @@ def _keyer(shingle: int, similarity: float, segments: int) -> Callable[[Iterator
     return run
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i: an odd number of the set's hashes fall to i. Each element that only one of two sets has flips one bit, so
+    the bits in which two sketches differ are at most as many as the elements in which the sets differ."""
+    odd = np.bincount((hashes >> np.uint64(11)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _setter(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["doc", "shingles", *_SKETCH]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(1)]
+            bits = np.array([parity_sketch(h) for h in sets], dtype=np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
+                 *(pa.array(bits[:, i], pa.int64()) for i in range(SKETCH))], names=names)
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+def _sets(needed: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """doc, shingles and sketch of the texts whose doc is needed."""
     kind = texts.schema["doc"].dataType.simpleString()
-    sets = texts.join(needed, "doc").mapInArrow(_setter(shingle), f"doc {kind}, shingles array<long>")
-    sets = checkpointed(sets)
+    sets = texts.join(needed, "doc").mapInArrow(_setter(shingle), f"doc {kind}, shingles array<long>, " + ", ".join(f"{w} long" for w in _SKETCH))
+    return checkpointed(sets)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
     a, b = (sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     # integers, so that a similarity of just the threshold counts
@@ -236,7 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links are verified pairs; groups are what links connect. Each key's members are compared first with one of them,
     that which shares the most keys with others. Only members of one key that are still in different groups are then
-    compared pairwise, those whose sizes and fingerprints allow it. A null id takes no part.
+    compared with one another: by sizes, fingerprints and parity sketches inside the join, which gives just the pairs
+    that these can't rule out. A null id takes no part.
     """
     texts = _texts(docs, column(docs, id_col), text_col).filter("doc is not null")
     kind = texts.schema["doc"].dataType.simpleString()
@@ -249,18 +267,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = lambda n, m, x, y: (n <= m / similarity) & (m <= n / similarity) & (F.bit_count(x.bitwiseXOR(y)) <= NEAR_BITS)
     c = F.col
     star = met.join(checkpointed(pivots), "key").filter("doc <> p.doc").filter(near(c("size"), c("p.size"), c("print"), c("p.print")))
-    first = checkpointed(_verified(checkpointed(star.select(c("doc").alias("a"), c("p.doc").alias("b")).distinct()), texts, shingle, similarity))
+    pairs = checkpointed(star.select(c("doc").alias("a"), c("p.doc").alias("b")).distinct())
+    needed = pairs.select(c("a").alias("doc")).unionByName(pairs.select(c("b").alias("doc"))).distinct()
+    first = checkpointed(_verified(pairs, _sets(needed, texts, shingle), similarity))
     roots = components(first)
     grouped = checkpointed(met.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     open_ = checkpointed(grouped.join(mixed, "key").select("key", "doc", "size", "print", "root"))
-    x, y = open_.alias("x"), open_.alias("y")
+    if open_.isEmpty():
+        return roots.withColumnsRenamed({"node": "doc"})
+    sets = _sets(open_.select("doc").distinct(), texts, shingle)
+    sketched = checkpointed(open_.join(sets.drop("shingles"), "doc"))
+    x, y = sketched.alias("x"), sketched.alias("y")
+    differ = reduce(lambda m, n: m + n, [F.bit_count(c(f"x.{w}").bitwiseXOR(c(f"y.{w}"))) for w in _SKETCH])
+    least = round(similarity * 1000)
     rest = x.join(y, c("x.key") == c("y.key")).filter("x.doc < y.doc and x.root <> y.root").filter(
-        near(c("x.size"), c("y.size"), c("x.print"), c("y.print"))).select(c("x.doc").alias("a"), c("y.doc").alias("b")).distinct()
-    rest = checkpointed(rest.join(star.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct(), ["a", "b"], "left_anti"))
+        near(c("x.size"), c("y.size"), c("x.print"), c("y.print"))).filter(
+        differ * (1000 + least) <= (c("x.size") + c("y.size")) * (1000 - least)).select(c("x.doc").alias("a"), c("y.doc").alias("b")).distinct()
+    rest = checkpointed(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots.withColumnsRenamed({"node": "doc"})
-    return components(first.unionByName(_verified(rest, texts, shingle, similarity))).withColumnsRenamed({"node": "doc"})
+    return components(first.unionByName(_verified(rest, sets, similarity))).withColumnsRenamed({"node": "doc"})
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

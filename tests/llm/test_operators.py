@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -83,6 +84,31 @@ def test_simhash_links(spark, docs, nothing):
     assert {r["component"] for r in found if r["print"] == 0} == {2}
 
 
+def test_near_copies_of_one_text_against_brute_force(spark):
+    """Copies with so many edits that part of them are linked with no other."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for j in range(rng.randrange(14)):
+            words[rng.randrange(len(words))] = f"x{i}_{j}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in linked:
+        sketches = [simhash.parity_sketch(np.unique(simhash.shingle_hashes(texts[k].encode(), 5))) for k in (i, j)]
+        assert sum(int(x).bit_count() for x in (sketches[0] ^ sketches[1]).view(np.uint64)) <= len(sets[i] ^ sets[j])
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    wanted = {i: r for i, r in enumerate(root) if any(i in p for p in linked)}
+    assert 10 < len(wanted) < len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc"]: r["root"] for r in simhash.near_duplicates(frame).collect()} == wanted
+
+
 def test_near_duplicates(spark, docs, nothing):
     base = prose(20, 300).split()
     rows = [(100, " ".join(base)), (101, " ".join([*base[:100], "new", *base[101:]])), (102, " ".join([*base[:280], *prose(21, 20).split()])),
