@@ -725,15 +725,15 @@ def _(spark, d):
 INSIGHT_SQL = """
 SELECT group_code, dept, 'PROMO_EFFECTIVENESS' AS insight_type, promo AS promo_type, 'LIFT_PCT' AS metric,
   avg_lift AS value, CASE WHEN CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END>0.2
-    THEN 'Increase frequency' WHEN CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END>0
-    THEN 'Maintain current level' ELSE 'Decrease frequency' END AS recommendation
+    THEN 'Promote more often' WHEN CASE WHEN sales_off>0 THEN (sales_on-sales_off)/sales_off ELSE 0 END>0
+    THEN 'Keep promoting as often' ELSE 'Promote less often' END AS recommendation
   FROM effect WHERE weeks_on>0 AND weeks_off>0
-UNION ALL SELECT group_code, dept, 'BEST_WEEK', 'ALL', 'QTY', qty, 'Consider repeating promo mix: ' || active FROM best_
-UNION ALL SELECT group_code, dept, 'WORST_WEEK', 'ALL', 'QTY', qty, 'Avoid promo mix: ' || active FROM worst_
+UNION ALL SELECT group_code, dept, 'BEST_WEEK', 'ALL', 'QTY', qty, 'Plan these promotions again: ' || active FROM best_
+UNION ALL SELECT group_code, dept, 'WORST_WEEK', 'ALL', 'QTY', qty, 'Plan without these promotions: ' || active FROM worst_
 UNION ALL SELECT group_code, dept, 'FORECAST_TREND', 'ALL', 'QTY', pct_change,
-  CASE WHEN pct_change<0 THEN 'Review promotion strategy' ELSE 'Continue current promotion strategy' END FROM trending
+  CASE WHEN pct_change<0 THEN 'Look for promotions that lift the coming weeks' ELSE 'Keep the planned promotions' END FROM trending
 UNION ALL SELECT group_code, dept, 'FORECAST_BEST_WEEK', 'ALL', 'QTY', qty,
-  'Ensure inventory is sufficient for peak at week ' || yr_wk::VARCHAR FROM bestf"""
+  'Stock up ahead of week ' || yr_wk::VARCHAR FROM bestf"""
 BEST = f"""SELECT dept, group_code, yr_wk, qty, {ACTIVE} AS active FROM results
   QUALIFY row_number() OVER (PARTITION BY group_code ORDER BY qty DESC, yr_wk)=1"""
 WORST = f"""SELECT dept, group_code, yr_wk, qty, {ACTIVE} AS active FROM results WHERE qty>0
@@ -756,17 +756,17 @@ def _pct(x: str) -> str:
 
 TEXT_SQL = f"""
 SELECT group_code, dept, 'PROMO_EFFECTIVENESS' AS insight_type, promo AS promo_type,
-  'Avg sales lift of ' || {_pct('avg_lift')} || ' when ' || promo || ' is active' AS analysis
+  'Mean lift over baseline: ' || {_pct('avg_lift')} || ' in weeks with ' || promo AS analysis
   FROM effect WHERE weeks_on>0 AND weeks_off>0
 UNION ALL SELECT group_code, dept, 'BEST_WEEK', 'ALL',
-  'Best week was ' || yr_wk || ' with ' || printf('%.0f', round(qty)) || ' units' FROM best_
+  'Best week: ' || yr_wk || ', ' || printf('%.0f', round(qty)) || ' units' FROM best_
 UNION ALL SELECT group_code, dept, 'WORST_WEEK', 'ALL',
-  'Worst week was ' || yr_wk || ' with ' || printf('%.0f', round(qty)) || ' units' FROM worst_
-UNION ALL SELECT group_code, dept, 'FORECAST_TREND', 'ALL', 'Forecast trending ' ||
+  'Worst week: ' || yr_wk || ', ' || printf('%.0f', round(qty)) || ' units' FROM worst_
+UNION ALL SELECT group_code, dept, 'FORECAST_TREND', 'ALL', 'Expected quantity goes ' ||
   CASE WHEN forecast_qty>recent_qty THEN 'up' ELSE 'down' END || ' by ' || {_pct('abs(pct_change)')}
-  || ' vs. recent average' FROM trending
-UNION ALL SELECT group_code, dept, 'FORECAST_BEST_WEEK', 'ALL', 'Best forecast week is ' || yr_wk
-  || ' with projected ' || printf('%.0f', round(qty)) || ' units' FROM bestf"""
+  || ' against the last weeks'' mean' FROM trending
+UNION ALL SELECT group_code, dept, 'FORECAST_BEST_WEEK', 'ALL', 'Largest expected quantity: week ' || yr_wk
+  || ', about ' || printf('%.0f', round(qty)) || ' units' FROM bestf"""
 
 
 @query("insight_texts", TEXT_SQL, **INSIGHT_CTES)

@@ -152,8 +152,8 @@ def cross_features(panel: DataFrame, edges: DataFrame, kind: str,
     <focus>_<promo>_<KIND>_PROMO. The panel joins the edges on the focus group
     before the promo list is exploded, so wide rows are shuffled once. A focus
     group with very many edges is split by target over several tasks, its few
-    panel rows repeated for each. For halo edges, focus groups found in several
-    departments are left out.
+    panel rows repeated for each. Edges and promos that are listed twice count
+    once. For halo edges, focus groups found in several departments are left out.
     """
     promotions = list(promotions)
     if dict(edges.dtypes)["promos"] == "string":
@@ -161,6 +161,9 @@ def cross_features(panel: DataFrame, edges: DataFrame, kind: str,
     targets = panel.select(F.col(GROUP).alias("target_group")).distinct()
     pairs = edges.select(F.col("focus_group").alias(GROUP), "target_group", "promos").join(
         targets, "target_group", "left_semi")
+    # one row per edge, each promo once; a set holds no more than the known promos
+    pairs = (pairs.withColumn("promo", F.explode("promos")).filter(F.col("promo").isin(promotions))
+             .groupBy(GROUP, "target_group").agg(F.collect_set("promo").alias("promos")))
     focus = panel.select("dept", GROUP, WEEK, *promotions)
     if kind == "halo":
         focus = focus.join(single_dept_groups(panel), GROUP, "left_semi")
@@ -175,7 +178,6 @@ def cross_features(panel: DataFrame, edges: DataFrame, kind: str,
     return (
         focus.drop("parts").join(pairs.drop("parts"), [GROUP, "part"])
         .withColumn("promo", F.explode("promos"))
-        .filter(F.col("promo").isin(promotions))
         .select(
             "target_group", WEEK, F.col(GROUP).alias("focus_group"), "promo",
             F.concat_ws("_", GROUP, "promo", F.lit(f"{kind.upper()}_PROMO")).alias("feature"),

@@ -94,14 +94,15 @@ def association_matrix(df: DataFrame, numeric: Iterable[str], categorical: Itera
 
 
 def _pearson(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """All numeric pairs in one aggregate."""
+    """All numeric pairs in one aggregate, each over the rows where both numbers are known."""
     pairs = list(combinations(numeric, 2))
     agg = df.agg(
         *[F.covar_pop(a, b).alias(f"cov_{a}_{b}") for a, b in pairs],
-        *[F.stddev_pop(c).alias(f"sd_{c}") for c in numeric])
+        *[F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c))).alias(f"sd_{a}_{b}_{c}")
+          for a, b in pairs for c, other in ((a, b), (b, a))])
     rows = [F.struct(
         F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit("pearson").alias("kind"),
-        ratio_or_null(F.col(f"cov_{a}_{b}"), F.col(f"sd_{a}") * F.col(f"sd_{b}")).alias("value"))
+        ratio_or_null(F.col(f"cov_{a}_{b}"), F.col(f"sd_{a}_{b}_{a}") * F.col(f"sd_{a}_{b}_{b}")).alias("value"))
         for a, b in pairs]
     return agg.select(F.inline(F.array(*rows)))
 

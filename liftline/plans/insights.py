@@ -99,16 +99,16 @@ def _history_rows(promos: list[str]) -> list[Column]:
                      ratio_or_null(F.col(f"{p}_on") - F.col(f"{p}_off"), F.col(f"{p}_off"))).otherwise(0.0)
         rows.append(_insight(
             "PROMO_EFFECTIVENESS", p, "LIFT_PCT", lift,
-            F.concat(F.lit("Avg sales lift of "), percent_text(lift), F.lit(f" when {p} is active")),
-            F.when(roi > 0.2, "Increase frequency").when(roi > 0, "Maintain current level")
-            .otherwise("Decrease frequency"),
+            F.concat(F.lit("Mean lift over baseline: "), percent_text(lift), F.lit(f" in weeks with {p}")),
+            F.when(roi > 0.2, "Promote more often").when(roi > 0, "Keep promoting as often")
+            .otherwise("Promote less often"),
             (F.col(f"{p}_n") > 0) & (F.col(f"{p}_m") > 0)))
-    for name, label, advice in (("best", "Best", "Consider repeating promo mix: "),
-                                ("worst", "Worst", "Avoid promo mix: ")):
+    for name, label, advice in (("best", "Best", "Plan these promotions again: "),
+                                ("worst", "Worst", "Plan without these promotions: ")):
         w = F.col(name)
         rows.append(_insight(
             f"{label.upper()}_WEEK", "ALL", "QTY", w["qty"],
-            F.concat(F.lit(f"{label} week was "), w["wk"].cast("string"), F.lit(" with "),
+            F.concat(F.lit(f"{label} week: "), w["wk"].cast("string"), F.lit(", "),
                      units_text(w["qty"]), F.lit(" units")),
             F.concat(F.lit(advice), w["active"]), w.isNotNull()))
     return rows
@@ -121,15 +121,15 @@ def _forecast_rows() -> list[Column]:
     return [
         _insight(
             "FORECAST_TREND", "ALL", "QTY", change,
-            F.concat(F.lit("Forecast trending "), F.when(ahead > recent, "up").otherwise("down"),
-                     F.lit(" by "), percent_text(F.abs(change)), F.lit(" vs. recent average")),
-            F.when(change < 0, "Review promotion strategy").otherwise("Continue current promotion strategy"),
+            F.concat(F.lit("Expected quantity goes "), F.when(ahead > recent, "up").otherwise("down"),
+                     F.lit(" by "), percent_text(F.abs(change)), F.lit(" against the last weeks' mean")),
+            F.when(change < 0, "Look for promotions that lift the coming weeks").otherwise("Keep the planned promotions"),
             ahead.isNotNull()),
         _insight(
             "FORECAST_BEST_WEEK", "ALL", "QTY", b["qty"],
-            F.concat(F.lit("Best forecast week is "), b["wk"].cast("string"), F.lit(" with projected "),
+            F.concat(F.lit("Largest expected quantity: week "), b["wk"].cast("string"), F.lit(", about "),
                      units_text(b["qty"]), F.lit(" units")),
-            F.concat(F.lit("Ensure inventory is sufficient for peak at week "), b["wk"].cast("string")),
+            F.concat(F.lit("Stock up ahead of week "), b["wk"].cast("string")),
             b.isNotNull()),
     ]
 

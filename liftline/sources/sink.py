@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach: the session's checkpoint folder.
+    """A folder that the driver and all executors reach: the session's checkpoint folder.
 
-    A local temporary folder is taken only where the session names none.
+    Where the session names none it is a new folder below its warehouse, which executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="liftline-")
+    return named.rstrip("/") if named else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), f"liftline-{uuid.uuid4().hex}")
 
 
 def shared(df: DataFrame) -> DataFrame:

@@ -87,6 +87,14 @@ def test_cross_features(spark, group_rows):
     assert {r["focus_group"] for r in X.cross_features(panel, edges, "halo").collect()} == {"A"}
 
 
+def test_doubled_edges_give_each_feature_once(spark, group_rows):
+    panel = K.one_hot_page(group_rows([dict(group_code="A", yr_wk=w, cpp_flag=w % 2) for w in (1, 2)] + [dict(group_code="B", yr_wk=1)]))
+    edges = spark.createDataFrame(
+        [("A", "B", "'cpp_flag', 'cpp_flag'"), ("A", "B", "'cpp_flag'"), ("A", "B", None)],
+        "focus_group string, target_group string, promos string")
+    assert sorted((r["yr_wk"], r["value"]) for r in X.cross_features(panel, edges, "cann").collect()) == [(1, 1.0), (2, 0.0)]
+
+
 def test_crowded_focus_group_is_split_without_loss(spark, group_rows):
     panel = K.one_hot_page(group_rows(
         [dict(group_code="A", yr_wk=w, cpp_flag=w % 2) for w in (1, 2, 3)]

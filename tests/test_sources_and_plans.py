@@ -54,6 +54,9 @@ def test_skew_counts_empty_partitions(spark):
 def test_constant_columns_have_no_association(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a"), (1.0, 3.0, "a")], "x double, y double, c string")
     assert [r["value"] for r in S.association_matrix(df, ["x", "y"], ["c"]).collect()] == [None, None, 0.0]
+    # pairs with an unknown side count for neither covariance nor deviation
+    holes = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (900.0, None), (None, -70.0)], "x double, y double")
+    assert [round(r["value"], 9) for r in S.association_matrix(holes, ["x", "y"], []).collect()] == [1.0]
 
 
 def test_output_contracts(spark):

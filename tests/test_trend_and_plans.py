@@ -68,10 +68,10 @@ def test_insights(group_rows):
     past = history(group_rows, [5.0, 9.0, 9.0, 0.0, 2.0], cpp_flag=[1, 1, 0, 0, 0], sales=[50.0, 90.0, 10.0, 0.0, 20.0])
     only_past = {(r["insight_type"], r["promo_type"]): r for r in I.insights(past).collect()}
     assert set(only_past) == {("PROMO_EFFECTIVENESS", "cpp_flag"), ("BEST_WEEK", "ALL"), ("WORST_WEEK", "ALL")}
-    assert only_past[("BEST_WEEK", "ALL")]["analysis"] == "Best week was 2 with 9 units"
-    assert only_past[("BEST_WEEK", "ALL")]["recommendation"] == "Consider repeating promo mix: cpp_flag"
-    assert only_past[("WORST_WEEK", "ALL")]["recommendation"] == "Avoid promo mix: No promotions"
-    assert only_past[("PROMO_EFFECTIVENESS", "cpp_flag")]["recommendation"] == "Increase frequency"
+    assert only_past[("BEST_WEEK", "ALL")]["analysis"] == "Best week: 2, 9 units"
+    assert only_past[("BEST_WEEK", "ALL")]["recommendation"] == "Plan these promotions again: cpp_flag"
+    assert only_past[("WORST_WEEK", "ALL")]["recommendation"] == "Plan without these promotions: No promotions"
+    assert only_past[("PROMO_EFFECTIVENESS", "cpp_flag")]["recommendation"] == "Promote more often"
     planned = FC.forecast(past, group_rows([dict(yr_wk=9)]))
     kinds = {r["insight_type"]: r for r in I.insights(past, planned).collect()}
     assert {"FORECAST_TREND", "FORECAST_BEST_WEEK"} <= set(kinds)
