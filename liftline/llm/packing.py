@@ -40,7 +40,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 0
 GROUP_PIECES = 16_384
 SWEEPS = 4
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000  # about 50 MB in each Python worker, which outlives its task
 
 _NOT_PLAIN = re.compile(r"\s | \s|^ | $")
 PIECES = "doc {kind}, piece int, start long, length long, crc long"
