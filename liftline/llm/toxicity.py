@@ -150,8 +150,18 @@ def scores(docs: DataFrame, machine: Machine, key: Column, text_col: str = "text
     return rows.mapInArrow(_scorer(shared), f"key {rows.schema['key'].dataType.simpleString()}, score double")
 
 
+def _keeper(shared, at: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = shared.value
+        bits = len(machine.weights).bit_length() - 1
+        for batch in batches:
+            kept = [machine.score(terms(t.as_py(), bits)) < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+    return run
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    machine = train(docs, labels, id_col, text_col)
-    key = F.struct(*[column(docs, c).alias(c) for c in docs.columns])
-    return scores(docs, machine, key, text_col).filter(F.col("score") < threshold).select("key.*")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
+    return docs.mapInArrow(_keeper(shared, at, threshold), docs.schema)
