@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import decontaminate, exact, html_blocks, licenses, packing, pii, quotes, simhash, substrings, toxicity
+from liftline.llm import decontaminate, exact, html_blocks, licenses, packing, periodic, pii, quotes, simhash, substrings, toxicity
 from liftline.llm.frames import table
 
 
@@ -67,9 +67,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _repeating(words: Column, doc: Column) -> Column:
+    """The words that operator 11's contract puts in place: in a tenth of the documents they repeat from some place on."""
+    h = F.crc32(doc.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(words).cast("long")
+    a = g % F.when(n > 0, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    return F.when((h % 10 == 0) & (n > 0), repeated).otherwise(words)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(planted, F.array_join(_repeating(words, F.col("doc_id")), " ")).otherwise(F.col("text"))
+    found = periodic.periodic_runs(docs, text)
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.array_join(F.array(r["start"], r["length"], r["period"]).cast("array<string>"), ","), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("doc").alias("doc_id"), "n_words", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_quotation_links, op3_toxicity, op4_substring_dedup, op5_best_fit_packing, op6_html_main_text, op7_simhash_classes,
-    op8_license_spans, op9_decontamination, op10_exact_dedup)}
+    op8_license_spans, op9_decontamination, op10_exact_dedup, op11_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
