@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, one below the
+    session's warehouse, which must not be a driver's own folder on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(warehouse, "_checkpoints")
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, written as Parquet to the shared folder and read again: later readers scan the columns that they need."""
+    path = os.path.join(shared_folder(frame.sparkSession), f"table-{uuid.uuid4().hex}")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame, computed once and cut from its lineage, in the folder that the session names.
 
@@ -28,8 +48,7 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -11,7 +11,7 @@ places whose k-gram was already repeated in the class before.
 A pair is a seed on the diagonal of its lag. It is extended to both sides while words agree. A table per lag holds how
 far the diagonal is covered, and a seed below that is not extended again. As k is at least the lag, an extended seed is
 a stretch of two periods or more, of which a text of n words has fewer than n: neither all pairs of a frequent k-gram
-nor a diagonal per lag are ever made. Hashes only find seeds; extension compares the words.
+nor a diagonal per lag are ever made. Words are compared by 64-bit hashes first; every run found is then compared word by word.
 
 Null texts have no words. Rows are independent of one another: repeated ids and repeated rows have a result each, a
 null id is carried through. Empty tables give empty results; other columns are not looked at. Memory in a task is one
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftline.llm import words as W
 from liftline.llm.frames import column
 
 LEAST, REPEATS, CHUNK = 24, 3, 1 << 19
@@ -132,25 +133,29 @@ def runs_of(ids: np.ndarray, edges: np.ndarray, least: int = LEAST, repeats: int
 
 
 def _results(texts: list[bytes], least: int, repeats: int) -> tuple[list, list, list]:
-    """Word counts, runs and kept words of some texts, worked on together."""
-    names: dict[bytes, int] = {}
-    words = [t.split() for t in texts]  # of bytes: at the six ASCII white spaces
-    edges = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(w) for w in words], out=edges[1:])
-    ids = np.fromiter((names.setdefault(w, len(names)) for ws in words for w in ws), np.int64, int(edges[-1]))
-    runs: list[list[tuple[int, int, int]]] = [[] for _ in words]
-    kept = [None] * len(words)
-    for a, length, period in runs_of(ids, edges, least, repeats):
+    """Word counts, runs and kept words of some texts, worked on together. Words stand for themselves by their hashes;
+    texts in which that makes a difference for a run are done again with words numbered exactly."""
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    starts, ends = W.word_ranges(data, W.NOT_SPACE)
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for a, length, period in runs_of(W.word_hashes(data, starts, ends), edges, least, repeats):
         j = int(np.searchsorted(edges, a, side="right")) - 1
         runs[j].append((a - int(edges[j]), length, period))
-    for j, ws in enumerate(words):
+    kept = []
+    for j, text in enumerate(texts):
+        words = text.split()  # of bytes: at the six ASCII white spaces
         if runs[j]:
-            change = np.zeros(len(ws) + 1, dtype=np.int64)
+            if any(words[a + q:a + n] != words[a:a + n - q] for a, n, q in runs[j]):
+                names: dict[bytes, int] = {}
+                numbers = np.array([names.setdefault(w, len(names)) for w in words], dtype=np.int64)
+                runs[j] = runs_of(numbers, np.array([0, len(words)]), least, repeats)
+            change = np.zeros(len(words) + 1, dtype=np.int64)
             for a, length, period in runs[j]:
                 change[a + period] += 1
                 change[a + length] -= 1
-            ws = [ws[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-        kept[j] = b" ".join(ws)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+        kept.append(b" ".join(words))
     return np.diff(edges).tolist(), runs, kept
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import decontaminate, exact, html_blocks, licenses, packing, periodic, pii, quotes, simhash, substrings, toxicity
-from liftline.llm.frames import table
+from liftline.llm import decontaminate, exact, html_blocks, licenses, nearest, packing, periodic, pii, quotes, simhash, substrings, toxicity, trie
+from liftline.llm.frames import checkpointed, table
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,22 +67,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _repeating(words: Column, doc: Column) -> Column:
-    """The words that operator 11's contract puts in place: in a tenth of the documents they repeat from some place on."""
-    h = F.crc32(doc.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words).cast("long")
-    a = g % F.when(n > 0, n)
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), repeated).otherwise(words)
+def _replanted(docs: DataFrame) -> DataFrame:
+    """documents with the words that operator 11's contract puts in place: in a tenth of them they repeat from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # columns of their own, so that no word makes them anew
+    rows = docs.select("doc_id", "text", words.alias("words")).withColumns({"n": F.size("words").cast("long"), "g": F.floor(h / 10)})
+    rows = rows.withColumn("a", F.col("g") % F.when(F.col("n") > 0, F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    planted = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(planted, F.array_join(_repeating(words, F.col("doc_id")), " ")).otherwise(F.col("text"))
-    found = periodic.periodic_runs(docs, text)
+    found = periodic.periodic_runs(_replanted(table(spark, sf_dir, "documents")))
     best = periodic.strongest(F.col("runs"))
     lines = F.transform("runs", lambda r: F.concat(F.array_join(F.array(r["start"], r["length"], r["period"]).cast("array<string>"), ","), F.lit("\n")))
     return found.withColumn("best", best).select(
@@ -91,9 +90,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = checkpointed(trie.encoded(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv")
+    convs = turns.groupBy("conv").agg(F.count("*").alias("n")).withColumns(
+        {"h": F.crc32(conv.cast("string").cast("binary")) % 9, "base": conv - conv % 5})
+    convs = checkpointed(convs.join(convs.select(conv.alias("base"), F.col("n").alias("n_base")), "base", "left").select(
+        "conv", "base", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("begun")))
+    begun = turns.filter("pos < 8").withColumnRenamed("conv", "base").join(convs, "base").filter("pos < h").select("conv", "pos", "key", "bytes")
+    own = turns.join(convs, "conv").filter("pos >= h").select("conv", (F.col("pos") - F.col("h") + F.col("begun")).alias("pos"), "key", "bytes")
+    nodes = trie.trie(checkpointed(begun.unionByName(own)), convs)
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+                        F.col("saved").alias("saved_tokens"), F.col("ends_sha").alias("ends_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_quotation_links, op3_toxicity, op4_substring_dedup, op5_best_fit_packing, op6_html_main_text, op7_simhash_classes,
-    op8_license_spans, op9_decontamination, op10_exact_dedup, op11_periodic_runs)}
+    op8_license_spans, op9_decontamination, op10_exact_dedup, op11_periodic_runs,
+    op12_exact_top_k, op13_conversation_trie)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -126,7 +145,41 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
   sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS i, len(e) AS n FROM v),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM one q JOIN one c ON q.i = c.i AND q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20"""
+
+# CRC-32 bit by bit; paths are lists of turn digests.
+_TRIE = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+  sha256(concat(len(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+sized AS (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+hashed AS (SELECT c, n, c - c % 5 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(substr(s, CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 9 AS h FROM sized),
+convs AS (SELECT a.c, a.h, a.base, least(a.h, coalesce(o.n, 0)) AS begun FROM hashed a LEFT JOIN hashed o ON o.c = a.base),
+rebuilt AS (SELECT convs.c, t.pos, t.k, t.b FROM convs JOIN t ON t.c = convs.base AND t.pos < convs.h
+  UNION ALL SELECT convs.c, t.pos - convs.h + convs.begun, t.k, t.b FROM convs JOIN t ON t.c = convs.c AND t.pos >= convs.h),
+whole AS (SELECT c, list(k ORDER BY pos) AS ks, list(b ORDER BY pos) AS bs FROM rebuilt GROUP BY c),
+member AS (SELECT convs.c, ks, bs, coalesce(len(ks), 0) AS size, unnest(range(coalesce(len(ks), 0) + 1)) AS d FROM convs LEFT JOIN whole ON whole.c = convs.c),
+node AS (SELECT d, CASE WHEN d = 0 THEN [] ELSE ks[1:d] END AS path, min(c) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE max(bs[d]) END AS b,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE size = d), '') AS names FROM member GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, CASE WHEN d = 1 THEN [] ELSE path[1:d - 1] END AS path, count(*) AS m FROM node WHERE d > 0 GROUP BY 1, 2),
+known AS (SELECT node.*, coalesce(m, 0) AS m FROM node LEFT JOIN kids ON kids.d = node.d AND kids.path = node.path),
+up AS (SELECT path, n, b, m, unnest(range(d + 1)) AS a FROM known),
+sums AS (SELECT a AS d, CASE WHEN a = 0 THEN [] ELSE path[1:a] END AS path, sum((n - 1) * b) AS saved, count(*) FILTER (WHERE m = 0) AS leaves FROM up GROUP BY 1, 2)
+SELECT known.conv_id, known.d AS depth, p.conv_id AS parent_conv_id, known.n AS n_convs, known.m AS n_children, sums.leaves AS n_leaves,
+  CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(known.names) AS ends_sha256
+FROM known JOIN sums ON sums.d = known.d AND sums.path = known.path
+LEFT JOIN node p ON p.d = known.d - 1 AND p.path = CASE WHEN known.d = 1 THEN [] ELSE known.path[1:known.d - 1] END"""
+
 ORACLE = {
+    "op13_conversation_trie": _TRIE,
+    "op12_exact_top_k": _TOP,
     "op4_substring_dedup": _SUBSTRINGS,
     "op9_decontamination": _CONTAMINATION,
     "op10_exact_dedup": f"""
