@@ -17,14 +17,17 @@ from liftline.functions import (
 from liftline.operators import calendar as C
 from liftline.operators import clean as K
 from liftline.operators import features as X
+from liftline.operators import holidays as H
 from liftline.operators import levels as L
 from liftline.operators import regression as R
 from liftline.operators import selection as G
 from liftline.operators import stats as S
 from liftline.operators import trend as T
+from liftline.operators.holidays import HOLIDAYS
 from liftline.params import (
     DEPTHS, FLAGS, LAG_COLUMNS, LAGS, PAGES, PROMOS, PROMOTIONS, SLOTS, AnomalyParams, ModelParams,
 )
+from liftline.plans import backtest as BT
 from liftline.plans import baseline as B
 from liftline.plans import elasticity as E
 from liftline.plans import forecast as FC
@@ -36,7 +39,7 @@ from liftline.plans import regression as RG
 from liftline.schema import PRICE_PANEL
 from liftline.sources import retail, sink, tables
 
-from .sql import ACTIVE, ANY_PROMO, SHOCK_WEEKS, W, center, sql
+from .sql import ACTIVE, ANY_PROMO, SHOCK_WEEKS, TARGET, W, center, fit_blocks, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,14 +69,29 @@ def rnd(*columns: str, digits: int = 6) -> str:
     return ", ".join(out)
 
 
+def five_digits(df: DataFrame, columns) -> DataFrame:
+    """Fitted values as text of five significant digits, for they span many magnitudes; 0 for noise."""
+    return df.withColumns({c: F.when(F.abs(c) < 1e-6, "0").when(F.col(c).isNotNull(), F.format_string("%.4e", c)) for c in columns})
+
+
+def sig(*columns: str) -> str:
+    """SQL select items as five_digits gives them: 'a', or 'expr AS a'."""
+    out = []
+    for c in columns:
+        expr, _, name = c.rpartition(" AS ")
+        x = f"({expr or c})::DOUBLE"
+        out.append(f"CASE WHEN abs({x})<1e-6 THEN '0' WHEN {x} IS NOT NULL THEN printf('%.4e', {x}) END AS {name or c}")
+    return ", ".join(out)
+
+
 # --- shared inputs -----------------------------------------------------------
 
 def panel(spark, d):
     return retail.series_panel(spark, d)
 
 
-def gpanel(spark, d):
-    return retail.group_panel(spark, d)
+def gpanel(spark, d, weeks=None):
+    return retail.group_panel(spark, d, weeks)
 
 
 _CALENDARS: dict = {}
@@ -98,6 +116,10 @@ def history_calendar(spark, d):
     return cal(spark, d).filter(F.col("yr_wk").between(w.start, w.end))
 
 
+def history_weeks(spark, d):
+    return [r["yr_wk"] for r in history_calendar(spark, d).select("yr_wk").collect()]
+
+
 def future_calendar(spark, d):
     w = window(spark, d)
     return cal(spark, d).filter(F.col("yr_wk").between(w.forecast_start, w.forecast_end))
@@ -105,13 +127,13 @@ def future_calendar(spark, d):
 
 def history_panel(spark, d, source=None):
     w = window(spark, d)
-    return tables.scan_panel(source if source is not None else gpanel(spark, d), w.start, w.end)
+    return tables.scan_panel(source if source is not None else gpanel(spark, d, (w.start, w.end)), w.start, w.end)
 
 
 def future_panel(spark, d, source=None):
     """Planned weeks: promotions known, quantities withheld."""
     w = window(spark, d)
-    rows = tables.scan_panel(source if source is not None else gpanel(spark, d),
+    rows = tables.scan_panel(source if source is not None else gpanel(spark, d, (w.forecast_start, w.forecast_end)),
                              w.forecast_start, w.forecast_end)
     return rows.withColumns({"qty": F.lit(0.0), "sales": F.lit(0.0)})
 
@@ -178,7 +200,7 @@ def _(spark, d):
 @query("scan_panel", """SELECT dept, group_code, yr_wk, qty, sales FROM gpanel
   WHERE yr_wk BETWEEN 199801 AND 199952 AND dept IN (1, 3)""")
 def _(spark, d):
-    return tables.scan_panel(gpanel(spark, d), 199801, 199952, [1, 3]).select(
+    return tables.scan_panel(gpanel(spark, d, (199801, 199952)), 199801, 199952, [1, 3]).select(
         "dept", "group_code", "yr_wk", "qty", "sales")
 
 
@@ -203,13 +225,14 @@ def _(spark, d):
 @query("future_targets", "SELECT DISTINCT group_code, dept FROM fpanel WHERE flyer_flag=1")
 def _(spark, d):
     w = window(spark, d)
-    return tables.future_targets(gpanel(spark, d), w.forecast_start, w.forecast_end)
+    weeks = (w.forecast_start, w.forecast_end)
+    return tables.future_targets(gpanel(spark, d, weeks), *weeks)
 
 
-@query("normalize_columns", "SELECT upc AS panel_upc, store AS st, yr_wk AS wm_week, units AS total_units FROM panel")
+@query("normalize_columns", "SELECT upc AS panel_upc, store AS st, yr_wk AS yr_week, units AS total_units FROM panel")
 def _(spark, d):
     raw = panel(spark, d).select(
-        F.col("upc").alias("PANEL.UPC"), F.col("store").alias("RAW.ST"), F.col("yr_wk").alias("Wm_Week"),
+        F.col("upc").alias("PANEL.UPC"), F.col("store").alias("RAW.ST"), F.col("yr_wk").alias("Yr_Week"),
         F.col("units").alias("TOTAL.UNITS"))
     return tables.normalize_columns(raw, "raw")
 
@@ -610,22 +633,22 @@ FIT = rnd("coalesce(avg(abs(fitted-modelled_qty)/modelled_qty) FILTER (modelled_
           "sqrt(avg(pow(fitted-modelled_qty,2))) AS rmse")
 
 
-@query("fit_metrics", f"SELECT group_code, {FIT} FROM base GROUP BY 1")
+@query("fit_metrics", f"SELECT dept, group_code, {FIT} FROM base GROUP BY ALL")
 def _(spark, d):
     return r6(B.fit_metrics(results(spark, d)))
 
 
-@query("baseline_level", "SELECT group_code, " + rnd("level") + " FROM levels_")
+@query("baseline_level", "SELECT dept, group_code, " + rnd("level") + " FROM levels_")
 def _(spark, d):
     return r6(FC.baseline_level(results(spark, d)))
 
 
-@query("promo_impact", "SELECT group_code, " + rnd(*[f"{p}_impact" for p in PROMOS]) + " FROM levels_")
+@query("promo_impact", "SELECT dept, group_code, " + rnd(*[f"{p}_impact" for p in PROMOS]) + " FROM levels_")
 def _(spark, d):
     return r6(FC.promo_impact(results(spark, d)))
 
 
-@query("mean_price", "SELECT group_code, " + rnd("price") + " FROM levels_")
+@query("mean_price", "SELECT dept, group_code, " + rnd("price") + " FROM levels_")
 def _(spark, d):
     return r6(FC.mean_price(results(spark, d)))
 
@@ -1193,15 +1216,38 @@ def _(spark, d):
                                        "total_qty", "total_sales", "modelled_qty", "fitted"), 4)
 
 
-@query("fit_log", "SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
-       + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "(r2/k)/((1-r2)/(n_weeks-k-1)) AS f_statistic",
-             "mape", "rmse") + """ FROM (SELECT group_code, dept, count(*) AS n_weeks,
+FIT_SQL = """SELECT dept, group_code, count(*) AS n_weeks,
   CASE WHEN max(slot) IS NULL THEN 1 ELSE 52 END AS k, pow(corr(modelled_qty, fitted),2) AS r2,
   CASE WHEN avg((modelled_qty=0)::INTEGER)>0.5 THEN 'Data sparse' ELSE 'Data not sparse' END AS sparsity_status,
   coalesce(avg(abs(fitted-modelled_qty)/modelled_qty) FILTER (modelled_qty>0),0) AS mape,
-  sqrt(avg(pow(fitted-modelled_qty,2))) AS rmse FROM base GROUP BY 1, 2)""")
+  sqrt(avg(pow(fitted-modelled_qty,2))) AS rmse, sqrt(avg(pow(trend-modelled_qty,2))) AS trend_rmse FROM base GROUP BY 1, 2"""
+FIT_CTES = dict(
+    fits=FIT_SQL,
+    fcases="""SELECT dept::VARCHAR || '|' || group_code AS id, (r2/k)/((1-r2)/(n_weeks-k-1)) AS f, k::DOUBLE AS d1,
+      (n_weeks-k-1)::DOUBLE AS d2 FROM fits""")
+
+
+@query("fit_log", "SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
+       + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "f AS f_statistic", "p AS p_value", "mape", "rmse", "trend_rmse",
+             "forecast_wmape", "forecast_mape")
+       + " FROM fits JOIN ftail ON id = dept::VARCHAR || '|' || group_code JOIN fcerrors USING (dept, group_code)", **FIT_CTES)
+def _(spark, d):
+    weekly = sink.shared(history_panel(spark, d))
+    rows = sink.shared(M.prepared_rows(weekly, history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS))
+    errors = BT.forecast_errors(BT.rolling_forecasts(rows, BT.origin_weeks(history_weeks(spark, d)), PARAMS))
+    return r6(B.fit_log(B.baseline_results(M.finish_table(rows, PARAMS)), errors))
+
+
+@query("rolling_forecasts", "SELECT origin, dept, group_code, yr_wk, " + rnd("forecast", "actual", digits=4) + " FROM oerrors")
 def _(spark, d):
-    return r6(B.fit_log(results(spark, d)))
+    rows = sink.shared(M.prepared_rows(history_panel(spark, d), history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS))
+    return r6(BT.rolling_forecasts(rows, BT.origin_weeks(history_weeks(spark, d)), PARAMS), 4)
+
+
+@query("forecast_errors", "SELECT dept, group_code, n_forecasts, " + rnd("forecast_wmape", "forecast_mape") + " FROM fcerrors")
+def _(spark, d):
+    rows = sink.shared(M.prepared_rows(history_panel(spark, d), history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS))
+    return r6(BT.forecast_errors(BT.rolling_forecasts(rows, BT.origin_weeks(history_weeks(spark, d)), PARAMS)))
 
 
 @query("forecast", "SELECT dept, group_code, yr_wk, " + rnd(
@@ -1216,16 +1262,20 @@ def _(spark, d):
 
 # Least squares on slots and promotions by successive projection: demean within the
 # slots, then take out one promotion after the other.
-OLS: dict[str, str] = {
-    "ols0": "SELECT dept, group_code, yr_wk, up - avg(up) OVER s AS y, " + ", ".join(
-        f"{p} - avg({p}) OVER s AS x{i}" for i, p in enumerate(PROMOTIONS))
-    + """ FROM (SELECT *, greatest(modelled_qty-trend, 0) AS up FROM table_full)
+def _projections(terms, name: str, source: str) -> dict[str, str]:
+    out = {f"{name}0": "SELECT dept, group_code, yr_wk, up - avg(up) OVER s AS y, " + ", ".join(
+        f"{p} - avg({p}) OVER s AS x{i}" for i, p in enumerate(terms))
+        + f""" FROM (SELECT *, greatest(modelled_qty-trend, 0) AS up FROM {source})
     WINDOW s AS (PARTITION BY group_code, slot)"""}
-for _i in range(len(PROMOTIONS)):
-    _later = ["y", *[f"x{j}" for j in range(_i + 1, len(PROMOTIONS))]]
-    OLS[f"ols{_i + 1}"] = "SELECT dept, group_code, yr_wk, " + ", ".join(
-        f"{c} - CASE WHEN sum(x{_i}*x{_i}) OVER g > 1e-9 THEN x{_i}*(sum({c}*x{_i}) OVER g)/(sum(x{_i}*x{_i}) OVER g) "
-        f"ELSE 0 END AS {c}" for c in _later) + f" FROM ols{_i} WINDOW g AS (PARTITION BY group_code)"
+    for i in range(len(terms)):
+        later = ["y", *[f"x{j}" for j in range(i + 1, len(terms))]]
+        out[f"{name}{i + 1}"] = "SELECT dept, group_code, yr_wk, " + ", ".join(
+            f"{c} - CASE WHEN sum(x{i}*x{i}) OVER g > 1e-9 THEN x{i}*(sum({c}*x{i}) OVER g)/(sum(x{i}*x{i}) OVER g) "
+            f"ELSE 0 END AS {c}" for c in later) + f" FROM {name}{i} WINDOW g AS (PARTITION BY group_code)"
+    return out
+
+
+OLS = _projections(PROMOTIONS, "ols", "table_full")
 OLS_CTES = dict(OLS, table_full=TABLE_FULL)
 
 
@@ -1255,14 +1305,14 @@ def _(spark, d):
 
 @query("level_shifts")
 def _(spark, d):
-    return LV.level_shifts(table(spark, d)).select("group_code", F.explode_outer("breaks").alias("break_after"))
+    return LV.level_shifts(table(spark, d)).select("dept", "group_code", F.explode_outer("breaks").alias("break_after"))
 
 
 @query("trendless_levels")
 def _(spark, d):
     rows = sink.shared(table(spark, d))
     kept = LV.trendless_levels(rows, LV.level_shifts(rows))
-    return kept.select("group_code", F.explode_outer("breaks").alias("break_after"))
+    return kept.select("dept", "group_code", F.explode_outer("breaks").alias("break_after"))
 
 
 @query("level_trend")
@@ -1281,44 +1331,210 @@ def _(spark, d):
     return r6(rows.select("group_code", "t", "seasonal", "remainder"))
 
 
-@query("promo_regression")
+# --- regressions: numbered terms as the plan enters them, with and without holidays ---
+OWN = RG.own_terms()
+OWN_HOLIDAYS = RG.own_terms(HOLIDAYS)
+
+
+def _long_terms(names, source: str) -> str:
+    value = {"intercept": "1"} | {f"week_{i}": f"coalesce((slot={i})::INTEGER, 0)" for i in range(1, SLOTS + 1)}
+    listed = ", ".join(f"coalesce({value.get(n, n)}, 0)::DOUBLE" for n in names)
+    return f"""SELECT k, r, i, x FROM (SELECT dept::VARCHAR || '|' || group_code AS k, yr_wk AS r,
+      unnest(range({len(names)})) AS i, unnest([{listed}]) AS x FROM {source}) WHERE x<>0
+      UNION ALL SELECT dept::VARCHAR || '|' || group_code, yr_wk, {TARGET}, modelled_qty FROM {source}"""
+
+
+def _named(names, fit: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return (f"SELECT split_part(k, '|', 1)::INTEGER AS dept, split_part(k, '|', 2) AS group_code, ([{listed}])[i+1] AS term, "
+            f"coef, std_error, t_value, n, dof, r2, rss FROM {fit} WHERE i<{RG.CROSS_TERMS}")
+
+
+FIT_VALUES = ("coef", "std_error", "t_value", "r2", "rss")
+FIT_COLUMNS = sig(*FIT_VALUES) + ", n, dof"
+OWN_FIT = dict(fit_blocks("ownfit", _long_terms(OWN, "table_")), owncoef=_named(OWN, "ownfit"))
+HOLIDAY_FIT = dict(fit_blocks("holfit", _long_terms(OWN_HOLIDAYS, "table_h")), holcoef=_named(OWN_HOLIDAYS, "holfit"),
+                   table_h="SELECT t.*, " + ", ".join(f"w.{h}" for h in HOLIDAYS) + " FROM table_ t JOIN hweeks w USING (yr_wk)")
+
+
+def rounded_fit(df: DataFrame) -> DataFrame:
+    return five_digits(df, FIT_VALUES)
+
+
+@query("promo_regression", "SELECT dept, group_code, term, " + FIT_COLUMNS + " FROM owncoef", **OWN_FIT)
+def _(spark, d):
+    return rounded_fit(RG.promo_regression(table(spark, d)))
+
+
+def holiday_table(spark, d):
+    rows = H.holiday_weeks(cal(spark, d))
+    return M.model_table(history_panel(spark, d), history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS, holidays=rows)
+
+
+@query("promo_regression_holidays", "SELECT dept, group_code, term, " + FIT_COLUMNS + " FROM holcoef", **HOLIDAY_FIT)
 def _(spark, d):
-    return r6(RG.promo_regression(table(spark, d)))
+    return rounded_fit(RG.promo_regression(holiday_table(spark, d), HOLIDAYS))
+
+
+CLASSED = """SELECT dept, group_code, term, CASE WHEN coef>=0 THEN 'Positive' ELSE 'Negative' END ||
+  CASE WHEN abs(t_value)>=2 THEN '_Significant' ELSE '_Insignificant' END AS class FROM {} WHERE term IN (""" + ", ".join(
+    f"'{p}'" for p in PROMOTIONS) + ")"
+CLASS_LISTS = ", ".join(f"coalesce(string_agg(term, ', ' ORDER BY term) FILTER (class='{c}'), '') AS {c}" for c in RG.CLASSES)
 
 
-@query("coefficient_classes")
+@query("coefficient_classes", f"SELECT dept, group_code, {CLASS_LISTS} FROM classed GROUP BY 1, 2",
+       classed=CLASSED.format("owncoef"), **OWN_FIT)
 def _(spark, d):
     return RG.coefficient_classes(RG.promo_regression(table(spark, d)))
 
 
-@query("lag_contributions")
+@query("insight_classes", "SELECT dept, group_code, 'NATIONAL' AS region, " + sig(*[
+    f"coalesce(max(coef) FILTER (term='{p}'), 0) AS {p}" for p in PROMOTIONS]) + f", {CLASS_LISTS.replace('(term', '(c.term')} "
+       "FROM holcoef h LEFT JOIN classed c USING (dept, group_code, term) GROUP BY 1, 2", classed=CLASSED.format("holcoef"), **HOLIDAY_FIT)
+def _(spark, d):
+    return five_digits(RG.insight_classes(RG.promo_regression(holiday_table(spark, d), HOLIDAYS)), PROMOTIONS)
+
+
+LAG_SHARES = " UNION ALL ".join(f"SELECT dept, group_code, yr_wk, '{c}' AS lag, {c}::DOUBLE AS value FROM table_ WHERE coalesce({c}, 0)<>0"
+                                for c in LAG_COLUMNS)
+
+
+@query("lag_contributions", "SELECT dept, group_code, yr_wk, lag, " + sig("coef*value AS contribution")
+       + " FROM lagged l JOIN owncoef c USING (dept, group_code) WHERE term=lag", lagged=LAG_SHARES, **OWN_FIT)
 def _(spark, d):
     t = sink.shared(table(spark, d))
-    return r6(RG.lag_contributions(t, RG.promo_regression(t)))
+    return five_digits(RG.lag_contributions(t, RG.promo_regression(t)), ["contribution"])
 
 
-@query("wide_coefficients")
+@query("wide_coefficients", "SELECT dept, group_code, " + sig(*[
+    f"max(coef) FILTER (term='{p}') AS {p}_coef" for p in PROMOTIONS]) + " FROM owncoef GROUP BY 1, 2", **OWN_FIT)
 def _(spark, d):
-    return r6(RG.wide_coefficients(RG.promo_regression(table(spark, d)), PROMOTIONS))
+    return five_digits(RG.wide_coefficients(RG.promo_regression(table(spark, d)), PROMOTIONS), [f"{p}_coef" for p in PROMOTIONS])
+
+
+def _edge_fit(kind: str) -> dict[str, str]:
+    """Edge by edge: the target's detrended quantity on the promotions of one focus group."""
+    name, key = f"{kind}fit", "target_dept::VARCHAR || '|' || target_group || '|' || focus_dept::VARCHAR || '|' || focus_group"
+    number = "CASE promo " + " ".join(f"WHEN '{p}' THEN {i + 1}" for i, p in enumerate(PROMOTIONS)) + " END"
+    value = "CASE promo " + " ".join(f"WHEN '{p}' THEN {p}::DOUBLE" for p in PROMOTIONS) + " END"
+    base = f"""SELECT {key} AS k, t.yr_wk AS r, {number} AS i, {value.replace("THEN ", "THEN f.")} AS x, t.modelled_qty-t.trend AS y
+      FROM (SELECT * EXCLUDE (promos), unnest(promos) AS promo FROM {kind}_edges) e
+      JOIN table_ f ON f.dept=focus_dept AND f.group_code=focus_group
+      JOIN table_ t ON t.dept=target_dept AND t.group_code=target_group AND t.yr_wk=f.yr_wk"""
+    base = base.replace("THEN f.1", "THEN 1")
+    fits = fit_blocks(name, f"""SELECT k, r, i, x FROM {kind}rows WHERE x<>0 UNION ALL SELECT DISTINCT k, r, 0, 1 FROM {kind}rows
+      UNION ALL SELECT DISTINCT k, r, {TARGET}, y FROM {kind}rows""")
+    listed = ", ".join(f"'{p}'" for p in PROMOTIONS)
+    return {f"{kind}rows": base, **fits, f"{kind}coef": f"""SELECT split_part(k, '|', 1)::INTEGER AS target_dept, split_part(k, '|', 2) AS target_group,
+      split_part(k, '|', 3)::INTEGER AS focus_dept, split_part(k, '|', 4) AS focus_group, ([{listed}])[i] AS promo, coef FROM {name} WHERE i>0"""}
 
 
 for _kind in ("cann", "halo"):
-    @query(f"relation_coefficients_{_kind}")
+    @query(f"relation_coefficients_{_kind}", "SELECT target_dept, target_group, focus_dept, focus_group, promo, " + sig("coef")
+           + f" FROM {_kind}coef", **_edge_fit(_kind))
     def _(spark, d, kind=_kind):
         weekly = sink.shared(table(spark, d))
         f = X.cross_features(weekly, retail.relation_edges(spark, d, kind), kind)
-        return r6(RG.relation_coefficients(weekly, f))
+        return five_digits(RG.relation_coefficients(weekly, f), ["coef"])
 
 
-@query("wide_relation_coefficients")
+@query("wide_relation_coefficients", "SELECT target_dept AS dept, target_group AS group_code, focus_group, focus_dept, " + sig(*[
+    f"max(coef) FILTER (promo='{p}') AS {p}_focus_coef" for p in PROMOTIONS]) + " FROM canncoef GROUP BY 1, 2, 3, 4", **_edge_fit("cann"))
 def _(spark, d):
     weekly = sink.shared(table(spark, d))
-    edges = retail.relation_edges(spark, d, "cann")
-    f = X.cross_features(weekly, edges, "cann")
-    return r6(RG.wide_relation_coefficients(RG.relation_coefficients(weekly, f), edges))
+    f = X.cross_features(weekly, retail.relation_edges(spark, d, "cann"), "cann")
+    return five_digits(RG.wide_relation_coefficients(RG.relation_coefficients(weekly, f)), [f"{p}_focus_coef" for p in PROMOTIONS])
 
 
-@query("model_results")
+RESULT_TERMS = [*PROMOTIONS, *[f"week_{i}" for i in range(1, SLOTS + 1)], *HOLIDAYS, *LAG_COLUMNS, "intercept"]
+
+
+@query("model_results", "SELECT r.dept, r.group_code, yr_wk, region, " + rnd(
+    "qty", "modelled_qty", "baseline_qty", "qty AS total_qty", "baseline_sales", "sales AS total_sales", "lift_sales", "lift_share",
+    "trend", "regular_price", "fitted", digits=4) + ", " + sig(*[f"coalesce({t}_coef, 0) AS {t}_coef" for t in RESULT_TERMS],
+    *[f"coalesce({c}_coef, 0)*coalesce({c}, 0) AS {c}_contri" for c in LAG_COLUMNS])
+    + " FROM (SELECT *, 'NATIONAL' AS region FROM results) r JOIN widecoef w ON w.dept=r.dept AND w.group_code=r.group_code",
+       widecoef="SELECT dept, group_code, " + ", ".join(f"max(coef) FILTER (term='{t}') AS {t}_coef" for t in RESULT_TERMS)
+       + " FROM holcoef GROUP BY 1, 2", **HOLIDAY_FIT)
 def _(spark, d):
-    weekly = sink.shared(table(spark, d))
-    return r6(RG.model_results(B.baseline_results(weekly), RG.promo_regression(weekly)))
+    weekly = sink.shared(holiday_table(spark, d))
+    wide = RG.model_results(B.baseline_results(weekly), RG.promo_regression(weekly, HOLIDAYS), HOLIDAYS)
+    return r6(five_digits(wide, [c for c in wide.columns if c.endswith(("_coef", "_contri"))]), 4)
+
+
+# --- cross features in the table, and one fit with them ---
+
+def both_edges(spark, d):
+    return {kind: retail.relation_edges(spark, d, kind) for kind in ("cann", "halo")}
+
+
+def cross_table(spark, d):
+    """The modelling table with cross features, and their dictionary."""
+    weekly = sink.keyed(history_panel(spark, d), ("dept", "group_code"))
+    names = sink.shared(X.cross_dictionary(weekly, both_edges(spark, d)))
+    return M.model_table(weekly, history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS, names), names
+
+
+@query("cross_dictionary", "SELECT target_dept, target_group, feature, kind, focus_dept, focus_group, promo, name FROM crossdict")
+def _(spark, d):
+    names = X.cross_dictionary(history_panel(spark, d), both_edges(spark, d))
+    return names.select("target_dept", "target_group", "feature", "kind", "focus_dept", "focus_group", "promo", "name")
+
+
+@query("model_table_cross", "SELECT dept, group_code, yr_wk, " + rnd("modelled_qty", "trend") + """,
+  coalesce(cross_, '') AS cross_features FROM table_ LEFT JOIN (SELECT dept, group_code, yr_wk,
+    string_agg(feature::VARCHAR || '=' || printf('%.1f', value), ' ' ORDER BY feature) AS cross_ FROM crossvals WHERE value<>0 GROUP BY 1, 2, 3)
+  USING (dept, group_code, yr_wk)""")
+def _(spark, d):
+    rows, _names = cross_table(spark, d)
+    pairs = F.transform(F.array_sort(F.map_entries("cross")), lambda e: F.format_string("%d=%.1f", e["key"], e["value"]))
+    return r6(rows.select("dept", "group_code", "yr_wk", "modelled_qty", "trend", F.array_join(pairs, " ").alias("cross_features")))
+
+
+@query("cross_long", "SELECT dept, group_code, yr_wk, name, value FROM crossvals JOIN table_ USING (dept, group_code, yr_wk) WHERE value<>0")
+def _(spark, d):
+    rows, names = cross_table(spark, d)
+    return X.cross_long(rows, names)
+
+
+JOINT = fit_blocks("jointfit", _long_terms(OWN, "table_") + f""" UNION ALL SELECT dept::VARCHAR || '|' || group_code, yr_wk,
+  {RG.CROSS_TERMS}+feature, value FROM crossvals JOIN table_ USING (dept, group_code, yr_wk) WHERE value<>0""")
+JOINT["jointcoef"] = f"""SELECT j.dept, j.group_code, coalesce(kind, 'own') AS kind, coalesce(name, term) AS term, focus_dept, focus_group, promo,
+  coef, std_error, t_value, n, dof, r2, rss FROM (SELECT split_part(k, '|', 1)::INTEGER AS dept, split_part(k, '|', 2) AS group_code, i,
+    ([{", ".join(f"'{n}'" for n in OWN)}])[i+1] AS term, coef, std_error, t_value, n, dof, r2, rss FROM jointfit) j
+  LEFT JOIN crossdict x ON x.target_dept=j.dept AND x.target_group=j.group_code AND x.feature=j.i-{RG.CROSS_TERMS}"""
+
+
+@query("joint_regression", "SELECT dept, group_code, kind, term, focus_dept, focus_group, promo, " + FIT_COLUMNS + " FROM jointcoef", **JOINT)
+def _(spark, d):
+    return rounded_fit(RG.joint_regression(*cross_table(spark, d)))
+
+
+for _kind in ("cann", "halo"):
+    @query(f"joint_relations_{_kind}", "SELECT dept, group_code, focus_group, focus_dept, " + sig(*[
+        f"max(coef) FILTER (promo='{p}') AS {p}_focus_coef" for p in PROMOTIONS])
+        + f" FROM jointcoef WHERE kind='{_kind}' GROUP BY 1, 2, 3, 4", **JOINT)
+    def _(spark, d, kind=_kind):
+        return five_digits(RG.joint_relations(RG.joint_regression(*cross_table(spark, d)), kind), [f"{p}_focus_coef" for p in PROMOTIONS])
+
+
+@query("holiday_weeks", "SELECT yr_wk, " + ", ".join(HOLIDAYS) + """, coalesce(lead(good_friday, 1) OVER (ORDER BY yr_wk), 0) AS good_friday_before_1,
+  coalesce(lag(good_friday, 1) OVER (ORDER BY yr_wk), 0) AS good_friday_after_1 FROM hweeks""")
+def _(spark, d):
+    # weeks in which order lines were shipped, so the calendar of the table
+    weeks = H.holiday_weeks(cal(spark, d), lead=1, lag=1)
+    return weeks.select("yr_wk", *HOLIDAYS, "good_friday_before_1", "good_friday_after_1")
+
+
+# Least squares on slots, promotions and holidays, as above with more terms
+OLS_HOLIDAYS = _projections([*PROMOTIONS, *HOLIDAYS], "ohl", "table_full JOIN hweeks USING (yr_wk)")
+PF_HOLIDAYS = dict(OLS_HOLIDAYS, table_full=TABLE_FULL, longlags=LONG_KEPT,
+                   seasoned=f"SELECT group_code, yr_wk, y AS resid FROM ohl{len(PROMOTIONS) + len(HOLIDAYS)}", corr_=LAG_CORR)
+
+
+@query("pull_forward_holidays", """SELECT group_code AS focus_group, -0.000001::DOUBLE AS correlation_level,
+  string_agg('''' || lag || '''', ', ' ORDER BY lag) AS pf_promotions, dept AS focus_dept
+  FROM corr_ WHERE r <= -0.000001 GROUP BY group_code, dept""", **PF_HOLIDAYS)
+def _(spark, d):
+    rows = M.model_table(history_panel(spark, d), history_calendar(spark, d), None, PARAMS, holidays=H.holiday_weeks(cal(spark, d)))
+    return P.pull_forward(rows, HOLIDAYS)

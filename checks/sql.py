@@ -236,20 +236,134 @@ SELECT *, sales-baseline_sales AS lift_sales,
   CASE WHEN baseline_sales>0 THEN (sales-baseline_sales)/baseline_sales ELSE 0 END AS lift_share
 FROM (SELECT *, baseline_qty*regular_price AS baseline_sales FROM base)""")
 
+# P(F >= f): the incomplete beta integral by Simpson's rule on 2000 intervals, for d2 > 2
+block("ftail", """
+SELECT id, f, d1, d2, least(1.0, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END * x/6000
+  * CASE WHEN i=0 THEN 0 ELSE exp(lgamma((d1+d2)/2)-lgamma(d1/2)-lgamma(d2/2)
+      + (d2/2-1)*ln(x*i/2000.0) + (d1/2-1)*ln(1-x*i/2000.0)) END)) AS p
+FROM (SELECT *, d2/(d2+d1*f) AS x FROM fcases), (SELECT unnest(range(2001)) AS i)
+GROUP BY ALL""")
+
 block("levels_", """
-SELECT group_code, greatest(coalesce(max(baseline_qty) FILTER (rn=1),0),
+SELECT dept, group_code, greatest(coalesce(max(baseline_qty) FILTER (rn=1),0),
     coalesce(avg(baseline_qty) FILTER (rn<=12),0)) AS level,
   coalesce(nullif(avg(regular_price),0),10.0) AS price, """ + ", ".join(
     f"coalesce(avg(lift_share) FILTER ({p}>0), 0.10) AS {p}_impact" for p in PROMOS) + """
 FROM (SELECT *, row_number() OVER (PARTITION BY group_code ORDER BY yr_wk DESC) AS rn FROM results)
-GROUP BY 1""")
+GROUP BY 1, 2""")
 block("ahead", """
 SELECT dept, group_code, yr_wk, """ + ", ".join(PROMOS) + """, level AS baseline_qty, price AS regular_price,
   level*""" + "*".join(f"(CASE WHEN {p}>0 THEN 1+{p}_impact ELSE 1 END)" for p in PROMOS) + """ AS qty
-FROM fclean JOIN levels_ USING (group_code)""")
+FROM fclean JOIN levels_ USING (dept, group_code)""")
+ORIGINS = 3
+block("origins_", f"""
+SELECT a.yr_wk AS origin, b.yr_wk AS until FROM (SELECT yr_wk, row_number() OVER (ORDER BY yr_wk DESC) AS n FROM hcal) a
+JOIN (SELECT yr_wk, row_number() OVER (ORDER BY yr_wk DESC) AS n FROM hcal) b ON a.n=b.n+12
+WHERE a.n IN ({', '.join(str(13 + 4 * i) for i in range(ORIGINS))})""")
+
+
+def by_origin(name: str) -> str:
+    """A block of the chain with the origin beside the group."""
+    text = BLOCKS[name].replace("h.* EXCLUDE (det, promo, modelled_qty, first_t)", "h.* EXCLUDE (det, promo, modelled_qty, first_t)")
+    text = text.replace("d.group_code,", "d.origin, d.group_code,").replace("USING (group_code)", "USING (origin, group_code)")
+    text = text.replace("PARTITION BY group_code", "PARTITION BY origin, group_code").replace("SELECT group_code,", "SELECT origin, group_code,")
+    text = text.replace("SELECT dept, group_code,", "SELECT origin, dept, group_code,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
+    text = re.sub(r"GROUP BY 1(?!,)", "GROUP BY 1, 2", text)
+    for other in ("hslot", "hfirst", "hline", "htrend", "hdet", "hcenter", "table_", "base", "results"):
+        text = re.sub(rf"\b{other}\b", f"o{other}", text)
+    return text
+
+
+block("ohslot", """
+SELECT *, CASE WHEN count(*) OVER (PARTITION BY origin, group_code) >= 104 THEN ((t-1)%52+1)::INTEGER END AS slot
+FROM hhead JOIN origins_ ON yr_wk <= origin""")
+for _name in ("hfirst", "hline", "htrend", "hdet", "hcenter", "table_", "base", "results", "levels_"):
+    block("o" + _name, by_origin(_name))
+block("oerrors", """
+SELECT origin, dept, group_code, yr_wk, modelled_qty AS actual, level*""" + "*".join(
+    f"(CASE WHEN {p}>0 THEN 1+{p}_impact ELSE 1 END)" for p in PROMOS) + """ AS forecast
+FROM hhead JOIN origins_ ON yr_wk > origin AND yr_wk <= until JOIN olevels_ USING (origin, dept, group_code)""")
+block("fcerrors", """
+SELECT dept, group_code, count(*) AS n_forecasts, sum(abs(forecast-actual))/nullif(sum(actual), 0) AS forecast_wmape,
+  avg(abs(forecast-actual)/actual) FILTER (actual>0) AS forecast_mape FROM oerrors GROUP BY 1, 2""")
+
 ACTIVE = "coalesce(nullif(concat_ws(', ', " + ", ".join(
     f"CASE WHEN {p}>0 THEN '{p}' END" for p in PROMOS) + "), ''), 'No promotions')"
 
+# --- least squares -------------------------------------------------------------
+TARGET = 1 << 30
+
+
+def fit_blocks(name: str, long: str) -> dict[str, str]:
+    """Blocks for the least squares of many keys; `long` gives (k, r, i, x): key, row, term number, value without zeros;
+    term 0 is 1 in every row, term TARGET is the target (in every row).
+
+    Gauss-Jordan elimination of the sums of products beside an identity, one term a step, a row per term holding its
+    sums as a list. Terms that earlier ones span are left out. The block {name} has k, i, coef, std_error, t_value, n,
+    dof, r2, rss."""
+    v, t, g, s, e, q = (f"{name}_{c}" for c in "vtgseq")
+    return {
+        v: long,
+        t: f"""SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i)::INTEGER AS pos, (count(*) OVER (PARTITION BY k)-1)::INTEGER AS m
+          FROM (SELECT DISTINCT k, i FROM {v})""",
+        g: f"""SELECT a.k, a.pos, a.i, a.m, list(coalesce(s, 0) ORDER BY b.pos) AS own FROM {t} a JOIN {t} b ON a.k=b.k
+          LEFT JOIN (SELECT c.k, c.i, d.i AS j, sum(c.x*d.x) AS s FROM {v} c JOIN {v} d ON c.k=d.k AND c.r=d.r GROUP BY ALL) p
+            ON p.k=a.k AND p.i=a.i AND p.j=b.i GROUP BY ALL""",
+        s: f"""SELECT 0 AS step, k, pos, i, m, own[pos] AS size, false AS kept,
+            own || list_transform(range(1, m+1), lambda j: CASE WHEN j=pos THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS row FROM {g} WHERE i<>{TARGET}
+          UNION ALL SELECT step+1, k, pos, i, m, size, kept OR (pos=step+1 AND usable), CASE WHEN NOT usable THEN row
+            WHEN pos=step+1 THEN list_transform(row, lambda x: x/top_row[step+1])
+            ELSE list_transform(list_zip(row, top_row), lambda z: z[1]-row[step+1]/top_row[step+1]*z[2]) END
+          FROM (SELECT *, top_row[step+1] > 1e-10*top_size AS usable FROM
+            (SELECT *, any_value(row) FILTER (pos=step+1) OVER (PARTITION BY k) AS top_row,
+              any_value(size) FILTER (pos=step+1) OVER (PARTITION BY k) AS top_size FROM {s} WHERE step<m))""",
+        e: f"""SELECT k, i, pos, row[m+1] AS coef, row[m+1+pos] AS inverse FROM {s} WHERE step=m AND kept""",
+        q: f"""SELECT y.k, n, n-terms AS dof, rss, 1-rss/nullif(yy-sy*sy/n, 0) AS r2 FROM
+          (SELECT k, own[m+1] AS yy, own[1] AS sy FROM {g} WHERE i={TARGET}) y JOIN
+          (SELECT k, own[1] AS n FROM {g} WHERE i=0) USING (k) JOIN
+          (SELECT e.k, count(*) AS terms, any_value(y.yy)-sum(e.coef*g.own[g.m+1]) AS rss FROM {e} e JOIN {g} g ON g.k=e.k AND g.i=e.i
+            JOIN (SELECT k, own[m+1] AS yy FROM {g} WHERE i={TARGET}) y ON y.k=e.k GROUP BY e.k) USING (k)""",
+        name: f"""SELECT e.k, e.i, coef, sqrt(inverse*rss/dof) AS std_error, coef/sqrt(inverse*rss/dof) AS t_value,
+          n::INTEGER AS n, dof::INTEGER AS dof, r2, rss FROM {e} e JOIN {q} q ON q.k=e.k"""}
+
+
+# --- holidays: Easter by the method of the anonymous correspondent of 1876 --------
+block("hyears", "SELECT DISTINCT y FROM (SELECT unnest([year(start_date), year(end_date)]) AS y FROM cal)")
+block("heaster", """
+SELECT y, make_date(y, ((h+l-7*m+114)//31)::INTEGER, ((h+l-7*m+114)%31+1)::INTEGER) AS easter FROM
+ (SELECT *, (a+11*h+22*l)//451 AS m FROM (SELECT *, (32+2*(b%4)+2*(c//4)-h-c%4)%7 AS l FROM
+ (SELECT *, (19*a+b-b//4-((b-(b+8)//25+1)//3)+15)%30 AS h FROM (SELECT y, y%19 AS a, y//100 AS b, y%100 AS c FROM hyears))))""")
+
+
+def _nth_monday(month: int, n: int) -> str:
+    first = f"make_date(y, {month}, 1)"
+    return f"({first} + ((8-isodow({first}))%7)::INTEGER + {7 * (n - 1)})::DATE"
+
+
+HOLIDAY_DAYS = {
+    "canada_day": "make_date(y,7,1)", "commonwealth_day": _nth_monday(3, 2), "christmas_day": "make_date(y,12,25)",
+    "thanksgiving_day": _nth_monday(10, 2), "groundhog_day": "make_date(y,2,2)", "labor_day": _nth_monday(9, 1),
+    "valentines_day": "make_date(y,2,14)", "national_aborginal_day": "make_date(y,6,21)", "st_patricks_day": "make_date(y,3,17)",
+    "epiphany_day": "make_date(y,1,6)", "national_tartan_day": "make_date(y,4,6)", "remembrance_day": "make_date(y,11,11)",
+    "hlthcr_ad_day": "make_date(y,10,18)", "vimy_ridge_day": "make_date(y,4,9)", "good_friday": "(easter-2)::DATE",
+    "new_years": "make_date(y,1,1)", "anniversary_of_the_statue_of_westminister": "make_date(y,12,11)", "halloween": "make_date(y,10,31)"}
+block("hdays", " UNION ALL ".join(f"SELECT '{n}' AS holiday, {e} AS day FROM heaster" for n, e in HOLIDAY_DAYS.items()))
+block("hweeks", "SELECT yr_wk, " + ", ".join(
+    f"coalesce(max((holiday='{n}')::INTEGER), 0) AS {n}" for n in HOLIDAY_DAYS)
+    + " FROM cal LEFT JOIN hdays ON day BETWEEN start_date AND end_date GROUP BY yr_wk")
+
+# --- cross features ---------------------------------------------------------------
+block("crossdict", """
+SELECT target_dept, target_group, kind, focus_dept, focus_group, promo, focus_group || '_' || promo || '_' || upper(kind) || '_PROMO' AS name,
+  (row_number() OVER (PARTITION BY target_dept, target_group ORDER BY kind, focus_group, focus_dept, promo)-1)::INTEGER AS feature
+FROM (SELECT DISTINCT target_dept, target_group, 'cann' AS kind, focus_dept, focus_group, unnest(promos) AS promo FROM cann_edges
+  UNION SELECT DISTINCT target_dept, target_group, 'halo', focus_dept, focus_group, unnest(promos) FROM halo_edges) e
+WHERE EXISTS (SELECT 1 FROM hpanel p WHERE p.dept=target_dept AND p.group_code=target_group)
+  AND EXISTS (SELECT 1 FROM hpanel p WHERE p.dept=focus_dept AND p.group_code=focus_group)""")
+block("crossvals", "SELECT target_dept AS dept, target_group AS group_code, yr_wk, feature, name, CASE promo "
+      + " ".join(f"WHEN '{p}' THEN {p}::DOUBLE" for p in PROMOTIONS)
+      + """ END AS value FROM crossdict x JOIN hclean c ON c.dept=x.focus_dept AND c.group_code=x.focus_group""")
+
 # --- elasticity --------------------------------------------------------------
 block("esrows", """
 SELECT upc, store, yr_wk, regular_price, units,

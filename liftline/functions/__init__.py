@@ -1,3 +1,4 @@
 """Scalar column functions."""
 
+from .distributions import *  # noqa: F401,F403
 from .scalars import *  # noqa: F401,F403

@@ -12,7 +12,7 @@ from ..params import EPSILON, METRIC_DECIMALS
 
 __all__ = [
     "active_promos", "any_nonzero", "any_positive", "clamp_nonneg", "clean_name",
-    "half_up", "in_weeks", "mean_ratio_exceeds", "metric_round", "multiplier",
+    "half_up", "in_weeks", "metric_round", "multiplier",
     "normal_two_sided_p", "parse_quoted_list", "percent_text", "promo_class", "quoted_list",
     "ratio_or_null", "safe_log", "to_number", "units_text",
 ]
@@ -103,13 +103,6 @@ def ratio_or_null(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def mean_ratio_exceeds(a: Column, b: Column, level: float, floor: float = 1e-7) -> Column:
-    """True when a and b differ by more than the factor `level`, either way."""
-    right = F.when(b == 0, F.lit(floor)).otherwise(b)
-    left = F.when(a == 0, F.lit(floor)).otherwise(a)
-    return (F.abs(left / right) > level) | (F.abs(right / left) > level)
-
-
 def percent_text(value: Column) -> Column:
     return F.format_string("%.1f%%", 100 * value)
 

@@ -6,9 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import any_nonzero, any_positive, clamp_nonneg, promo_class, to_number
-from ..params import DEPTHS, FLAGS, PAGES, PROMOTIONS, REGION, WEEK
+from ..params import DEPTHS, FLAGS, KEYS, PAGES, PROMOTIONS, REGION, WEEK
 
 
 def drop_incomplete(panel: DataFrame) -> DataFrame:
@@ -71,8 +72,11 @@ def page_location_text(panel: DataFrame) -> DataFrame:
 
 
 def zero_fill(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Numeric nulls to 0."""
-    return df.na.fill(0, subset=list(columns)) if columns else df.na.fill(0)
+    """Numeric nulls to 0, by default in all columns but the keys and the week, which stay as they are."""
+    if columns is None:
+        kept = {*KEYS, WEEK}
+        columns = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in kept]
+    return df.na.fill(0, subset=list(columns))
 
 
 def default_region(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operators on the levels of a series.
 
-Rows carry group_code, level, t (1, 2, ... in the group) and a value. A level is
+Rows carry the keys of a series, level, t (1, 2, ... in the series) and a value. A level is
 part of one series, so its length is bounded by the calendar.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal_two_sided_p, ratio_or_null
-from ..params import GROUP, SLOTS
+from ..params import SLOTS, keys_of
 
 # --- fixed values ---
 WINDOW_WEEKS = 14
@@ -20,22 +20,22 @@ OUTLIER_BOUND = 0.1
 # --- end of fixed values ---
 
 
-def by_level() -> Window:
-    return Window.partitionBy(GROUP, "level")
+def by_level(frame: DataFrame) -> Window:
+    return Window.partitionBy(*keys_of(frame.columns), "level")
 
 
 def window_medians(rows: DataFrame, value: str, length: int = WINDOW_WEEKS) -> DataFrame:
     """Add `window_median`: median over consecutive runs of `length` rows of the level."""
-    rn = F.row_number().over(by_level().orderBy("t"))
+    rn = F.row_number().over(by_level(rows).orderBy("t"))
     staged = rows.withColumn("run", F.floor((rn - 1) / length).cast("int"))
-    per_run = Window.partitionBy(GROUP, "level", "run")
+    per_run = Window.partitionBy(*keys_of(rows.columns), "level", "run")
     return staged.withColumn("window_median", F.median(value).over(per_run)).drop("run")
 
 
 def level_center(rows: DataFrame, value: str) -> DataFrame:
     """Add `center` and `mad`: median and median absolute deviation of the level."""
-    staged = rows.withColumn("center", F.median(value).over(by_level()))
-    return staged.withColumn("mad", F.median(F.abs(F.col(value) - F.col("center"))).over(by_level()))
+    staged = rows.withColumn("center", F.median(value).over(by_level(rows)))
+    return staged.withColumn("mad", F.median(F.abs(F.col(value) - F.col("center"))).over(by_level(rows)))
 
 
 def level_mad_outliers(rows: DataFrame, value: str, k: float = OUTLIER_BOUND) -> DataFrame:
@@ -50,7 +50,7 @@ def periodic_pairs(rows: DataFrame, mark: str, frequency: int = SLOTS) -> DataFr
     A range frame finds the partner, so no row is joined to another.
     """
     hit = F.max(F.col(mark).cast("int"))
-    w = Window.partitionBy(GROUP).orderBy("t")
+    w = Window.partitionBy(*keys_of(rows.columns)).orderBy("t")
     partner = F.greatest(*[
         F.coalesce(hit.over(w.rangeBetween(d, d)), F.lit(0)) for d in (-frequency, frequency)])
     return rows.withColumn("paired", F.col(mark) & (partner == 1))
@@ -85,7 +85,7 @@ def mann_kendall(rows: DataFrame, value: str) -> DataFrame:
     Ties lower the denominator of tau and the variance of s; p uses the
     continuity correction.
     """
-    keys = [GROUP, "level"]
+    keys = [*keys_of(rows.columns), "level"]
     # at most one element per calendar week
     series = rows.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))),

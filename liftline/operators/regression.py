@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import workers
+
 TOLERANCE = 1e-9
+workers.ship()
 
 
 def varying_columns(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import GROUP
+from ..params import GROUP, keys_of
 
 
 def groups_of_interest(on_promo: DataFrame, future: DataFrame, halo: DataFrame,
@@ -34,7 +34,9 @@ def interest_or_sample(interest: DataFrame, panel: DataFrame, n: int = 5) -> Dat
 
 
 def keep_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
-    return df.join(groups.select(GROUP).distinct(), GROUP, "left_semi")
+    """Rows of the listed groups; by department too where both sides name it."""
+    keys = keys_of(set(df.columns) & set(groups.columns))
+    return df.join(groups.select(*keys).distinct(), keys, "left_semi")
 
 
 def union_frames(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -56,5 +58,5 @@ def distinct_keep_first(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def last_n_weeks(panel: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy(GROUP).orderBy(F.col("yr_wk").desc())
+    w = Window.partitionBy(*keys_of(panel.columns)).orderBy(F.col("yr_wk").desc())
     return panel.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio_or_null
@@ -80,65 +80,67 @@ def partition_skew(df: DataFrame, n_partitions: int | None = None, warn_above: f
 def association_matrix(df: DataFrame, numeric: Iterable[str], categorical: Iterable[str]) -> DataFrame:
     """Association of every column pair, long: (left, right, kind, value).
 
-    Two numbers: Pearson. Number and category: correlation ratio. Two
-    categories: Cramer's V without continuity correction. Pairs are ordered as
-    the columns are listed, numbers first. Pairs with a constant side give null.
+    Two numbers: Pearson, over the rows where both are known. Number and category:
+    correlation ratio. Two categories: Cramer's V without continuity correction.
+    Pairs are ordered as the columns are listed, numbers first. Pairs with a constant
+    side give null.
+
+    One pass: rows are summed by grouping sets, one for the whole table, one per
+    category and one per pair of categories. The cells carry counts, means, variances
+    and covariances, which combine, and all that follows works on cells.
     """
     numeric, categorical = list(numeric), list(categorical)
-    parts = []
-    if len(numeric) > 1:
-        parts.append(_pearson(df, numeric))
-    parts += [_correlation_ratios(df, numeric, c) for c in categorical if numeric]
-    parts += [_cramers_v(df, a, b) for a, b in combinations(categorical, 2)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pearson(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """All numeric pairs in one aggregate, each over the rows where both numbers are known."""
-    pairs = list(combinations(numeric, 2))
-    agg = df.agg(
-        *[F.covar_pop(a, b).alias(f"cov_{a}_{b}") for a, b in pairs],
-        *[F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c))).alias(f"sd_{a}_{b}_{c}")
-          for a, b in pairs for c, other in ((a, b), (b, a))])
-    rows = [F.struct(
-        F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit("pearson").alias("kind"),
-        ratio_or_null(F.col(f"cov_{a}_{b}"), F.col(f"sd_{a}_{b}_{a}") * F.col(f"sd_{a}_{b}_{b}")).alias("value"))
-        for a, b in pairs]
-    return agg.select(F.inline(F.array(*rows)))
-
-
-def _correlation_ratios(df: DataFrame, numeric: list[str], category: str) -> DataFrame:
-    """sqrt(SS between / SS total) of every number on one category, in two steps."""
-    cells = df.filter(F.col(category).isNotNull()).groupBy(category).agg(*[
-        f(c).alias(f"{p}_{c}") for c in numeric
-        for p, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))])
-    agg = cells.agg(*[
-        e.alias(f"{p}_{c}") for c in numeric for p, e in (
-            ("n", F.sum(f"n_{c}")),
-            ("within", F.sum(F.col(f"n_{c}") * F.col(f"v_{c}"))),
-            ("sum", F.sum(F.col(f"n_{c}") * F.col(f"m_{c}"))),
-            ("square", F.sum(F.col(f"n_{c}") * F.col(f"m_{c}") * F.col(f"m_{c}"))))])
-    def eta(c: str):
+    number_pairs, category_pairs = list(combinations(numeric, 2)), list(combinations(categorical, 2))
+    sets = [(), *[(c,) for c in categorical], *category_pairs]
+
+    def mark(chosen: tuple[str, ...]) -> int:
+        """The grouping id of a set: a bit for each category that is not in it."""
+        return sum(1 << i for i, c in enumerate(reversed(categorical)) if c not in chosen)
+
+    moments = [F.count(F.lit(1)).cast("double").alias("n")]
+    for c in numeric:
+        moments += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")]
+    for a, b in number_pairs:
+        moments.append(F.covar_pop(a, b).alias(f"cov_{a}_{b}"))
+        moments += [F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c))).alias(f"sd_{a}_{b}_{c}") for c, other in ((a, b), (b, a))]
+    if categorical:
+        cells = df.groupingSets([list(s) for s in sets], *categorical).agg(F.grouping_id().alias("set"), *moments)
+    else:
+        cells = df.agg(*moments).withColumn("set", F.lit(0))
+    chosen = F.col("set")
+    known = reduce(lambda x, y: x | y, [
+        (chosen == mark(s)) & reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in s], F.lit(True)) for s in sets])
+    side = lambda i: F.coalesce(F.lit(None).cast("string"), *[
+        F.when(chosen == mark(s), F.col(s[i]).cast("string")) for s in category_pairs])
+    cells = cells.filter(known).withColumns({"a": side(0), "b": side(1)})
+    by_a, by_b = Window.partitionBy("set", "a"), Window.partitionBy("set", "b")
+    cells = cells.withColumns({
+        "n_a": F.sum("n").over(by_a), "n_b": F.sum("n").over(by_b),
+        "first_a": F.row_number().over(by_a.orderBy("b")) == 1, "first_b": F.row_number().over(by_b.orderBy("a")) == 1})
+    # chi2 / n = sum(n_ab^2 / (n_a n_b)) - 1 over the cells that occur
+    sums = [(F.sum(F.col("n") * F.col("n") / (F.col("n_a") * F.col("n_b"))) - 1).alias("phi2"),
+            F.least(F.count_if("first_a"), F.count_if("first_b")).alias("levels")]
+    for c in numeric:
+        n, m = F.col(f"n_{c}"), F.col(f"m_{c}")
+        sums += [F.sum(n).alias(f"n_{c}"), F.sum(n * F.col(f"v_{c}")).alias(f"within_{c}"),
+                 F.sum(n * m).alias(f"sum_{c}"), F.sum(n * m * m).alias(f"square_{c}")]
+    # the whole table is one cell
+    sums += [F.max(c).alias(c) for c in cells.columns if c.startswith(("cov_", "sd_"))]
+    whole = cells.groupBy("set").agg(*sums)
+
+    def row(left: str, right: str, kind: str, value: Column) -> Column:
+        return F.struct(F.lit(left).alias("left"), F.lit(right).alias("right"), F.lit(kind).alias("kind"), value.alias("value"))
+
+    def eta(c: str) -> Column:
+        """sqrt(SS between / SS total)."""
         between = F.col(f"square_{c}") - F.col(f"sum_{c}") * ratio_or_null(F.col(f"sum_{c}"), F.col(f"n_{c}"))
+        between = F.greatest(between, F.lit(0.0))
         return F.sqrt(ratio_or_null(between, between + F.col(f"within_{c}")))
-    rows = [F.struct(F.lit(c).alias("left"), F.lit(category).alias("right"),
-                     F.lit("correlation_ratio").alias("kind"), eta(c).alias("value")) for c in numeric]
-    return agg.select(F.inline(F.array(*rows)))
-
 
-def _cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """From the contingency counts; empty cells need no row of their own.
-
-    chi2 / n = sum(n_ab^2 / (n_a n_b)) - 1 over the cells that occur.
-    """
-    cells = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-             .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
-             .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    rows = cells.groupBy("a").agg(F.sum("n").alias("n_a"))
-    cols = cells.groupBy("b").agg(F.sum("n").alias("n_b"))
-    agg = cells.join(rows, "a").join(cols, "b").agg(
-        (F.sum(F.col("n") * F.col("n") / (F.col("n_a") * F.col("n_b"))) - 1).alias("phi2"),
-        F.least(F.count_distinct("a"), F.count_distinct("b")).alias("levels"))
-    value = F.sqrt(ratio_or_null(F.greatest("phi2", F.lit(0.0)), F.col("levels") - 1))
-    return agg.select(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                      F.lit("cramers_v").alias("kind"), value.alias("value"))
+    rows = {(): [row(a, b, "pearson", ratio_or_null(F.col(f"cov_{a}_{b}"), F.col(f"sd_{a}_{b}_{a}") * F.col(f"sd_{a}_{b}_{b}")))
+                 for a, b in number_pairs]}
+    rows |= {(c,): [row(n, c, "correlation_ratio", eta(n)) for n in numeric] for c in categorical}
+    rows |= {s: [row(*s, "cramers_v", F.sqrt(ratio_or_null(F.greatest("phi2", F.lit(0.0)), F.col("levels") - 1)))] for s in category_pairs}
+    listed = reduce(lambda e, s: F.when(chosen == mark(s), F.array(*rows[s])).otherwise(e), [s for s in rows if rows[s]],
+                    F.lit(None).cast("array<struct<left:string,right:string,kind:string,value:double>>"))
+    return whole.select(F.inline(listed))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import in_weeks
-from ..params import GROUP, WEEK, AnomalyParams
+from ..params import WEEK, AnomalyParams, keys_of
 from .clean import has_promo
 from .features import by_group, week_index
 
@@ -15,7 +15,7 @@ def first_sale(panel: DataFrame, measure: str = "modelled_qty") -> DataFrame:
     """Week index `t` and the index of the group's first week with sales."""
     indexed = panel if "t" in panel.columns else week_index(panel)
     return indexed.withColumn(
-        "first_t", F.min(F.when(F.col(measure) > 0, F.col("t"))).over(by_group()))
+        "first_t", F.min(F.when(F.col(measure) > 0, F.col("t"))).over(by_group(panel)))
 
 
 def linear_trend(panel: DataFrame, measure: str = "modelled_qty") -> DataFrame:
@@ -23,7 +23,7 @@ def linear_trend(panel: DataFrame, measure: str = "modelled_qty") -> DataFrame:
 
     Without any sale the mean; with a single week from the first sale on, its value.
     """
-    g = by_group()
+    g = by_group(panel)
     staged = first_sale(panel, measure)
     y = F.when(F.col("t") >= F.col("first_t"), F.col(measure))
     staged = staged.withColumns({
@@ -40,14 +40,14 @@ def linear_trend(panel: DataFrame, measure: str = "modelled_qty") -> DataFrame:
     return staged.withColumn("trend", trend).drop("trend_slope", "trend_base", "trend_mean", "first_t")
 
 
-def slot_mean(value: Column) -> Column:
-    """Mean of the value in its group and slot: the least-squares fit on slot dummies."""
-    return F.when(F.col("slot").isNotNull(), F.avg(value).over(Window.partitionBy(GROUP, "slot")))
+def slot_mean(frame: DataFrame, value: Column) -> Column:
+    """Mean of the value in its series and slot: the least-squares fit on slot dummies."""
+    return F.when(F.col("slot").isNotNull(), F.avg(value).over(Window.partitionBy(*keys_of(frame.columns), "slot")))
 
 
 def seasonal_adjust(panel: DataFrame, measure: str, out: str) -> DataFrame:
     """Residual of the measure on the slot dummies; unchanged without slots."""
-    return panel.withColumn(out, F.col(measure) - F.coalesce(slot_mean(F.col(measure)), F.lit(0.0)))
+    return panel.withColumn(out, F.col(measure) - F.coalesce(slot_mean(panel, F.col(measure)), F.lit(0.0)))
 
 
 def robust_center(panel: DataFrame, value: str, promo: Column, scale: float) -> DataFrame:
@@ -55,7 +55,7 @@ def robust_center(panel: DataFrame, value: str, promo: Column, scale: float) ->
 
     A zero MAD falls back to all weeks. Groups without a non-promo week get nulls.
     """
-    g = by_group()
+    g = by_group(panel)
     calm = F.when(~promo, F.col(value))
     staged = panel.withColumns({"center_np": F.median(calm).over(g),
                                 "center_all": F.median(F.col(value)).over(g)})
@@ -75,7 +75,7 @@ def repair_anomalies(panel: DataFrame, params: AnomalyParams) -> DataFrame:
 
     Input columns: modelled_qty, trend, slot and the promotion columns.
     """
-    seasonal = slot_mean(F.col("modelled_qty") - F.col("trend")) if params.seasonal else F.lit(None)
+    seasonal = slot_mean(panel, F.col("modelled_qty") - F.col("trend")) if params.seasonal else F.lit(None)
     staged = panel.withColumn("season", F.coalesce(seasonal.cast("double"), F.lit(0.0)))
     staged = staged.withColumn("detrended", F.col("modelled_qty") - F.col("trend") - F.col("season"))
     promo = has_promo()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # --- fixed values: they decide the results, so they are stated plainly -------
@@ -47,6 +48,15 @@ PAGES = ("page_front", "page_back", "page_inside")
 SERIES = ("upc", "store")
 GROUP = "group_code"
 WEEK = "yr_wk"
+#: what names a group series: the back-test origin (where there is one), the department and the group
+KEYS = ("origin", "dept", GROUP)
+
+
+def keys_of(columns: Iterable[str]) -> list[str]:
+    """The key columns among the given ones: a group in two departments is two series."""
+    have = set(columns)
+    return [k for k in KEYS if k in have]
+
 
 NO_PROMO = "No_Promo"
 INSTORE_ONLY = "Instore_Only"

@@ -8,41 +8,41 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import DEFAULT_IMPACT, DEFAULT_PRICE, GROUP, PROMOS, RECENT_WEEKS, WEEK
+from ..params import DEFAULT_IMPACT, DEFAULT_PRICE, PROMOS, RECENT_WEEKS, WEEK, keys_of
 
 
 def _recent(history: DataFrame) -> DataFrame:
-    """Add `rn`: 1 for the group's latest week."""
+    """Add `rn`: 1 for the series' latest week."""
     return history.withColumn(
-        "rn", F.row_number().over(Window.partitionBy(GROUP).orderBy(F.col(WEEK).desc())))
+        "rn", F.row_number().over(Window.partitionBy(*keys_of(history.columns)).orderBy(F.col(WEEK).desc())))
 
 
 def baseline_level(history: DataFrame) -> DataFrame:
     """Greater of the last baseline and the mean of the latest weeks."""
-    b = F.col("baseline_qty")
-    agg = _recent(history).groupBy(GROUP).agg(
+    b, keys = F.col("baseline_qty"), keys_of(history.columns)
+    agg = _recent(history).groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("rn") == 1, b)), F.lit(0.0)).alias("last_level"),
         F.coalesce(F.avg(F.when(F.col("rn") <= RECENT_WEEKS, b)), F.lit(0.0)).alias("mean_level"))
-    return agg.select(GROUP, F.greatest("last_level", "mean_level").alias("level"))
+    return agg.select(*keys, F.greatest("last_level", "mean_level").alias("level"))
 
 
 def promo_impact(history: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
     """Mean lift share per promo over its weeks; a default where it never ran."""
-    return history.groupBy(GROUP).agg(*[
+    return history.groupBy(*keys_of(history.columns)).agg(*[
         F.coalesce(F.avg(F.when(F.col(p) > 0, F.col("lift_share"))), F.lit(DEFAULT_IMPACT))
         .alias(f"{p}_impact") for p in promos])
 
 
 def mean_price(history: DataFrame) -> DataFrame:
     price = F.coalesce(F.nullif(F.avg("regular_price"), F.lit(0.0)), F.lit(DEFAULT_PRICE))
-    return history.groupBy(GROUP).agg(price.alias("price"))
+    return history.groupBy(*keys_of(history.columns)).agg(price.alias("price"))
 
 
 def group_levels(history: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
-    """Level, price and impacts of every group in one aggregate."""
+    """Level, price and impacts of every series in one aggregate."""
     promos = list(promos)
     b, rn = F.col("baseline_qty"), F.col("rn")
-    agg = _recent(history).groupBy(GROUP).agg(
+    agg = _recent(history).groupBy(*keys_of(history.columns)).agg(
         F.coalesce(F.max(F.when(rn == 1, b)), F.lit(0.0)).alias("last_level"),
         F.coalesce(F.avg(F.when(rn <= RECENT_WEEKS, b)), F.lit(0.0)).alias("mean_level"),
         F.coalesce(F.nullif(F.avg("regular_price"), F.lit(0.0)), F.lit(DEFAULT_PRICE)).alias("price"),
@@ -51,17 +51,19 @@ def group_levels(history: DataFrame, promos: Iterable[str] = PROMOS) -> DataFram
     return agg.withColumn("level", F.greatest("last_level", "mean_level")).drop("last_level", "mean_level")
 
 
-def forecast(history: DataFrame, plan: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
+def forecast(history: DataFrame, plan: DataFrame, promos: Iterable[str] = PROMOS, carry: Iterable[str] = ()) -> DataFrame:
     """Planned weeks with quantity, sales and lift.
 
     `history` carries baseline and lift share; `plan` is a clean, dense panel of
-    the horizon weeks. Groups without history or without a plan are left out.
+    the horizon weeks. Groups without history or without a plan are left out. Columns
+    of the plan named in `carry` come along as carried_<name>.
     """
     promos = [p for p in promos if p in plan.columns]
     factors = [F.when(F.col(p) > 0, 1 + F.col(f"{p}_impact")).otherwise(1.0) for p in promos]
-    joined = plan.join(group_levels(history, promos), GROUP)
+    keys = keys_of(history.columns)
+    joined = plan.join(group_levels(history, promos), keys)
     out = joined.select(
-        "dept", GROUP, WEEK, *promos,
+        *keys, WEEK, *promos, *[F.col(c).alias(f"carried_{c}") for c in carry],
         F.col("level").alias("baseline_qty"),
         (F.col("level") * reduce(lambda a, b: a * b, factors, F.lit(1.0))).alias("qty"),
         F.col("price").alias("regular_price"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import active_promos, percent_text, ratio_or_null, units_text
-from ..params import GROUP, PROMOS, RECENT_WEEKS, WEEK
+from ..params import GROUP, PROMOS, RECENT_WEEKS, WEEK, keys_of
 
 FIELDS = ("insight_type", "promo_type", "metric", "value", "analysis", "recommendation")
 
@@ -44,20 +44,21 @@ def worst_week(rows: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
 
 
 def _extreme_week(rows: DataFrame, promos: Iterable[str], order: Column) -> DataFrame:
-    w = Window.partitionBy(GROUP).orderBy(order, F.col(WEEK))
+    w = Window.partitionBy(*keys_of(rows.columns)).orderBy(order, F.col(WEEK))
     return (rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
             .select("dept", GROUP, WEEK, "qty", active_promos(promos).alias("active")))
 
 
 def forecast_vs_recent(history: DataFrame, planned: DataFrame) -> DataFrame:
     """Mean forecast against the mean of the latest actual weeks."""
-    w = Window.partitionBy(GROUP).orderBy(F.col(WEEK).desc())
+    keys = keys_of(history.columns)
+    w = Window.partitionBy(*keys).orderBy(F.col(WEEK).desc())
     recent = (history.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= RECENT_WEEKS)
-              .groupBy("dept", GROUP).agg(F.avg("qty").alias("recent_qty")))
-    ahead = planned.groupBy(GROUP).agg(F.avg("qty").alias("forecast_qty"))
+              .groupBy(*keys).agg(F.avg("qty").alias("recent_qty")))
+    ahead = planned.groupBy(*keys).agg(F.avg("qty").alias("forecast_qty"))
     change = F.when(F.col("recent_qty") > 0,
                     (F.col("forecast_qty") - F.col("recent_qty")) / F.col("recent_qty")).otherwise(0.0)
-    return recent.join(ahead, GROUP).withColumn("pct_change", change)
+    return recent.join(ahead, keys).withColumn("pct_change", change)
 
 
 def _insight(kind: str, promo: str, metric: str, value: Column, analysis: Column,
@@ -76,7 +77,7 @@ def _unfold(agg: DataFrame, rows: list[Column]) -> DataFrame:
 def _history_aggregate(history: DataFrame, promos: list[str]) -> DataFrame:
     """Everything the insights need from the past, one row per group."""
     week = F.struct(F.col(WEEK).alias("wk"), F.col("qty").alias("qty"), active_promos(promos).alias("active"))
-    latest = Window.partitionBy(GROUP).orderBy(F.col(WEEK).desc())
+    latest = Window.partitionBy("dept", GROUP).orderBy(F.col(WEEK).desc())
     aggs = [
         F.max_by(week, F.struct(F.col("qty"), -F.col(WEEK))).alias("best"),
         F.min_by(week, F.when(F.col("qty") > 0, F.struct(F.col("qty"), F.col(WEEK)))).alias("worst"),
@@ -146,7 +147,7 @@ def insights(history: DataFrame, planned: DataFrame | None = None,
     if planned is None:
         return _unfold(agg, _history_rows(promos))
     week = F.struct(F.col(WEEK).alias("wk"), F.col("qty").alias("qty"))
-    ahead = planned.groupBy(GROUP).agg(
+    ahead = planned.groupBy("dept", GROUP).agg(
         F.avg("qty").alias("forecast_qty"),
         F.max_by(week, F.struct(F.col("qty"), -F.col(WEEK))).alias("ahead"))
-    return _unfold(agg.join(ahead, GROUP, "left"), _history_rows(promos) + _forecast_rows())
+    return _unfold(agg.join(ahead, ["dept", GROUP], "left"), _history_rows(promos) + _forecast_rows())

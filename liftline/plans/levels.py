@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import workers
 from ..operators.levels import level_mad_outliers, mann_kendall, window_medians, winsorize_outliers
-from ..params import GROUP, SLOTS
+from ..params import SLOT_GATE, SLOTS, keys_of
+
+workers.ship()
 
 # --- fixed values ---
 MIN_SEGMENT = 0.05
@@ -23,6 +26,7 @@ LOWESS_SHARE = 2 / 3
 LOWESS_ROUNDS = 3
 MK_ALPHA = 0.01
 MK_TAU = 0.8
+SEASON_ROUNDS = 4
 # --- end of fixed values ---
 
 
@@ -86,12 +90,13 @@ def lasting_shifts(y: np.ndarray, breaks: list[int]) -> list[int]:
 
 
 def level_shifts(rows: DataFrame, value: str = "modelled_qty") -> DataFrame:
-    """Break positions per group, (group_code, breaks): last week index of each level but the last.
+    """Break positions per series, (keys, breaks): last week index of each level but the last.
 
-    Positions count from the group's first week. Weeks before the first non-zero
-    value belong to the first level.
+    Positions count from the series' first week. Levels are sought from the first
+    non-zero value on; the weeks before it are no level of their own and no part of one.
     """
-    schema = T.StructType([rows.schema[GROUP], T.StructField("breaks", T.ArrayType(T.IntegerType()))])
+    keys = keys_of(rows.columns)
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("breaks", T.ArrayType(T.IntegerType()))])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")[value].to_numpy(float)
@@ -99,35 +104,38 @@ def level_shifts(rows: DataFrame, value: str = "modelled_qty") -> DataFrame:
         skip = int(sold[0]) if len(sold) else 0
         y = y[skip:]
         found = lasting_shifts(y, mean_shift_breaks(y))
-        return pd.DataFrame({GROUP: [pdf[GROUP].iloc[0]], "breaks": [[b + skip for b in found]]})
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"breaks": [[b + skip for b in found]]})
 
-    return rows.select(GROUP, "t", value).groupBy(GROUP).applyInPandas(solve, schema)
+    return rows.select(*keys, "t", value).groupBy(*keys).applyInPandas(solve, schema)
 
 
-def with_levels(rows: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Add `level`: 1, 2, ... by the breaks of the row's group (one row per group)."""
-    t = F.col("t")
-    return rows.join(breaks, GROUP).withColumn(
-        "level", (F.size(F.filter("breaks", lambda b: b < t)) + 1).cast("int")).drop("breaks")
+def with_levels(rows: DataFrame, breaks: DataFrame, value: str = "modelled_qty") -> DataFrame:
+    """Add `level`: 1, 2, ... by the breaks of the row's series (one row per series), 0 before its first sale."""
+    t, keys = F.col("t"), keys_of(rows.columns)
+    first = F.min(F.when(F.col(value) != 0, t)).over(Window.partitionBy(*keys))
+    level = F.size(F.filter("breaks", lambda b: b < t)) + 1
+    staged = rows.withColumn("first_t", first).join(breaks, keys)
+    return staged.withColumn("level", F.when(t < F.col("first_t"), 0).otherwise(level).cast("int")).drop("breaks", "first_t")
 
 
 def trendless_levels(rows: DataFrame, breaks: DataFrame, value: str = "modelled_qty",
                      alpha: float = MK_ALPHA, tau: float = MK_TAU) -> DataFrame:
     """Breaks without those whose shift is only the trend of the following level."""
-    leveled = with_levels(rows, breaks)
-    w = Window.partitionBy(GROUP).orderBy("level")
-    medians = leveled.groupBy(GROUP, "level").agg(
+    leveled = with_levels(rows, breaks, value)
+    keys = keys_of(rows.columns)
+    w = Window.partitionBy(*keys).orderBy("level")
+    medians = leveled.groupBy(*keys, "level").agg(
         F.median(value).alias("mid"), (F.min("t") - 1).alias("at"))
     medians = medians.withColumn("before", F.lag("mid").over(w))
-    tested = medians.join(mann_kendall(leveled, value).select(GROUP, "level", "tau", "p_value"),
-                          [GROUP, "level"])
+    tested = medians.join(mann_kendall(leveled, value).select(*keys, "level", "tau", "p_value"),
+                          [*keys, "level"])
     flat = F.coalesce(F.col("p_value"), F.lit(1.0)) > alpha
     up, down = F.col("mid") > F.col("before"), F.col("mid") < F.col("before")
     stands = (up & ((F.col("tau") < -tau) | flat)) | (down & ((F.col("tau") < tau) | flat))
-    kept = (tested.filter(F.col("level") > 1).groupBy(GROUP)
+    kept = (tested.filter(F.col("level") > 1).groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.when(stands, F.col("at").cast("int")))).alias("kept")))
-    return (breaks.join(kept, GROUP, "left")
-            .select(GROUP, F.coalesce("kept", F.expr("cast(array() as array<int>)")).alias("breaks")))
+    return (breaks.join(kept, keys, "left")
+            .select(*keys, F.coalesce("kept", F.expr("cast(array() as array<int>)")).alias("breaks")))
 
 
 def lowess(y: np.ndarray, share: float = LOWESS_SHARE, rounds: int = LOWESS_ROUNDS) -> np.ndarray:
@@ -160,26 +168,78 @@ def lowess(y: np.ndarray, share: float = LOWESS_SHARE, rounds: int = LOWESS_ROUN
     return fit
 
 
-def level_trend(rows: DataFrame, breaks: DataFrame, value: str = "modelled_qty") -> DataFrame:
-    """Smooth trend per level on the series without outliers; adds `level`, `level_trend`."""
-    staged = window_medians(with_levels(rows, breaks), value)
+def _calm(rows: DataFrame, breaks: DataFrame, value: str) -> DataFrame:
+    """Keys, t, level, value and `calm`: the series with its outliers set to their level's bounds."""
+    staged = window_medians(with_levels(rows, breaks, value), value)
     staged = staged.withColumn("deviation", F.col(value) - F.col("window_median"))
     staged = winsorize_outliers(level_mad_outliers(staged, "deviation"), "deviation")
-    calm = staged.select(GROUP, "level", "t", value,
+    return staged.select(*keys_of(rows.columns), "level", "t", value,
                          (F.col("winsorized") + F.col("window_median")).alias("calm"))
+
+
+def level_trend(rows: DataFrame, breaks: DataFrame, value: str = "modelled_qty") -> DataFrame:
+    """Smooth trend per level on the series without outliers; adds `level`, `level_trend`.
+
+    Before the first sale the trend is 0, and these weeks bear on no other.
+    """
+    calm = _calm(rows, breaks, value)
     schema = T.StructType(calm.schema.fields + [T.StructField("level_trend", T.DoubleType())])
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        return pdf.assign(level_trend=lowess(pdf["calm"].to_numpy(float)))
+        y = pdf["calm"].to_numpy(float)
+        return pdf.assign(level_trend=lowess(y) if pdf["level"].iloc[0] else np.zeros(len(y)))
+
+    return calm.groupBy(*keys_of(calm.columns), "level").applyInPandas(smooth, schema)
+
+
+def trend_and_season(y: np.ndarray, calm: np.ndarray, level: np.ndarray, t: np.ndarray,
+                     rounds: int = SEASON_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Trend per level and centred season, fitted in turns; both 0 where level is 0, the weeks before the first sale.
+
+    A series with too few weeks for seasonality has no season.
+    """
+    sold = level > 0
+    trend, season = np.zeros(len(y)), np.zeros(len(y))
+    slot = (t - 1) % SLOTS
+    for turn in range(rounds if sold.sum() >= SLOT_GATE else 1):
+        for one in np.unique(level[sold]):
+            trend[level == one] = lowess(calm[level == one] - season[level == one])
+        if sold.sum() < SLOT_GATE:
+            break
+        sums = np.bincount(slot[sold], (y - trend)[sold], SLOTS)
+        means = sums / np.maximum(np.bincount(slot[sold], minlength=SLOTS), 1)
+        season = np.where(sold, means[slot] - means[slot[sold]].mean(), 0.0)
+    return trend, season
+
+
+def level_decompose(rows: DataFrame, breaks: DataFrame, value: str = "modelled_qty",
+                    rounds: int = SEASON_ROUNDS) -> DataFrame:
+    """Level trend and season fitted in turns: adds `level`, `level_trend`, `seasonal`, `remainder`, which sum up to the value.
+
+    The trend is smoothed on the values without season, the season is the mean by
+    place in the 52 weeks of the values without trend. Weeks before the first sale
+    have neither and bear on neither.
+    """
+    calm = _calm(rows, breaks, value)
+    added = [T.StructField(c, T.DoubleType()) for c in ("level_trend", "seasonal", "remainder")]
+    schema = T.StructType(calm.schema.fields + added)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        y = pdf[value].to_numpy(float)
+        trend, season = trend_and_season(y, pdf["calm"].to_numpy(float), pdf["level"].to_numpy(), pdf["t"].to_numpy(), rounds)
+        return pdf.assign(level_trend=trend, seasonal=season, remainder=y - trend - season)
 
-    return calm.groupBy(GROUP, "level").applyInPandas(smooth, schema)
+    # a series has at most one row per calendar week
+    return calm.groupBy(*keys_of(calm.columns)).applyInPandas(fit, schema).drop("calm")
 
 
 def seasonal_decompose(rows: DataFrame, value: str, trend: str) -> DataFrame:
     """Add `seasonal` (centred mean by position in the 52-week cycle) and `remainder`."""
-    g = Window.partitionBy(GROUP)
-    slot = Window.partitionBy(GROUP, F.pmod(F.col("t") - 1, F.lit(SLOTS)))
+    keys = keys_of(rows.columns)
+    g = Window.partitionBy(*keys)
+    slot = Window.partitionBy(*keys, F.pmod(F.col("t") - 1, F.lit(SLOTS)))
     above = F.col(value) - F.col(trend)
     staged = rows.withColumn("raw_season", F.avg(above).over(slot))
     staged = staged.withColumn("seasonal", F.col("raw_season") - F.avg("raw_season").over(g))

@@ -46,8 +46,12 @@ FIT_LOG = T.StructType([
     T.StructField("r2", T.DoubleType()),
     T.StructField("adj_r2", T.DoubleType()),
     T.StructField("f_statistic", T.DoubleType()),
+    T.StructField("p_value", T.DoubleType()),
     T.StructField("mape", T.DoubleType()),
     T.StructField("rmse", T.DoubleType()),
+    T.StructField("trend_rmse", T.DoubleType()),
+    T.StructField("forecast_wmape", T.DoubleType()),
+    T.StructField("forecast_mape", T.DoubleType()),
 ])
 
 PULL_FORWARD = T.StructType([

@@ -8,6 +8,8 @@ that works on at most one row per series and week.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -46,10 +48,28 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add("start_date", 6).alias("end_date"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_days(week_lo: int, week_hi: int) -> tuple[date, date]:
+    """First day and the day after the last of the lines that decide the panel's weeks from week_lo to week_hi.
+
+    Regular prices are means of whole quarters, so the days cover every week that
+    begins in the quarters of the two weeks.
+    """
+    lo, hi = (date.fromisocalendar(*divmod(w, 100), 1) for w in (week_lo, week_hi))
+    first = date(lo.year, (lo.month - 1) // 3 * 3 + 1, 1)
+    months = hi.year * 12 + (hi.month - 1) // 3 * 3 + 3
+    return first, date(months // 12, months % 12 + 1, 1) + timedelta(days=6)
+
+
+def _lines(spark: SparkSession, sf_dir: str, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """Order lines in integers; with weeks only those that decide them, by literal bounds that reach the scan."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    if weeks is not None:
+        kind = lines.schema["l_shipdate"].dataType
+        first, after = (F.lit(f"{d} 00:00:00").cast(kind) for d in line_days(*weeks))
+        lines = lines.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     pct = F.round(F.col("l_discount") * 100).cast("bigint")
-    return read_table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         "l_partkey", "l_suppkey",
         _monday(F.col("l_shipdate")).alias("wk_start"),
         F.col("l_quantity").cast("bigint").alias("qty"),
@@ -132,16 +152,17 @@ def dept_of(brand: Column) -> Column:
     return (_brand_number(brand) % 5).cast("int")
 
 
-def group_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group panel: one row per product group x week with sales."""
-    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(GROUP))
-    lines = _lines(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+def group_panel(spark: SparkSession, sf_dir: str, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """Group panel: one row per product group x week with sales, of all weeks or of those from one to another."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", dept_of(F.col("p_brand")).alias("dept"), F.col("p_brand").alias(GROUP))
+    lines = _lines(spark, sf_dir, weeks).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     # a promotion week has a mean discount above 5 %; transactions are net of returns
-    facts = _facts(lines, (GROUP,)).withColumns({
-        "dept": dept_of(F.col(GROUP)),
+    facts = _facts(lines, ("dept", GROUP)).withColumns({
         "promo": F.expr("pct > 5 * n"),
         "live_cents": half_up(F.expr("kept_net"), F.expr("100 * kept_qty")),
     })
+    if weeks is not None:
+        facts = facts.filter(F.col(WEEK).between(*weeks))
     return facts.selectExpr(
         "dept", GROUP, WEEK,
         "double(qty) AS qty",

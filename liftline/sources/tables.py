@@ -28,8 +28,9 @@ def read_csv_panel(spark: SparkSession, path: str, schema=PRICE_PANEL) -> DataFr
 def scan_panel(panel: DataFrame, week_lo, week_hi, depts: Iterable[int] | None = None) -> DataFrame:
     """Rows of the given departments between two weeks.
 
-    The bounds are ints or scalar columns (see `operators.calendar`); plain
-    filters, so they reach the parquet scan.
+    The bounds are ints or scalar columns (see `operators.calendar`). On a stored
+    panel plain filters reach the scan; a panel that is made of order lines takes its
+    bounds as `sources.retail.group_panel(..., weeks)`, which prunes the lines.
     """
     out = panel.filter(F.col(WEEK).between(week_lo, week_hi))
     return out if depts is None else out.filter(F.col("dept").isin(list(depts)))

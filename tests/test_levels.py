@@ -65,10 +65,36 @@ def test_level_shifts_and_trend(rows):
     np.testing.assert_allclose(parts["seasonal"] + parts["remainder"] + 20.0, parts["modelled_qty"])
 
 
-def test_leading_zeros_belong_to_the_first_level(spark, rows):
+def test_weeks_before_the_first_sale_are_no_level(spark, rows):
     late = rows.withColumn("t", (F.col("t") + 30).cast("int")).unionByName(
         spark.range(1, 31).selectExpr("'G' AS group_code", "cast(id AS int) AS t", "0.0D AS modelled_qty"))
-    assert LV.level_shifts(late).first()["breaks"] == [90]
+    breaks = LV.level_shifts(late)
+    assert breaks.first()["breaks"] == [90]
+    levels = LV.with_levels(late, breaks).orderBy("t").toPandas()["level"].tolist()
+    assert levels == [0] * 30 + [1] * 60 + [2] * 70
+
+
+def test_trend_and_season_start_with_the_first_sale(spark):
+    rng = np.random.default_rng(4)
+    season = 3 * np.sin(2 * np.pi * np.arange(52) / 52)
+    sold = 11 + rng.uniform(-1, 1, 208)
+    plain = spark.createDataFrame([(1, "G", i + 1, float(v)) for i, v in enumerate([0.0] * 60 + sold.tolist())],
+                                  "dept int, group_code string, t int, modelled_qty double")
+    breaks = LV.level_shifts(plain)
+    for frame in (LV.level_trend(plain, breaks), LV.level_decompose(plain, breaks)):
+        out = frame.orderBy("t").toPandas()
+        assert (out["level_trend"][:60] == 0).all() and out["level_trend"][60:].between(10.5, 11.5).all()
+    values = [0.0] * 60 + [float(v + season[(i + 60) % 52]) for i, v in enumerate(sold)]
+    seasonal = spark.createDataFrame([(d, "G", i + 1, v * d) for d in (1, 2) for i, v in enumerate(values)],
+                                     "dept int, group_code string, t int, modelled_qty double")
+    out = LV.level_decompose(seasonal, LV.level_shifts(seasonal)).orderBy("dept", "t").toPandas()
+    for d, part in out.groupby("dept"):
+        part = part.reset_index(drop=True)
+        np.testing.assert_allclose(part["level_trend"] + part["seasonal"] + part["remainder"], part["modelled_qty"])
+        assert (part[["level_trend", "seasonal", "remainder"]][:60] == 0).all().all()
+        # outlying weeks are pulled in before smoothing, so the trend keeps a little of the season
+        assert part["level_trend"][60:].between(10 * d, 12 * d).all()
+        assert np.abs(part["seasonal"][60:].to_numpy() - d * season[(np.arange(60, 268)) % 52]).max() < 1.2 * d
 
 
 def test_mann_kendall(rows):

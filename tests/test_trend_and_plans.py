@@ -190,7 +190,7 @@ def test_wide_results(spark, modelled):
     edges = spark.createDataFrame([("A", "B", 1, "'cpp_flag', 'digital_flag'")],
                                   "focus_group string, target_group string, focus_dept int, promos string")
     one = RG.wide_relation_coefficients(
-        RG.relation_coefficients(modelled, X.cross_features(modelled, edges, "cann")), edges).first()
+        RG.relation_coefficients(modelled, X.cross_features(modelled, edges, "cann"))).first()
     assert one["cpp_flag_focus_coef"] is not None and one["pa_depth_focus_coef"] is None
 
 
