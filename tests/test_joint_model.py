@@ -251,7 +251,7 @@ def test_result_frame_has_all_columns(group_rows, weeks):
     coef = RG.promo_regression(table, H.HOLIDAYS).persist()
     assert coef.filter("term = 'christmas_day'").count() == 2
     wide = RG.model_results(B.baseline_results(table), coef, H.HOLIDAYS)
-    assert len(wide.columns) == 168 and wide.filter("christmas_day_coef <> 0").count() == wide.count() == table.count()
+    assert len(wide.columns) == 167 and wide.filter("christmas_day_coef <> 0").count() == wide.count() == table.count()
     classes = RG.insight_classes(coef)
     assert len(classes.columns) == 1 + 15 and classes.count() == 2
     named = [n for r in classes.collect() for c in RG.CLASSES for n in r[c].split(", ") if n]
