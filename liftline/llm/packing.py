@@ -7,12 +7,13 @@ or exchanges one piece for one or two, between underfull sequences whenever that
 sequences run empty. The token ids themselves are never shuffled: only lengths and checksums are.
 
 A group's size is bounded, whatever the input's size; more input makes more groups, each of which leaves about one
-sequence partly filled. The local search looks at underfull sequences only and stops when no change helps or after
-``sweeps`` passes.
+sequence partly filled. The local search looks at underfull sequences only and stops when no change helps: every change
+raises the sum of squared fills, so it ends.
 
 Texts are encoded word by word: where a single space stands between two characters that are not white space, the
 vocabulary's splitting rule always starts anew, so equal words have equal ids and are looked up. All other texts are
-encoded as a whole. Null texts count as empty: one piece, the end id. Null and repeated doc_ids are packed like any
+encoded as a whole. Added tokens of the vocabulary's file, as an end mark written out in a text, have their own ids, as
+they have in the tokenizer's library. Null texts count as empty: one piece, the end id. Null and repeated doc_ids are packed like any
 other row. An empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import struct
 import sys
@@ -36,10 +38,9 @@ from pyspark.sql import functions as F
 from liftline.llm.frames import checkpointed, column
 
 SEQUENCE = 2048
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 END = 0
 GROUP_PIECES = 16_384
-SWEEPS = 4
 CACHED_WORDS = 200_000  # about 50 MB in each Python worker, which outlives its task
 
 _NOT_PLAIN = re.compile(r"\s | \s|^ | $")
@@ -55,10 +56,16 @@ class WordIds(dict):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(ADDED), encoding="utf-8") as described:
+            added = {t["content"]: t["id"] for t in json.load(described)["added_tokens"]}
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def whole(self, text: str) -> bytes:
-        ids = self.encoding.encode_ordinary(text)
+        if self.added.search(text):
+            ids = self.encoding.encode(text, allowed_special="all")
+        else:
+            ids = self.encoding.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
@@ -223,8 +230,8 @@ class _Search:
     def _two(self, out: int, gap: int, b: int, least: int) -> list[tuple[int, int]] | None:
         """Two pieces of one bin for one of b: those that fill b best."""
         best, found = least, None
-        for a in self.near:
-            if a == b or a not in self.open:
+        for a in self.order:
+            if a == b or a not in self.open or self.fill[a] >= self.fill[b] + gap:
                 continue
             own = sorted(self.bins[a], key=lambda i: self.len[i])
             lo, hi = 0, len(own) - 1
@@ -240,35 +247,33 @@ class _Search:
                 break
         return found
 
-    def run(self, sweeps: int, near: int = 48) -> None:
-        for _ in range(sweeps):
+    def run(self) -> None:
+        changed = True
+        while changed:
             changed = False
-            order = sorted(self.open, key=lambda b: -self.fill[b])
-            for b in order:
-                # partners for two pieces: the emptiest bins, which are to be emptied
-                self.near = [a for a in reversed(order) if a in self.open][:near]
+            for b in sorted(self.open, key=lambda b: -self.fill[b]):
+                # partners for two pieces: the emptiest bins first, which are to be emptied
+                self.order = sorted(self.open, key=lambda a: self.fill[a])
                 while b in self.open and self.improve(b):
                     changed = True
-            if not changed:
-                break
 
 
-def pack(lengths: np.ndarray, sequence: int = SEQUENCE, sweeps: int = SWEEPS) -> list[list[int]]:
+def pack(lengths: np.ndarray, sequence: int = SEQUENCE) -> list[list[int]]:
     """Bins of indices of a group of pieces."""
     bins = best_fit(lengths, sequence)
     search = _Search(bins, [int(x) for x in lengths], sequence)
-    search.run(sweeps)
+    search.run()
     return [b for b in search.bins if b]
 
 
-def _pack_group(sequence: int, sweeps: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _pack_group(sequence: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # the order in which a shuffle delivers rows must not matter
         group = group.sort_values(["length", "crc", "start", "doc"], kind="stable", ignore_index=True)
         number = np.empty(len(group), dtype=np.int64)
         offset = np.empty(len(group), dtype=np.int64)
         lengths = group["length"].to_numpy()
-        for b, members in enumerate(pack(lengths, sequence, sweeps)):
+        for b, members in enumerate(pack(lengths, sequence)):
             at = 0
             for i in members:
                 number[i], offset[i] = b, at
@@ -278,7 +283,7 @@ def _pack_group(sequence: int, sweeps: int) -> Callable[[tuple, pd.DataFrame], p
 
 
 def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE,
-                  vocabulary: str | None = None, group_pieces: int = GROUP_PIECES, sweeps: int = SWEEPS) -> DataFrame:
+                  vocabulary: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc, piece, start, length, crc, sequence_id, offset: one row per piece."""
     pieces = checkpointed(tokenized_pieces(docs, id_col, text_col, sequence, vocabulary))
     kind = pieces.schema["doc"].dataType.simpleString()
@@ -286,7 +291,7 @@ def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = -(-short.count() // group_pieces) or 1
     spread = F.pmod(F.xxhash64("doc", "start", "length", "crc", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     schema = PIECES.format(kind=kind) + ", sequence_id long, offset long"
-    packed = short.withColumn("shard", spread).groupBy("shard").applyInPandas(_pack_group(sequence, sweeps), schema)
+    packed = short.withColumn("shard", spread).groupBy("shard").applyInPandas(_pack_group(sequence), schema)
     # whole pieces: numbers of their own, below zero
     whole = pieces.filter(F.col("length") == sequence).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -12,20 +12,16 @@ midpoints instead: two fingerprints at most two bits apart have a common neighbo
 neighbours of one value are within two bits of each other, so each links to the smallest: 65 rows per fingerprint,
 however large the crowd.
 
-``near_duplicates`` finds texts whose shingle sets have a Jaccard similarity of at least a threshold. A whole-text
-fingerprint can't: at 0.8, SimHashes over 64 bits differ in up to 15 bits, of which no join key is left. So the segments
-of its ring are made of shingles, not of bits: each shingle falls by its hash into one of m segments, where m exceeds the
-number of differing shingles that the threshold allows at this document size, and each segment has a SimHash of its
-own. By the pigeonhole at least one segment of a near-duplicate is equal, and about a third are; up to ``SEGMENTS`` of
-them are join keys. Whole-text fingerprints and parity sketches prune, whole shingle sets decide.
-
-Null texts count as empty: fingerprint zero, and never a near-duplicate. A null doc_id is carried through, and is no
-component's smallest id while another id is there. Repeated rows have one result each. Empty tables give empty results.
+``drop_near_duplicates`` keeps one document of each group that links connect.
+
+Null texts count as empty: fingerprint zero, linked like any other. A null doc_id is carried through, and is no
+component's smallest id while another id is there. Repeated rows have one result each; where documents are dropped, rows
+of one id and text stay or go together. Empty tables give empty results. Other columns are kept where documents are
+dropped, and not looked at otherwise.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -37,12 +33,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline.llm.components import components
+from liftline.llm.exact import row_key
 from liftline.llm.frames import checkpointed, column, free_name
 
 SHINGLE, MAX_BITS, RING, CROWD, SEED = 3, 2, 6, 64, 42
-NEAR_SHINGLE, SIMILARITY, SEGMENTS, NEAR_BITS = 5, 0.8, 20, 24
-SKETCH = 16  # 64-bit words of a parity sketch; it prunes sets of up to about 2,300 shingles, larger ones go on to the whole check
-_SKETCH = [f"w{i}" for i in range(SKETCH)]
 _MASK = (1 << 64) - 1
 _COUNTED = 1 << 17
 
@@ -147,150 +141,39 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, ring: int = RING, crowd:
     return pairs.select("a", "b").unionByName(star.select(F.col("print").alias("a"), "b")).distinct()
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """prints (doc, print) -> print, head (its smallest doc), root (the smallest print of its group): a row per print."""
+    heads = checkpointed(prints.groupBy("print").agg(F.min("doc").alias("head")))
+    roots = components(links(heads.select("print"), max_bits))
+    return checkpointed(heads.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", "head", F.coalesce("root", "print").alias("root")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
             max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc, print, component (the smallest doc reachable by links)."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    heads = checkpointed(prints.groupBy("print").agg(F.min("doc").alias("head")))
-    roots = components(links(heads.select("print"), max_bits))
-    rooted = checkpointed(heads.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "head", F.coalesce("root", "print").alias("root")))
+    rooted = _rooted(prints, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
     named = checkpointed(rooted.join(smallest, "root").select("print", "component"))
     return prints.join(named, "print").select("doc", "print", "component")
 
 
-def print_hex(fingerprint: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
-
-
-# Near-duplicates by shingle sets ----------------------------------------------------------------------------------
-
-
-def size_class(n: int, similarity: float) -> int:
-    """Sets whose Jaccard similarity reaches the threshold are in the same or in neighbouring classes."""
-    return int(math.floor(math.log(n) / -math.log(similarity) + 1e-9))
-
-
-def ring_size(level: int, similarity: float) -> int:
-    """More segments than shingles by which two sets of sizes of this class and the next can differ."""
-    most = similarity ** -(level + 1)
-    return int((1 - similarity) / (1 + similarity) * (most + most / similarity)) + 1
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                         max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group the document of the smallest id."""
+    key, row = free_name(docs, "kept_doc"), free_name(docs, "kept_row")
+    own = row_key(F.coalesce(column(docs, text_col), F.lit("")))
+    named = docs.select(F.struct(column(docs, id_col).alias("id"), own.alias("row")).alias("pair"), column(docs, text_col).alias("text"))
+    prints = checkpointed(fingerprints(named, "pair", "text", shingle))
+    rooted = _rooted(prints, max_bits)
+    # a null id is the last choice
+    first = F.min(F.struct(F.col("doc.id").isNull().alias("unnamed"), F.col("doc").alias("pair")))
+    heads = prints.groupBy("print").agg(first.alias("first")).join(rooted.select("print", "root"), "print")
+    kept = checkpointed(heads.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.pair.id").alias(key), F.col("first.pair.row").alias(row)))
+    return docs.join(kept, column(docs, id_col).eqNullSafe(F.col(key)) & (own == F.col(row)), "left_semi")
 
 
-def segment_keys(hashes: np.ndarray, similarity: float, segments: int) -> Iterator[tuple[int, int]]:
-    """(key, level) of the filled segments that serve as keys, for both classes in which a partner can be met."""
-    own = size_class(len(hashes), similarity)
-    for level in (own - 1, own) if own else (own,):
-        ring = ring_size(level, similarity)
-        at = (hashes >> np.uint64(7)) % np.uint64(ring)
-        for s in range(min(ring, segments)):
-            part = hashes[at == s]
-            if len(part):
-                sketch = majority(part) if len(part) > 1 else int(part[0])
-                yield _signed(xxhash.xxh64_intdigest(b"%d %d %d %d" % (level, s, len(part), sketch))), level
-
-
-def _keyer(shingle: int, similarity: float, segments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, keys, sizes, prints = [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                hashes = np.unique(shingle_hashes(text.as_py() or b"", shingle))
-                if not len(hashes):
-                    continue
-                whole = _signed(majority(hashes))
-                for key, _ in segment_keys(hashes, similarity, segments):
-                    rows.append(row)
-                    keys.append(key)
-                    sizes.append(len(hashes))
-                    prints.append(whole)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(prints, pa.int64())], names=["doc", "key", "size", "print"])
-    return run
-
-
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Bit i: an odd number of the set's hashes fall to i. Each element that only one of two sets has flips one bit, so
-    the bits in which two sketches differ are at most as many as the elements in which the sets differ."""
-    odd = np.bincount((hashes >> np.uint64(11)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _setter(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["doc", "shingles", *_SKETCH]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(1)]
-            bits = np.array([parity_sketch(h) for h in sets], dtype=np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
-                 *(pa.array(bits[:, i], pa.int64()) for i in range(SKETCH))], names=names)
-    return run
-
-
-def _sets(needed: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """doc, shingles and sketch of the texts whose doc is needed."""
-    kind = texts.schema["doc"].dataType.simpleString()
-    sets = texts.join(needed, "doc").mapInArrow(_setter(shingle), f"doc {kind}, shingles array<long>, " + ", ".join(f"{w} long" for w in _SKETCH))
-    return checkpointed(sets)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    a, b = (sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    # integers, so that a similarity of just the threshold counts
-    passes = both * 1000 >= F.lit(round(similarity * 1000)) * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(a, "a").join(b, "b").filter(passes).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE,
-                    similarity: float = SIMILARITY, segments: int = SEGMENTS) -> DataFrame:
-    """doc, root of the documents that have a near-duplicate: root is the smallest id of the group.
-
-    Links are verified pairs; groups are what links connect. Each key's members are compared first with one of them,
-    that which shares the most keys with others. Only members of one key that are still in different groups are then
-    compared with one another: by sizes, fingerprints and parity sketches inside the join, which gives just the pairs
-    that these can't rule out. A null id takes no part.
-    """
-    texts = _texts(docs, column(docs, id_col), text_col).filter("doc is not null")
-    kind = texts.schema["doc"].dataType.simpleString()
-    keyed = checkpointed(texts.mapInArrow(_keyer(shingle, similarity, segments), f"doc {kind}, key long, size long, print long").distinct())
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = checkpointed(keyed.join(sizes, "key"))
-    support = met.groupBy("doc").agg(F.sum("n").alias("support"))
-    met = checkpointed(met.join(support, "doc"))
-    pivots = met.groupBy("key").agg(F.max_by(F.struct("doc", "size", "print"), F.struct("support", "doc")).alias("p"))
-    near = lambda n, m, x, y: (n <= m / similarity) & (m <= n / similarity) & (F.bit_count(x.bitwiseXOR(y)) <= NEAR_BITS)
-    c = F.col
-    star = met.join(checkpointed(pivots), "key").filter("doc <> p.doc").filter(near(c("size"), c("p.size"), c("print"), c("p.print")))
-    pairs = checkpointed(star.select(c("doc").alias("a"), c("p.doc").alias("b")).distinct())
-    needed = pairs.select(c("a").alias("doc")).unionByName(pairs.select(c("b").alias("doc"))).distinct()
-    first = checkpointed(_verified(pairs, _sets(needed, texts, shingle), similarity))
-    roots = components(first)
-    grouped = checkpointed(met.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = checkpointed(grouped.join(mixed, "key").select("key", "doc", "size", "print", "root"))
-    if open_.isEmpty():
-        return roots.withColumnsRenamed({"node": "doc"})
-    sets = _sets(open_.select("doc").distinct(), texts, shingle)
-    sketched = checkpointed(open_.join(sets.drop("shingles"), "doc"))
-    x, y = sketched.alias("x"), sketched.alias("y")
-    differ = reduce(lambda m, n: m + n, [F.bit_count(c(f"x.{w}").bitwiseXOR(c(f"y.{w}"))) for w in _SKETCH])
-    least = round(similarity * 1000)
-    rest = x.join(y, c("x.key") == c("y.key")).filter("x.doc < y.doc and x.root <> y.root").filter(
-        near(c("x.size"), c("y.size"), c("x.print"), c("y.print"))).filter(
-        differ * (1000 + least) <= (c("x.size") + c("y.size")) * (1000 - least)).select(c("x.doc").alias("a"), c("y.doc").alias("b")).distinct()
-    rest = checkpointed(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots.withColumnsRenamed({"node": "doc"})
-    return components(first.unionByName(_verified(rest, sets, similarity))).withColumnsRenamed({"node": "doc"})
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without those that have a near-duplicate of a smaller id; all columns as they are."""
-    gone = checkpointed(near_duplicates(docs, id_col, text_col, **how).filter("doc <> root").select(F.col("doc").alias(key := free_name(docs, "gone"))))
-    return docs.join(gone, column(docs, id_col) == F.col(key), "left_anti")
+def print_hex(fingerprint: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -3,9 +3,11 @@
 A document's terms are its distinct words and their beginnings, which stand for a word's inflections, hashed to
 ``2 ** BITS`` places. The machine adds a weight for each term and,
 for each pair of terms, the product of their factor vectors: so an insult together with a word for a group can weigh more
-than both alone. Terms that go with the label no more than chance would have it stay out. It is fitted by adaptive gradient steps to labelled documents, at most ``sample`` of them, chosen by a
-hash of their ids; that bound and the table of places bound what the driver holds and what is broadcast. Scoring reads
-every whole text once, without a shuffle.
+than both alone. Terms enter in two steps. First those that go with the label more than chance would have it; then, for
+what the machine of these leaves unexplained, both terms of every pair that goes with the rest of the label more than
+chance would have it, however neutral each is alone. It is fitted by adaptive gradient steps to labelled documents, at
+most ``sample`` of them, chosen by a hash of their ids; that bound and the tables of places and pairs bound what the
+driver holds and what is broadcast. Scoring reads every whole text once, without a shuffle.
 
 Labels, languages, sources and ids are never inputs of a score. Rows with a null label or id don't train; documents with
 equal terms count once, with their mean label. Null and empty texts get the score of a document without terms. Without
@@ -31,6 +33,10 @@ BITS, FACTORS, SAMPLE, THRESHOLD, SEED = 18, 4, 10_000, 0.7, 7
 EPOCHS, BATCH, RATE, DECAY, FACTOR_DECAY = 40, 64, 0.2, 1e-3, 1e-2
 LEAST, DEVIATIONS = 4, 3.5  # examples a term needs, and standard deviations from what the label's share would give
 BEGINNINGS = (4, 5, 6)
+#: Documents that a pair needs, its deviations from what the machine expects, places of the table of pairs, and the share
+#: of uncertainty under which a document is explained. A training document of over PAIR_TERMS terms bears on no pair:
+#: that bounds the work of the fit, as SAMPLE does; scoring knows no such bound.
+PAIR_LEAST, PAIR_DEVIATIONS, PAIR_BITS, EXPLAINED, PAIR_TERMS = 10, 6.0, 21, 0.02, 1500
 
 _WORD = re.compile(r"\w+")
 
@@ -64,17 +70,74 @@ class Machine:
 
 
 def fit(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
-    """Adaptive gradient steps on the log loss in small batches, for the terms that go with the label."""
+    """A machine of the terms that go with the label, by themselves or in pairs."""
     size = 1 << bits
-    machine = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not len(examples):
-        return machine
+        return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     counts, excess = np.zeros(size, np.int64), np.zeros(size)
     for places, label in zip(examples, labels):  # places of one example are distinct
         counts[places] += 1
         excess[places] += label - share
     known = (counts >= LEAST) & (np.abs(excess) >= DEVIATIONS * np.sqrt(share * (1 - share) * counts))
+    machine = _fitted(examples, labels, known, share, factors, epochs)
+    expected = np.array([machine.score(x[known[x]]) for x in examples])
+    paired = paired_terms([x[counts[x] >= PAIR_LEAST] for x in examples], labels, expected)
+    if known[paired].all():
+        return machine
+    known[paired] = True
+    return _fitted(examples, labels, known, share, factors, epochs)
+
+
+def paired_terms(examples: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The terms of pairs that go with what is left of the label. Pairs are summed in a table by a hash; the pairs of its
+    conspicuous places are then counted one by one."""
+    rest, spread = labels - expected, expected * (1 - expected)
+    few = np.array([len(x) <= PAIR_TERMS for x in examples])
+    unsure = np.flatnonzero(few & ((spread > EXPLAINED * (1 - EXPLAINED)) | (np.abs(rest) > EXPLAINED)))
+    mask = np.uint64((1 << PAIR_BITS) - 1)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the unsure documents, as one number each, and the documents that hold them, some documents at a time."""
+        codes, owners, size = [], [], 0
+        for d in unsure.tolist():
+            x = examples[d].astype(np.uint64)
+            i, j = np.triu_indices(len(x), 1)
+            codes.append(x[i] << np.uint64(32) | x[j])
+            owners.append(np.full(len(i), d, np.int32))
+            size += len(i)
+            if size >= 1 << 20:
+                yield np.concatenate(codes), np.concatenate(owners)
+                codes, owners, size = [], [], 0
+        if codes:
+            yield np.concatenate(codes), np.concatenate(owners)
+
+    def place(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS) & mask).astype(np.int64)
+
+    excess, variance = (np.zeros(1 << PAIR_BITS) for _ in range(2))
+    for codes, owners in pairs():
+        at = place(codes)
+        excess += np.bincount(at, rest[owners], 1 << PAIR_BITS)
+        variance += np.bincount(at, spread[owners], 1 << PAIR_BITS)
+    # other pairs of a place add noise of its own spread, so half the deviations suffice here
+    found = np.abs(excess) >= PAIR_DEVIATIONS / 2 * np.sqrt(np.maximum(variance, 1e-9))
+    sums: dict[int, list[float]] = {}
+    for codes, owners in pairs():
+        hit = found[place(codes)]
+        for code, d in zip(codes[hit].tolist(), owners[hit].tolist()):
+            own = sums.setdefault(code, [0, 0.0, 0.0])
+            own[0] += 1
+            own[1] += rest[d]
+            own[2] += spread[d]
+    kept = [c for c, (n, e, s) in sums.items() if n >= PAIR_LEAST and abs(e) >= PAIR_DEVIATIONS * max(s, 1e-9) ** 0.5]
+    return np.unique(np.array([x for c in kept for x in (c >> 32, c & 0xFFFFFFFF)], dtype=np.int64))
+
+
+def _fitted(examples: list[np.ndarray], labels: np.ndarray, known: np.ndarray, share: float, factors: int, epochs: int) -> Machine:
+    """Adaptive gradient steps on the log loss in small batches, for the known terms."""
+    size = len(known)
+    machine = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     examples = [x[known[x]] for x in examples]
     random = np.random.default_rng(SEED)
     machine.factors[known] = random.normal(0, 0.01, (int(known.sum()), factors))

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from liftline.llm import decontaminate, exact, html_blocks, licenses, packing, pii, quotes, simhash, substrings, toxicity
@@ -84,42 +85,45 @@ def test_simhash_links(spark, docs, nothing):
     assert {r["component"] for r in found if r["print"] == 0} == {2}
 
 
-def test_near_copies_of_one_text_against_brute_force(spark):
-    """Copies with so many edits that part of them are linked with no other."""
+def by_definition(text, shingle=3):
+    """A fingerprint bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    grams = [" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_and_near_dedup_against_brute_force(spark, docs, nothing):
     rng = random.Random(5)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
-    texts = []
-    for i in range(90):
-        words = list(base)
-        for j in range(rng.randrange(14)):
-            words[rng.randrange(len(words))] = f"x{i}_{j}"
-        texts.append(" ".join(words))
-    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    for i, j in linked:
-        sketches = [simhash.parity_sketch(np.unique(simhash.shingle_hashes(texts[k].encode(), 5))) for k in (i, j)]
-        assert sum(int(x).bit_count() for x in (sketches[0] ^ sketches[1]).view(np.uint64)) <= len(sets[i] ^ sets[j])
-    for _ in texts:
-        for i, j in linked:
-            root[i] = root[j] = min(root[i], root[j])
-    wanted = {i: r for i, r in enumerate(root) if any(i in p for p in linked)}
-    assert 10 < len(wanted) < len(texts)
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc"]: r["root"] for r in simhash.near_duplicates(frame).collect()} == wanted
-
-
-def test_near_duplicates(spark, docs, nothing):
-    base = prose(20, 300).split()
-    rows = [(100, " ".join(base)), (101, " ".join([*base[:100], "new", *base[101:]])), (102, " ".join([*base[:280], *prose(21, 20).split()])),
-            (103, " ".join([*base[:150], *prose(22, 150).split()]))]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
-    assert len(sets[100] & sets[102]) / len(sets[100] | sets[102]) >= 0.8 > len(sets[100] & sets[103]) / len(sets[100] | sets[103])
-    assert {(r["doc"], r["root"]) for r in simhash.near_duplicates(frame).collect()} == {(100, 100), (101, 100), (102, 100)}
-    assert [r["doc_id"] for r in simhash.drop_near_duplicates(frame).orderBy("doc_id").collect()] == [100, 103]
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and {2, 3, 4, 5, None} <= {r["doc_id"] for r in kept.collect()}
+    rows = list(TEXTS)
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 40, 400]))]
+        for i in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"x{g}_{i}"
+            rows.append((100 + g * 10 + i, " ".join(words)))
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA)
+    prints = [by_definition(t) for _, t in rows]
+    found = sorted((str(r["doc"]), r["print"] & simhash._MASK) for r in simhash.fingerprints(frame).collect())
+    assert found == sorted((str(i), p) for (i, _), p in zip(rows, prints))
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 2:
+                    group[i] = group[j] = min(group[i], group[j])
+    groups: dict[int, list[tuple]] = {}
+    for (i, t), g in zip(rows, group):
+        groups.setdefault(g, []).append((i is None, i, t or ""))
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    wanted = []
+    for members in groups.values():
+        unnamed, i, t = min(members, key=lambda m: (m[0], m[1] or 0))
+        wanted += [(unnamed, i or 0)] * sum(m == (unnamed, i, t) for m in members)
+    assert got == sorted(wanted) and len(groups) < len(rows) - 20
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
@@ -187,9 +191,11 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    rows = packing.packed_pieces(docs, sequence=64).collect()
-    for i, t in TEXTS:
+    texts = TEXTS + [(20 + k, t) for k, t in enumerate(["<|endoftext|>", "<|endoftext|> after", "before <|endoftext|>", "a<|endoftext|>b  c",
+                                                        "x <|endoftext|><|endoftext|> y", "é <|endoftext|>\n<|endoftext", "no < | endoftext|> mark"])]
+    more = docs.sparkSession.createDataFrame([(i, t, "x", 1, 2) for i, t in texts], SCHEMA)
+    rows = packing.packed_pieces(more, sequence=64).collect()
+    for i, t in texts:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         own = {(r["start"], r["length"], r["crc"]) for r in rows if r["doc"] == i}
         cuts = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
@@ -247,6 +253,12 @@ def test_toxicity(spark, docs, nothing):
     machine = toxicity.train(frame, known)
     held = [(t, y) for (i, t), (_, y) in zip(rows, labels) if spark is not None and __import__("zlib").crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(machine.score(toxicity.terms(t)) >= 0.5) == bool(y) for t, y in held]) > 0.95
+    # the pair decides, and neither word alone tells anything
+    either = [float(y0 != y1) for y0, y1 in (("insult" in t.split(), "folk" in t.split()) for _, t in rows)]
+    examples = [toxicity.terms(t) for _, t in rows]
+    accuracy = lambda m: np.mean([(m.score(x) >= 0.5) == bool(y) for x, y in zip(examples[600:], either[600:])])
+    assert accuracy(toxicity.fit(examples[:600], np.array(either[:600]))) > 0.95
+    assert accuracy(toxicity.fit(examples[:600], np.array(either[:600]), factors=1, epochs=0)) < 0.65
     scored = toxicity.scores(docs, machine, F.col("doc_id")).collect()
     assert len(scored) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in scored)
     blank = toxicity.train(docs, known.limit(0))
