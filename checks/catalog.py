@@ -6,6 +6,7 @@ decimals on both sides (money to three), since float sums depend on row order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ from liftline.plans import baseline as B
 from liftline.plans import elasticity as E
 from liftline.plans import forecast as FC
 from liftline.plans import insights as I
+from liftline.plans import job as J
 from liftline.plans import levels as LV
 from liftline.plans import model_table as M
 from liftline.plans import pull_forward as P
@@ -39,7 +41,7 @@ from liftline.plans import regression as RG
 from liftline.schema import PRICE_PANEL
 from liftline.sources import retail, sink, tables
 
-from .sql import ACTIVE, ANY_PROMO, SHOCK_WEEKS, TARGET, W, center, fit_blocks, sql
+from .sql import ACTIVE, ANY_PROMO, BLOCKS, SHOCK_WEEKS, TARGET, W, center, fit_blocks, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -399,12 +401,10 @@ LONG_LAGS = " UNION ALL ".join(
     f"SELECT dept, group_code, yr_wk, '{c}' AS lag, coalesce({c},0)::DOUBLE AS value FROM hlags" for c in LAG_COLUMNS)
 
 
-@query("drop_constant_features", """SELECT group_code, lag, count(*) AS n, """ + rnd("sum(value) AS total") + """
-  FROM longlags GROUP BY 1, 2 HAVING min(value) < max(value)""", longlags=LONG_LAGS)
+@query("drop_constant_features", "SELECT dept, group_code, yr_wk, lag, " + rnd("value") + """ FROM (SELECT *,
+  min(value) OVER g AS lo, max(value) OVER g AS hi FROM longlags WINDOW g AS (PARTITION BY group_code, lag)) WHERE lo < hi""", longlags=LONG_LAGS)
 def _(spark, d):
-    long = X.lags_long(X.promo_lags(hclean(spark, d)))
-    kept = X.drop_constant_features(long)
-    return r6(kept.groupBy("group_code", "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+    return r6(X.drop_constant_features(X.lags_long(X.promo_lags(hclean(spark, d)))))
 
 
 @query("select_family", "SELECT group_code, yr_wk, " + ", ".join(
@@ -418,13 +418,11 @@ def _(spark, d):
     return K.order_columns(gpanel(spark, d), ["yr_wk", "qty", "group_code", "dept"])
 
 
-@query("keep_lags", """SELECT group_code, lag, count(*) AS n, """ + rnd("sum(value) AS total") + """
+@query("keep_lags", "SELECT dept, group_code, yr_wk, lag, " + rnd("value") + """
   FROM longlags WHERE (group_code, lag) IN (SELECT (focus_group, lag) FROM pf_edges)
-    OR group_code NOT IN (SELECT focus_group FROM pf_edges) GROUP BY 1, 2""", longlags=LONG_LAGS)
+    OR group_code NOT IN (SELECT focus_group FROM pf_edges)""", longlags=LONG_LAGS)
 def _(spark, d):
-    long = X.lags_long(X.promo_lags(hclean(spark, d)))
-    kept = X.keep_lags(long, retail.pull_forward_edges(spark, d))
-    return r6(kept.groupBy("group_code", "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+    return r6(X.keep_lags(X.lags_long(X.promo_lags(hclean(spark, d))), retail.pull_forward_edges(spark, d)))
 
 
 @query("on_promo_in_week", """SELECT DISTINCT dept, group_code FROM gpanel WHERE yr_wk = (SELECT w FROM wk_end)
@@ -509,8 +507,8 @@ INTEREST = """SELECT DISTINCT dept, group_code FROM (
   SELECT dept, group_code FROM gpanel WHERE yr_wk=(SELECT w FROM wk_end)
     AND greatest(flyer_flag, cpp_flag, digest_flag, digital_flag)>0
   UNION ALL SELECT dept, group_code FROM fpanel WHERE flyer_flag=1
-  UNION ALL SELECT target_dept, target_group FROM halo_edges WHERE focus_dept=1
-  UNION ALL SELECT target_dept, target_group FROM cann_edges WHERE focus_dept=2)"""
+  UNION ALL SELECT target_dept, target_group FROM halo_edges
+  UNION ALL SELECT target_dept, target_group FROM cann_edges)"""
 
 
 def interest(spark, d):
@@ -519,8 +517,7 @@ def interest(spark, d):
     ahead = tables.future_targets(g, w.forecast_start, w.forecast_end)
     return G.groups_of_interest(
         K.on_promo_in_week(g, w.end), ahead,
-        tables.scan_edges(retail.relation_edges(spark, d, "halo"), [1]),
-        tables.scan_edges(retail.relation_edges(spark, d, "cann"), [2]))
+        tables.scan_edges(retail.relation_edges(spark, d, "halo")), tables.scan_edges(retail.relation_edges(spark, d, "cann")))
 
 
 @query("keep_groups", "SELECT group_code, yr_wk, qty FROM gpanel WHERE group_code IN (SELECT group_code FROM now_)",
@@ -1049,12 +1046,11 @@ def _(spark, d):
     return G.union_frames(first, future_panel(spark, d).drop("qty"))
 
 
-@query("bind_rows", """SELECT group_code, yr_wk, 'halo' AS kind FROM hpanel WHERE dept=1
-  UNION ALL SELECT group_code, yr_wk, 'cann' FROM hpanel WHERE dept=2""")
+@query("bind_rows", """SELECT dept, group_code, focus_group, promo, 'halo' AS kind FROM (SELECT target_dept AS dept, target_group AS group_code,
+  focus_group, unnest(promos) AS promo FROM halo_edges) UNION ALL SELECT target_dept, target_group, focus_group, unnest(promos), 'cann' FROM cann_edges""")
 def _(spark, d):
-    h = history_panel(spark, d)
-    parts = [h.filter(F.col("dept") == n).select("group_code", "yr_wk", F.lit(k).alias("kind"))
-             for n, k in ((1, "halo"), (2, "cann"))]
+    parts = [tables.scan_edges(e).select(F.col("target_dept").alias("dept"), F.col("target_group").alias("group_code"), "focus_group",
+                                         F.explode("promos").alias("promo"), F.lit(k).alias("kind")) for k, e in both_edges(spark, d).items()]
     return G.union_frames(*parts)
 
 
@@ -1227,10 +1223,13 @@ FIT_CTES = dict(
       (n_weeks-k-1)::DOUBLE AS d2 FROM fits""")
 
 
-@query("fit_log", "SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
-       + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "f AS f_statistic", "p AS p_value", "mape", "rmse", "trend_rmse",
-             "forecast_wmape", "forecast_mape")
-       + " FROM fits JOIN ftail ON id = dept::VARCHAR || '|' || group_code JOIN fcerrors USING (dept, group_code)", **FIT_CTES)
+FIT_LOG_SQL = ("SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
+               + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "f AS f_statistic", "p AS p_value", "mape", "rmse", "trend_rmse",
+                     "forecast_wmape", "forecast_mape")
+               + "{stamp} FROM fits JOIN ftail ON id = dept::VARCHAR || '|' || group_code JOIN fcerrors USING (dept, group_code)")
+
+
+@query("fit_log", FIT_LOG_SQL.format(stamp=""), **FIT_CTES)
 def _(spark, d):
     weekly = sink.shared(history_panel(spark, d))
     rows = sink.shared(M.prepared_rows(weekly, history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS))
@@ -1538,3 +1537,84 @@ PF_HOLIDAYS = dict(OLS_HOLIDAYS, table_full=TABLE_FULL, longlags=LONG_KEPT,
 def _(spark, d):
     rows = M.model_table(history_panel(spark, d), history_calendar(spark, d), None, PARAMS, holidays=H.holiday_weeks(cal(spark, d)))
     return P.pull_forward(rows, HOLIDAYS)
+
+
+# --- the whole job -----------------------------------------------------------------------------------------------------
+
+def job_inputs(spark, d):
+    w = window(spark, d)
+    weekly = gpanel(spark, d, (w.start, w.forecast_end))
+    return J.JobInputs(weekly, cal(spark, d), both_edges(spark, d), retail.pull_forward_edges(spark, d), params=PARAMS)
+
+
+def job_frame(name: str):
+    return lambda spark, d: J.job_frames(job_inputs(spark, d), window(spark, d))[name]
+
+
+STAMP = "(SELECT w FROM wk_end) AS scorecard_wk"
+TARGETED = dict(ahead=BLOCKS["ahead"] + " WHERE (dept, group_code) IN (SELECT (dept, group_code) FROM fpanel WHERE flyer_flag=1)")
+JOB_FIT = dict(
+    fit_blocks("jobfit", _long_terms(OWN_HOLIDAYS, "table_h") + f""" UNION ALL SELECT dept::VARCHAR || '|' || group_code, yr_wk,
+      {RG.CROSS_TERMS}+feature, value FROM crossvals JOIN table_ USING (dept, group_code, yr_wk) WHERE value<>0"""),
+    jobcoef=_named(OWN_HOLIDAYS, "jobfit"), table_h=HOLIDAY_FIT["table_h"],
+    jobcross=f"""SELECT target_dept AS dept, target_group AS group_code, kind, focus_dept, focus_group, promo, coef FROM jobfit
+      JOIN crossdict ON k=target_dept::VARCHAR || '|' || target_group AND i={RG.CROSS_TERMS}+feature""",
+    widecoef="SELECT dept, group_code, " + ", ".join(f"max(coef) FILTER (term='{t}') AS {t}_coef" for t in RESULT_TERMS)
+    + " FROM jobcoef GROUP BY 1, 2", classed=CLASSED.format("jobcoef"))
+
+
+@query("job_results", "SELECT r.dept, r.group_code, yr_wk, region, " + rnd(
+    "qty", "modelled_qty", "baseline_qty", "qty AS total_qty", "baseline_sales", "sales AS total_sales", "lift_sales", "lift_share",
+    "trend", "regular_price", "fitted", digits=4) + ", " + sig(*[f"coalesce({t}_coef, 0) AS {t}_coef" for t in RESULT_TERMS],
+    *[f"coalesce({c}_coef, 0)*coalesce({c}, 0) AS {c}_contri" for c in LAG_COLUMNS]) + f", {STAMP}, 0 AS is_forecast"
+    " FROM (SELECT *, 'NATIONAL' AS region FROM results) r JOIN widecoef w ON w.dept=r.dept AND w.group_code=r.group_code", **JOB_FIT)
+def _(spark, d):
+    wide = job_frame("results")(spark, d)
+    return r6(five_digits(wide, [c for c in wide.columns if c.endswith(("_coef", "_contri"))]), 4)
+
+
+@query("job_forecast", "SELECT dept, group_code, yr_wk, " + rnd("baseline_qty", "qty", "regular_price", "qty*regular_price AS sales", digits=3)
+       + f", 1 AS is_forecast, {STAMP} FROM ahead", **TARGETED)
+def _(spark, d):
+    return r6(job_frame("forecast")(spark, d).select(
+        "dept", "group_code", "yr_wk", "baseline_qty", "qty", "regular_price", "sales", "is_forecast", "scorecard_wk"), 3)
+
+
+@query("job_insights", "SELECT group_code, dept, insight_type, promo_type, metric, " + rnd("value", digits=4) + f", {STAMP} FROM found",
+       found=INSIGHT_SQL, **INSIGHT_CTES, **TARGETED)
+def _(spark, d):
+    return r6(job_frame("insights")(spark, d).drop("analysis", "recommendation"), 4)
+
+
+@query("job_classes", "SELECT dept, group_code, 'NATIONAL' AS region, " + sig(*[
+    f"coalesce(max(coef) FILTER (term='{p}'), 0) AS {p}" for p in PROMOTIONS]) + f", {CLASS_LISTS.replace('(term', '(c.term')}, {STAMP} "
+       "FROM jobcoef h LEFT JOIN classed c USING (dept, group_code, term) GROUP BY 1, 2", **JOB_FIT)
+def _(spark, d):
+    return five_digits(job_frame("classes")(spark, d), PROMOTIONS)
+
+
+@query("job_fit_log", FIT_LOG_SQL.format(stamp=f", {STAMP}"), **FIT_CTES)
+def _(spark, d):
+    return r6(job_frame("fit_log")(spark, d))
+
+
+for _kind in ("cann", "halo"):
+    @query(f"job_{_kind}", "SELECT dept, group_code, focus_group, focus_dept, " + sig(*[
+        f"max(coef) FILTER (promo='{p}') AS {p}_focus_coef" for p in PROMOTIONS])
+        + f", {STAMP} FROM jobcross WHERE kind='{_kind}' GROUP BY 1, 2, 3, 4", **JOB_FIT)
+    def _(spark, d, kind=_kind):
+        return five_digits(job_frame(kind)(spark, d), [f"{p}_focus_coef" for p in PROMOTIONS])
+
+
+@query("job_counts", """SELECT 'results' AS frame, count(*) AS rows FROM results UNION ALL SELECT 'forecast', count(*) FROM ahead
+  UNION ALL SELECT 'insights', count(*) FROM found UNION ALL SELECT 'classes', count(DISTINCT (dept, group_code)) FROM results
+  UNION ALL SELECT 'fit_log', count(DISTINCT (dept, group_code)) FROM results
+  UNION ALL SELECT kind, count(DISTINCT (dept, group_code, focus_dept, focus_group)) FROM crossfit GROUP BY 1""",
+       found=INSIGHT_SQL, **INSIGHT_CTES, **TARGETED,
+       # relations with a feature that is not zero in every modelled week
+       crossfit="""SELECT DISTINCT kind, x.target_dept AS dept, x.target_group AS group_code, focus_dept, focus_group FROM crossdict x
+         JOIN crossvals v ON v.dept=x.target_dept AND v.group_code=x.target_group AND v.feature=x.feature
+         JOIN table_ t ON t.dept=v.dept AND t.group_code=v.group_code AND t.yr_wk=v.yr_wk WHERE v.value<>0""")
+def _(spark, d):
+    root = f"{sink.shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    return J.run_job(job_inputs(spark, d), window(spark, d), root)
