@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.functions import (
-    active_promos, in_weeks, multiplier, parse_quoted_list, quoted_list, safe_log, to_number,
+    active_promos, in_weeks, metric_round, multiplier, parse_quoted_list, quoted_list, safe_log, to_number,
 )
 from liftline.operators import calendar as C
 from liftline.operators import clean as K
@@ -192,7 +192,7 @@ PANEL_COLS = "upc, store, yr_wk, regular_price, retail_price, units, sales, inst
 @query("read_csv_panel", "SELECT upc, store, yr_wk, regular_price, retail_price, units, "
        "sales, instore_promo, flyer, cpp FROM panel")
 def _(spark, d):
-    path = f"{sink.shared_dir(spark)}/price_panel_csv"
+    path = f"{sink.shared_dir(spark)}/price_panel_csv-{uuid.uuid4().hex}"
     names = PRICE_PANEL.fieldNames()
     sink.write_frame(panel(spark, d).select(*names), path, (), "csv")
     rows = tables.read_csv_panel(spark, path)
@@ -249,23 +249,37 @@ def _(spark, d):
 @query("write_frames", "SELECT " + rnd("qty", "sales") + """, dept, group_code, yr_wk,
   (SELECT w FROM wk_end) AS scorecard_wk FROM gpanel""")
 def _(spark, d):
-    root = f"{sink.shared_dir(spark)}/frames"
+    root = f"{sink.shared_dir(spark)}/frames-{uuid.uuid4().hex}"
     out = tables.stamp(gpanel(spark, d).select("dept", "group_code", "yr_wk", "qty", "sales"), window(spark, d).end)
     sink.write_frames({"panel": out}, root)
-    return r6(spark.read.parquet(f"{root}/panel"))
+    return r6(sink.read_frame(spark, f"{root}/panel", out.schema))
 
 
-@query("write_empty_frame", "SELECT dept, group_code, yr_wk, qty FROM gpanel WHERE false")
+@query("truncate_target", "SELECT dept, group_code, yr_wk, qty FROM fpanel")
 def _(spark, d):
-    path = f"{sink.shared_dir(spark)}/empty_frame"
-    sink.truncate_target(spark, gpanel(spark, d).select("dept", "group_code", "yr_wk", "qty"), path)
-    return spark.read.parquet(path)
+    # an earlier run's rows go, whatever their partitions; then this run's rows are written
+    path = f"{sink.shared_dir(spark)}/target-{uuid.uuid4().hex}"
+    earlier = history_panel(spark, d).select("dept", "group_code", "yr_wk", "qty")
+    sink.write_frame(earlier, path)
+    sink.truncate_target(spark, earlier, path)
+    w = window(spark, d)
+    sink.write_frame(gpanel(spark, d, (w.forecast_start, w.forecast_end)).select("dept", "group_code", "yr_wk", "qty"), path)
+    return sink.read_frame(spark, path, earlier.schema)
+
+
+@query("write_empty_frame", "SELECT dept, group_code, yr_wk, qty FROM gpanel WHERE qty < 0")
+def _(spark, d):
+    path = f"{sink.shared_dir(spark)}/empty-{uuid.uuid4().hex}"
+    none = gpanel(spark, d).filter("qty < 0").select("dept", "group_code", "yr_wk", "qty")
+    sink.write_frame(none, path)
+    return sink.read_frame(spark, path, none.schema)
 
 
-@query("register_view", "SELECT group_code, count(*) AS n, " + rnd("sum(qty) AS qty") + " FROM gpanel GROUP BY 1")
+@query("register_view", "SELECT dept, group_code, count(*) AS n, " + rnd("sum(qty) AS qty") + " FROM gpanel GROUP BY 1, 2")
 def _(spark, d):
-    tables.register_view(gpanel(spark, d), "group_panel", "group_code")
-    return r6(spark.sql("SELECT group_code, count(*) AS n, sum(qty) AS qty FROM group_panel GROUP BY group_code"))
+    stored = sink.keyed(gpanel(spark, d), ("dept", "group_code"))
+    tables.register_view(stored, "group_panel")
+    return r6(spark.sql("SELECT dept, group_code, count(*) AS n, sum(qty) AS qty FROM group_panel GROUP BY dept, group_code"))
 
 
 @query("stamp", "SELECT dept, group_code, yr_wk, (SELECT w FROM wk_end) AS scorecard_wk, 1 AS is_forecast FROM fpanel")
@@ -281,29 +295,35 @@ def _(spark, d):
     return C.last_week(gpanel(spark, d))
 
 
+def run_end(c):
+    """Last week of the history as a scalar column, inside the plan: the last 12 weeks are the horizon."""
+    return C.week(C.history_start(c, C.week(C.last_week(c)), 12))
+
+
 @query("history_start", "SELECT w AS week_start FROM wk_start_")
 def _(spark, d):
-    return C.history_start(cal(spark, d), window(spark, d).end)
+    c = retail.calendar_plan(spark, d)
+    return C.history_start(c, run_end(c))
 
 
 @query("horizon_end", """SELECT max(yr_wk) AS forecast_end FROM (SELECT yr_wk FROM cal
   WHERE yr_wk > (SELECT w FROM wk_end) ORDER BY yr_wk LIMIT 12)""")
 def _(spark, d):
-    return C.horizon_end(cal(spark, d), window(spark, d).end)
+    c = retail.calendar_plan(spark, d)
+    return C.horizon_end(c, run_end(c))
 
 
 @query("horizon_start", "SELECT min(yr_wk) AS forecast_start FROM cal WHERE yr_wk > (SELECT w FROM wk_end)")
 def _(spark, d):
-    return C.horizon_start(cal(spark, d), window(spark, d).end)
+    c = retail.calendar_plan(spark, d)
+    return C.horizon_start(c, run_end(c))
 
 
 @query("calendar_slice", """SELECT DISTINCT yr_wk, start_date, end_date FROM cal
   WHERE yr_wk BETWEEN (SELECT w FROM wk_start_) AND (SELECT w FROM wk_end)""")
 def _(spark, d):
-    # bounds as scalar columns, inside the plan
-    c = cal(spark, d)
-    end = C.week(C.history_start(c, C.week(C.last_week(c)), 12))
-    return C.calendar_slice(c, C.week(C.history_start(c, end)), end)
+    c = retail.calendar_plan(spark, d)
+    return C.calendar_slice(c, C.week(C.history_start(c, run_end(c))), run_end(c))
 
 
 # --- projections, filters ---------------------------------------------------------
@@ -581,6 +601,16 @@ def _(spark, d):
     return S.row_counts(panel(spark, d), ok)
 
 
+@query("counted_cleaning", """SELECT count(*) AS rows_before, count(*) FILTER (retail_price IS NOT NULL
+  AND net_units>=0 AND net_sales>=0) AS rows_after FROM panel""")
+def _(spark, d):
+    ok = F.col("retail_price").isNotNull() & (F.col("net_units") >= 0) & (F.col("net_sales") >= 0)
+    clean, seen = S.counted_cleaning(panel(spark, d), ok)
+    sink.write_frame(clean, f"{sink.shared_dir(spark)}/clean-{uuid.uuid4().hex}", ())
+    # the run that wrote the clean rows counted them
+    return spark.createDataFrame([(seen.get["rows_before"], seen.get["rows_after"])], "rows_before long, rows_after long")
+
+
 @query("iqr_bounds", "SELECT upc, store, block_id, " + rnd("lo", "hi") + " FROM ebounds")
 def _(spark, d):
     rows = E.iqr_bounds(E.with_blocks(E.clean_series(panel(spark, d))))
@@ -838,14 +868,18 @@ def year_levels(spark, d):
 
 
 @query("mann_kendall", """SELECT group_code, level, n::INTEGER AS n, s, """ + rnd(
-    "s/sqrt((n*(n-1)/2)*(n*(n-1)/2-tp/2)) AS tau") + """ FROM (
+    "s/sqrt((n*(n-1)/2)*(n*(n-1)/2-tp/2)) AS tau", "p AS p_value") + """ FROM mkz JOIN ntail USING (z)""", lv=YEAR_LEVELS,
+       # P(|Z| >= z) by Simpson's rule over the normal density
+       ntail="""SELECT z, greatest(1-2*sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END * abs(z)/6000
+         * exp(-pow(z*i/2000.0, 2)/2)/sqrt(2*pi())), 0) AS p FROM (SELECT DISTINCT z FROM mkz), (SELECT unnest(range(2001)) AS i) GROUP BY z""",
+       mkz="""SELECT *, (s-sign(s))/nullif(sqrt((n*(n-1)*(2*n+5)-tv)/18), 0) AS z FROM (
   SELECT a.group_code, a.level, sum(sign(b.modelled_qty-a.modelled_qty))::DOUBLE AS s FROM lv a JOIN lv b
     ON a.group_code=b.group_code AND a.level=b.level AND a.t<b.t GROUP BY 1, 2)
-  JOIN (SELECT group_code, level, sum(c)::DOUBLE AS n, sum(c*(c-1))::DOUBLE AS tp FROM
+  JOIN (SELECT group_code, level, sum(c)::DOUBLE AS n, sum(c*(c-1))::DOUBLE AS tp, sum(c*(c-1)*(2*c+5))::DOUBLE AS tv FROM
     (SELECT group_code, level, modelled_qty, count(*) AS c FROM lv GROUP BY 1, 2, 3) GROUP BY 1, 2)
-  USING (group_code, level)""", lv=YEAR_LEVELS)
+  USING (group_code, level)""")
 def _(spark, d):
-    return r6(L.mann_kendall(year_levels(spark, d), "modelled_qty").drop("p_value"))
+    return r6(L.mann_kendall(year_levels(spark, d), "modelled_qty"))
 
 
 @query("active_promos", f"SELECT group_code, yr_wk, {ACTIVE} AS active FROM hclean")
@@ -1017,11 +1051,13 @@ def _(spark, d):
   SELECT dept, group_code FROM (SELECT DISTINCT dept, group_code FROM gpanel)
   WHERE dept NOT IN (SELECT dept FROM int1)
   QUALIFY row_number() OVER (PARTITION BY dept ORDER BY group_code)<=5""",
-       int1="SELECT DISTINCT target_dept AS dept, target_group AS group_code FROM cann_edges WHERE focus_dept=2")
+       int1="SELECT DISTINCT dept, group_code FROM gpanel WHERE page_front_=1 AND digest_flag=1 AND cpp_flag=1 AND tr_depth>0".replace(
+           "page_front_=1", "page_location='FRONT'"))
 def _(spark, d):
-    chosen = tables.scan_edges(retail.relation_edges(spark, d, "cann"), [2]).select(
-        F.col("target_dept").alias("dept"), F.col("target_group").alias("group_code")).distinct()
-    return G.interest_or_sample(chosen, gpanel(spark, d))
+    # rare promotions, so that some departments have none
+    g = gpanel(spark, d)
+    chosen = g.filter((F.col("page_location") == "FRONT") & (F.col("digest_flag") == 1) & (F.col("cpp_flag") == 1) & (F.col("tr_depth") > 0))
+    return G.interest_or_sample(chosen.select("dept", "group_code").distinct(), g)
 
 
 @query("metric_order", """SELECT upc, store, key, CASE WHEN key LIKE 'E_regular%' THEN 1 WHEN key LIKE 'E_promo%' THEN 2
@@ -1066,9 +1102,9 @@ def _(spark, d):
         safe_log(F.col("retail_price"), F.col("regular_price")).alias("price_log")))
 
 
-@query("round_metrics", "SELECT p_partkey, round(p_retailprice::DECIMAL(18,4), 1)::DOUBLE AS price FROM part")
+@query("round_metrics", "SELECT p_partkey, round(p_retailprice/7, 2) AS price FROM part")
 def _(spark, d):
-    return tables.read_table(spark, d, "part").select("p_partkey", F.round("p_retailprice", 1).alias("price"))
+    return tables.read_table(spark, d, "part").select("p_partkey", metric_round(F.col("p_retailprice") / 7).alias("price"))
 
 
 @query("multiplier", """SELECT upc, store, yr_wk, """ + rnd(
@@ -1154,12 +1190,13 @@ def _(spark, d):
     return E.elasticity_metrics(panel(spark, d))
 
 
-@query("elasticity_map", """SELECT upc, store, count(*)::INTEGER AS n_metrics, sum(weeks)::BIGINT AS weeks
+@query("elasticity_map", """SELECT upc, store, string_agg(key || '=' || printf('%.2f', round(value, 2)) || '/' || weeks, ' ' ORDER BY key) AS metrics
   FROM labelled GROUP BY 1, 2""", labelled=LABELLED)
 def _(spark, d):
     rows = E.metrics_map(E.elasticity_metrics(panel(spark, d)))
-    weeks = F.aggregate(F.map_values("metrics"), F.lit(0).cast("bigint"), lambda a, m: a + m["weeks"])
-    return rows.select("upc", "store", F.size("metrics").alias("n_metrics"), weeks.alias("weeks"))
+    entries = F.transform(F.array_sort(F.map_keys("metrics")), lambda k: F.format_string(
+        "%s=%.2f/%d", k, F.element_at("metrics", k)["value"], F.element_at("metrics", k)["weeks"]))
+    return rows.select("upc", "store", F.array_join(entries, " ").alias("metrics"))
 
 
 CLEAN_COLS = ("qty", "sales", "modelled_qty", "regular_price", "live_price", "transactions", *DEPTHS)

@@ -14,13 +14,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["beta_regularized", "f_upper_tail", "log_gamma", "t_two_sided"]
+__all__ = ["beta_regularized", "f_upper_tail", "log_gamma", "normal_two_sided_p", "t_two_sided"]
 
 # --- fixed values: shift and coefficients of Stirling's series, steps of the fraction, its smallest divisor ---
 SHIFT = 8
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 STEPS = 300
 TINY = 1e-300
+FAR = 12.0  # standard deviations beyond which a normal tail is 0 here
 # --- end of fixed values ---
 
 
@@ -71,6 +72,16 @@ def f_upper_tail(f: Column, d1: Column, d2: Column) -> Column:
         beta_regularized(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)))
 
 
+def normal_two_sided_p(z: Column) -> Column:
+    """P(|Z| >= |z|) of the normal distribution, to about 1e-15: one less the series of the lower incomplete gamma function."""
+    x = z * z / 2
+    step = lambda s, n: F.struct((s["sum"] + s["term"] * x / (n + 0.5)).alias("sum"), (s["term"] * x / (n + 0.5)).alias("term"))
+    start = F.struct(F.lit(2.0).alias("sum"), F.lit(2.0).alias("term"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["sum"])
+    inside = 1 - series * F.exp(-x) * F.sqrt(x) / math.sqrt(math.pi)
+    return F.when(F.abs(z) >= FAR, F.lit(0.0)).otherwise(F.greatest(inside, F.lit(0.0)))
+
+
 def t_two_sided(t: Column, dof: Column) -> Column:
     """P(|T| >= |t|) of Student's distribution."""
     t, dof = t.cast("double"), dof.cast("double")

@@ -13,7 +13,7 @@ from ..params import EPSILON, METRIC_DECIMALS
 __all__ = [
     "active_promos", "any_nonzero", "any_positive", "clamp_nonneg", "clean_name",
     "half_up", "in_weeks", "metric_round", "multiplier",
-    "normal_two_sided_p", "parse_quoted_list", "percent_text", "promo_class", "quoted_list",
+    "parse_quoted_list", "percent_text", "promo_class", "quoted_list",
     "ratio_or_null", "safe_log", "to_number", "units_text",
 ]
 
@@ -111,19 +111,6 @@ def units_text(value: Column) -> Column:
     return F.format_string("%.0f", value)
 
 
-def normal_two_sided_p(z: Column) -> Column:
-    """Two-sided normal tail probability.
-
-    Spark has no erf: this is the rational approximation 26.2.17 of Abramowitz
-    and Stegun (absolute error below 7.5e-8).
-    """
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (
-        1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return 2 * (F.exp(-x * x / 2) / 2.5066282746310002) * poly
-
-
 def clean_name(name: str, table_prefix: str | None = None) -> str:
     """Column name without its table prefix, dots as underscores, lower case."""
     if table_prefix and name.lower().startswith(table_prefix.lower() + "."):

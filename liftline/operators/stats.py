@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio_or_null
@@ -32,6 +33,15 @@ def row_counts(raw: DataFrame, clean_condition) -> DataFrame:
         F.count(F.when(clean_condition, 1)).alias("rows_after"))
 
 
+def counted_cleaning(raw: DataFrame, clean_condition: Column) -> tuple[DataFrame, Observation]:
+    """The clean rows, and an observation that holds rows_before and rows_after once a job has run over them: counts for
+    a report without a pass of their own."""
+    seen = Observation(f"cleaning_{uuid.uuid4().hex}")
+    kept = F.coalesce(clean_condition, F.lit(False))
+    counted = raw.observe(seen, F.count(F.lit(1)).alias("rows_before"), F.count_if(kept).alias("rows_after"))
+    return counted.filter(kept), seen
+
+
 def mode_nonzero(df: DataFrame, keys: Iterable[str], column: str) -> DataFrame:
     """Commonest non-zero value per key, the smallest on a tie; 0 where all are 0."""
     value = F.when(F.col(column) != 0, F.col(column))

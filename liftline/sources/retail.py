@@ -48,6 +48,14 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add("start_date", 6).alias("end_date"))
 
 
+def calendar_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calendar as a plan that reads the lines' days when it runs, for jobs that use it once."""
+    span = read_table(spark, sf_dir, "lineitem").agg(
+        _monday(F.min("l_shipdate")).alias("lo"), _monday(F.max("l_shipdate")).alias("hi")).filter("lo IS NOT NULL")
+    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("start_date"))
+    return days.select(iso_week(F.col("start_date")).alias(WEEK), "start_date", F.date_add("start_date", 6).alias("end_date"))
+
+
 def line_days(week_lo: int, week_hi: int) -> tuple[date, date]:
     """First day and the day after the last of the lines that decide the panel's weeks from week_lo to week_hi.
 

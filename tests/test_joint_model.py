@@ -282,3 +282,37 @@ def test_back_test_equals_a_run_on_the_earlier_weeks(group_rows, weeks):
         assert errors[d]["forecast_wmape"] == pytest.approx(sum(abs(f - a) for f, a in mine) / sum(a for _, a in mine))
         assert errors[d]["forecast_mape"] == pytest.approx(np.mean([abs(f - a) / a for f, a in mine if a > 0]))
         assert errors[d]["n_forecasts"] == 2 * horizon
+
+
+# --- the job --------------------------------------------------------------------------------
+
+
+def test_job_writes_frames_of_chosen_groups(spark, tmp_path):
+    from liftline.plans import job as J
+
+    w = Q.window(spark, SF)
+    one = F.col("target_group") == "Brand#11"
+    inputs = Q.job_inputs(spark, SF)
+    inputs = J.JobInputs(inputs.panel, inputs.cal, {k: e.filter(one) for k, e in inputs.edges.items()}, inputs.allowed_lags, params=Q.PARAMS)
+    counts = {r["frame"]: r["rows"] for r in J.run_job(inputs, w, str(tmp_path)).collect()}
+    assert tuple(counts) == J.FRAMES
+    read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in J.FRAMES}
+    assert {n: f.count() for n, f in read.items()} == counts
+    past = inputs.panel.filter(F.col("yr_wk").between(w.start, w.end))
+    ahead = inputs.panel.filter(F.col("yr_wk").between(w.forecast_start, w.forecast_end) & (F.col("flyer_flag") == 1))
+    now = past.filter((F.col("yr_wk") == w.end) & (F.greatest("flyer_flag", "cpp_flag", "digest_flag", "digital_flag") > 0))
+    targets = {r["group_code"] for r in ahead.select("group_code").distinct().collect()}
+    wanted = targets | {r["group_code"] for r in now.select("group_code").distinct().collect()} | {"Brand#11"}
+    named = {n: {r["group_code"] for r in f.select("group_code").distinct().collect()} for n, f in read.items()}
+    known = {r["group_code"] for r in past.select("group_code").distinct().collect()}
+    assert named["results"] == named["fit_log"] == named["insights"] >= wanted & known and named["forecast"] == targets & known
+    assert len(known) > len(wanted & known) or named["results"] == known
+    assert named["cann"] <= {"Brand#11"} and named["halo"] <= {"Brand#11"} and counts["cann"] + counts["halo"] > 0
+    assert {r["scorecard_wk"] for f in read.values() for r in f.select("scorecard_wk").distinct().collect()} == {w.end}
+    log = read["fit_log"].filter("forecast_wmape IS NOT NULL AND p_value BETWEEN 0 AND 1")
+    assert log.count() > 0 and read["results"].filter("is_forecast <> 0").count() == 0
+
+
+def test_job_of_one_department(spark):
+    frames = Q.J.job_frames(Q.job_inputs(spark, SF), Q.window(spark, SF), [3])
+    assert {r["dept"] for n in ("results", "forecast", "insights") for r in frames[n].select("dept").distinct().collect()} == {3}

@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,50 @@ def test_write_keeps_other_partitions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "e")).columns == ["x"]
 
 
+def test_empty_partitioned_frame_can_be_read(spark, tmp_path):
+    path, one = str(tmp_path / "none"), spark.createDataFrame([(1, 7, "a")], "dept int, scorecard_wk int, x string")
+    rows = sink.write_frames({"none": one.limit(0), "some": one}, str(tmp_path))
+    assert rows == {"none": 0, "some": 1}
+    back = sink.read_frame(spark, path, one.schema)
+    assert back.count() == 0 and back.schema == one.schema
+    assert sink.read_frame(spark, str(tmp_path / "some"), one.schema).collect() == one.collect()
+    # a target is emptied whatever its partitions, and takes rows again
+    sink.truncate_target(spark, one, str(tmp_path / "some"))
+    assert sink.read_frame(spark, str(tmp_path / "some"), one.schema).count() == 0
+    sink.write_frame(one, str(tmp_path / "some"))
+    assert sink.read_frame(spark, str(tmp_path / "some"), one.schema).count() == 1
+
+
+def test_counts_come_from_the_run_that_writes(spark, tmp_path):
+    clean, seen = S.counted_cleaning(spark.range(10).withColumn("ok", F.when(F.col("id") < 9, F.col("id") > 2)), F.col("ok"))
+    sink.write_frame(clean, str(tmp_path / "clean"), ())
+    assert seen.get == {"rows_before": 10, "rows_after": 6} and spark.read.parquet(str(tmp_path / "clean")).count() == 6
+
+
+def test_calendar_as_a_plan(spark):
+    from liftline.sources import retail
+    lazy, fetched = (f(spark, SF).orderBy("yr_wk").collect() for f in (retail.calendar_plan, retail.calendar))
+    assert lazy == fetched and "lineitem" in plan_of(retail.calendar_plan(spark, SF))
+
+
+def test_package_is_shipped_with_its_functions(tmp_path):
+    """A job started from another folder: Python workers do not find the package on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from liftline.plans import levels
+from liftline.operators import gram
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = spark.range(1, 81).selectExpr("1 AS dept", "'G' AS group_code", "cast(id AS int) AS t", "double(if(id > 40, 30, 10)) AS modelled_qty")
+print("breaks", levels.level_shifts(rows).first()["breaks"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "breaks [40]" in out.stdout, out.stderr[-2000:]
+
+
 def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "csv")
     rows = spark.createDataFrame(
@@ -118,7 +164,8 @@ def con():
 
 FEW = ["scan_edges", "densify", "add_halo_features", "iqr_bounds", "smooth_regular_price", "promo_multipliers",
        "elasticity_metrics", "model_table", "repair_anomalies_seasonal", "promo_lift", "fit_log", "forecast",
-       "insights", "pull_forward", "association_matrix", "winsorize_outliers", "groups_of_interest"]
+       "insights", "pull_forward", "association_matrix", "winsorize_outliers", "groups_of_interest", "model_table_cross",
+       "joint_regression", "job_fit_log", "mann_kendall"]
 
 
 @pytest.mark.parametrize("name", list(Q.QUERIES) if os.environ.get("LIFTLINE_ALL") else FEW)
