@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftline import workers
@@ -60,6 +60,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
 
 
+def numbered(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """frame with `pos`: each row's place among those of equal keys, from 0. A key with very many rows is sorted and counted
+    in pieces, so no task holds it whole."""
+    ranged = checkpointed(frame.repartitionByRange(*keys, *order).withColumn("piece", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy(*keys, "piece").agg(F.count("*").alias("n")).select(*keys, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "piece").orderBy(*order))
+    placed = ranged.withColumn("inside", inside).join(pieces, [*keys, "piece"])
+    return placed.select(*frame.columns, (F.col("before") + F.col("inside") - 1).alias("pos"))
+
+
 def free_name(frame: DataFrame, name: str) -> str:
     """name, with as many underscores in front as it takes to differ from every column."""
     taken = {c.lower() for c in frame.columns}

@@ -18,7 +18,7 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
     return linked.select(F.col("conv").alias("conv_id"), "turn", "role", F.sha2("text", 256).alias("text_sha256"), "n_quoted", "to_conv", "to_turn",
-                         "by_quote", "thread_conv", F.col("thread_turn").cast("long").alias("thread_turn"))
+                         "by_quote", "thread_conv", F.col("thread_turn").cast("long").alias("thread_turn"), "depth", "position")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,24 @@
-"""Quotation linking: messages without their quotes, linked to the messages that they quote.
+"""Quotation linking: messages without their quotes, linked to the messages that they quote, in reply order.
 
 A line's quote level is the number of ">" in its prefix. Runs of lines of one level are passages; a line that announces a
 quote ("... wrote:") goes with it. Every passage of level 1 or more, and each of its lines, is normalised (case, white
 space) and hashed. The own text of every message is hashed the same way, as a whole and line by line. A quoting message
-is linked to an earlier message of its conversation with an equal hash, or else to the first message anywhere that has
-it; whole passages go before lines, outer levels before inner ones, later originals before earlier ones. A message
-without a link answers the turn before it. Conversations are then ordered by thread, depth in it, and turn.
+is linked to an earlier message of its conversation with an equal hash, or else to the first message with it in a
+conversation of a smaller id; whole passages go before lines, outer levels before inner ones, later originals before
+earlier ones. A passage under ``LEAST_CHARS`` characters tells nothing about other conversations, so it is looked for in
+its own only. A message without a link answers the turn before it, whatever its number.
+
+So every message answers one that is smaller by conversation and turn, or none: the answers are trees. Root and depth of
+every message are found by doubling: in each round a message jumps to where its goal points. A thread is a tree; its
+order is by depth, then conversation, then turn, so every message comes after the one that it answers.
 
 A text that very many messages share gives no pairs: originals are reduced to the turns of one conversation that hold
-it, of which a quoting message needs the last one before it, and to the first of all. A conversation with very many
-messages isn't gathered: the turn before is found by a join, the link by an aggregate per quoting message.
+it, of which a quoting message needs the last one before it, and to the first of all. A conversation or thread with very
+many messages isn't gathered: its places are counted in pieces.
 
 Null texts count as empty. Rows with a null conversation or turn are kept, link to nothing and are not linked to.
-Of rows that repeat conversation and turn each is kept; a link names conversation and turn. An empty table gives an
-empty result. Other columns are not looked at.
+Of rows that repeat conversation and turn each is kept; they are one message of the thread, with the best of their links. An
+empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftline.llm.components import components
-from liftline.llm.frames import checkpointed, column
+from liftline.llm.frames import checkpointed, column, numbered
 
 LEAST_CHARS = 12
 
@@ -48,14 +52,14 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def digest(text: str) -> int | None:
-    """A hash of the normalised text; none if it is too short to tell where it comes from."""
+def digest(text: str) -> tuple[int, bool] | None:
+    """A hash of the normalised text and whether it is short; none of an empty one."""
     text = normalised(text)
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63) if len(text) >= LEAST_CHARS else None
+    return (xxhash.xxh64_intdigest(text.encode()) - (1 << 63), len(text) < LEAST_CHARS) if text else None
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """Own text; (rank, hash) of quoted passages and lines, lower ranks first; hashes of own text and lines."""
+def parse(text: str) -> tuple[str, list[tuple[int, int, bool]], list[int]]:
+    """Own text; (rank, hash, short) of quoted passages and lines, lower ranks first; hashes of own text and lines."""
     lines = levels(text)
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
@@ -70,21 +74,21 @@ def parse(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
         else:
             own.append(rest)
         last = level
-    quoted: dict[int, int] = {}
+    quoted: dict[tuple[int, bool], int] = {}
     for level, parts in passages:
         for rank, piece in [(2 * level, "\n".join(parts)), *((2 * level + 1, p) for p in parts)]:
             if (h := digest(piece)) is not None:
                 quoted[h] = min(rank, quoted.get(h, rank))
     clean = "\n".join(own).strip() if passages else text
-    mine = {digest(clean), *map(digest, own)} - {None}
-    return clean, sorted((r, h) for h, r in quoted.items()), sorted(mine)
+    mine = {h[0] for h in (digest(clean), *map(digest, own)) if h}
+    return clean, sorted((r, *h) for h, r in quoted.items()), sorted(mine)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [parse(t.as_py() or "") for t in batch.column(3)]
-        quoted = [[{"rank": r, "hash": h} for r, h in x[1]] for x in rows]
-        kind = pa.list_(pa.struct([("rank", pa.int32()), ("hash", pa.int64())]))
+        quoted = [[{"rank": r, "hash": h, "short": s} for r, h, s in x[1]] for x in rows]
+        kind = pa.list_(pa.struct([("rank", pa.int32()), ("hash", pa.int64()), ("short", pa.bool_())]))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array([x[0] for x in rows], pa.string()), pa.array(quoted, kind), pa.array([x[2] for x in rows], pa.list_(pa.int64()))],
             names=["conv", "turn", "role", "text", "quoted", "own"])
@@ -92,44 +96,63 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv, turn, role, text (without quotes), n_quoted, to_conv and to_turn (the message it answers),
-    by_quote, thread_conv and thread_turn (where its chain of quotes begins)."""
+    by_quote, thread_conv and thread_turn (the root of its thread), depth in the thread, position in its order."""
     rows = messages.select(column(messages, conv_col).alias("conv"), column(messages, turn_col).alias("turn"),
                            column(messages, role_col).cast("string").alias("role"), column(messages, text_col).alias("text"))
     kinds = dict(rows.dtypes)
     parsed = rows.mapInArrow(_parse, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, text string, "
-                                     "quoted array<struct<rank: int, hash: long>>, own array<long>")
+                                     "quoted array<struct<rank: int, hash: long, short: boolean>>, own array<long>")
     known = parsed.filter("conv is not null and turn is not null")
-    quotes = checkpointed(known.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.rank", "q.hash").distinct())
+    threads = _threads(known.select("conv", "turn").distinct(), _links(known, kinds["turn"]))
+    return parsed.select("conv", "turn", "role", "text", F.size("quoted").cast("long").alias("n_quoted")).join(threads, ["conv", "turn"], "left").select(
+        "conv", "turn", "role", "text", "n_quoted", "to_conv", "to_turn", F.coalesce("by_quote", F.lit(False)).alias("by_quote"), "thread_conv",
+        "thread_turn", "depth", "position")
+
+
+def _links(known: DataFrame, turn_kind: str) -> DataFrame:
+    """conv, turn, to_conv, to_turn of the messages whose quotes are found."""
+    quotes = checkpointed(known.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.rank", "q.hash", "q.short").distinct())
     wanted = quotes.select("hash").distinct()
     # only what somebody quotes is looked for among the originals
     origins = checkpointed(known.select("conv", "turn", F.explode("own").alias("hash")).join(wanted, "hash", "left_semi").distinct())
     # within a conversation: the last original turn before the quoting one, by one window over both
-    both = origins.select("hash", "conv", "turn", F.lit(None).cast("int").alias("rank"), F.col("turn").alias("origin")).unionByName(
-        quotes.select("hash", "conv", "turn", "rank", F.lit(None).cast(kinds["turn"]).alias("origin")))
+    both = origins.select("hash", "conv", "turn", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("boolean").alias("short"), F.col("turn").alias("origin")).unionByName(
+        quotes.select("hash", "conv", "turn", "rank", "short", F.lit(None).cast(turn_kind).alias("origin")))
     before = Window.partitionBy("hash", "conv").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("to_turn", F.max("origin").over(before)).filter("rank is not null").select(
-        "hash", "conv", "turn", "rank", F.col("conv").alias("to_conv"), "to_turn")
+    near = both.withColumn("to_turn", F.max("origin").over(before)).filter("rank is not null")
     first = origins.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
     far = near.join(first, "hash", "left")
-    elsewhere = F.col("to_turn").isNull() & (F.col("first.conv") != F.col("conv"))
-    found = far.select("conv", "turn", "rank", F.when(elsewhere, F.col("first.conv")).otherwise(F.col("to_conv")).alias("to_conv"),
-                       F.when(elsewhere, F.col("first.turn")).otherwise(F.col("to_turn")).alias("to_turn"), elsewhere.alias("elsewhere"))
+    elsewhere = F.col("to_turn").isNull() & ~F.col("short") & (F.col("first.conv") < F.col("conv"))
+    found = far.select("conv", "turn", "rank", F.when(elsewhere, F.col("first.conv")).otherwise(F.col("conv")).alias("to_conv"),
+                       F.when(elsewhere, F.col("first.turn")).otherwise(F.col("to_turn")).alias("to_turn"), F.coalesce(elsewhere, F.lit(False)).alias("elsewhere"))
     found = found.filter("to_turn is not null")
     best = F.min_by(F.struct("to_conv", "to_turn"), F.struct("elsewhere", "rank", -F.col("to_turn"), "to_conv"))
-    links = checkpointed(found.groupBy("conv", "turn").agg(best.alias("to")).select("conv", "turn", "to.to_conv", "to.to_turn"))
-    node = lambda c, t: F.struct(F.col(c).alias("conv"), F.col(t).alias("turn"))
-    threads = components(links.select(node("conv", "turn").alias("a"), node("to_conv", "to_turn").alias("b")))
-    threads = threads.select(F.col("node.conv").alias("conv"), F.col("node.turn").alias("turn"), F.col("root.conv").alias("thread_conv"), F.col("root.turn").alias("thread_turn"))
-    present = known.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous")).distinct()
-    out = parsed.select("conv", "turn", "role", "text", F.size("quoted").cast("long").alias("n_quoted"))
-    out = out.join(present, ["conv", "turn"], "left").join(links, ["conv", "turn"], "left").join(threads, ["conv", "turn"], "left")
-    by_quote = F.col("to_turn").isNotNull()
-    return out.select(
-        "conv", "turn", "role", "text", "n_quoted", F.when(by_quote, F.col("to_conv")).when(F.col("previous").isNotNull(), F.col("conv")).alias("to_conv"),
-        F.when(by_quote, F.col("to_turn")).otherwise(F.col("previous")).alias("to_turn"), by_quote.alias("by_quote"),
-        F.coalesce("thread_conv", "conv").alias("thread_conv"), F.coalesce("thread_turn", F.when(F.col("conv").isNotNull(), F.lit(0))).alias("thread_turn"))
+    return checkpointed(found.groupBy("conv", "turn").agg(best.alias("to")).select("conv", "turn", "to.to_conv", "to.to_turn"))
+
+
+def _threads(turns: DataFrame, links: DataFrame) -> DataFrame:
+    """turns (conv, turn) with to_conv, to_turn, by_quote, thread_conv, thread_turn, depth, position."""
+    placed = checkpointed(numbered(turns, ["conv"], [F.col("turn")]))
+    previous = placed.select("conv", (F.col("pos") + 1).alias("pos"), F.col("turn").alias("previous"))
+    quoting = F.col("to_turn").isNotNull()
+    answers = checkpointed(placed.join(previous, ["conv", "pos"], "left").join(links, ["conv", "turn"], "left").select(
+        "conv", "turn", F.when(quoting, F.col("to_conv")).when(F.col("previous").isNotNull(), F.col("conv")).alias("to_conv"),
+        F.when(quoting, F.col("to_turn")).otherwise(F.col("previous")).alias("to_turn"), quoting.alias("by_quote")))
+    # each message's goal, how far up it is, and whether something is above it
+    own, up = F.col("to_turn").isNull(), F.struct(F.col("to_conv").alias("conv"), F.col("to_turn").alias("turn"))
+    goals = checkpointed(answers.select(
+        "conv", "turn", F.when(own, F.struct("conv", "turn")).otherwise(up).alias("goal"), F.when(own, 0).otherwise(1).cast("long").alias("depth")))
+    while True:
+        above = goals.select(F.struct("conv", "turn").alias("goal"), F.col("goal").alias("next"), F.col("depth").alias("more"))
+        moved = checkpointed(goals.join(above, "goal").select("conv", "turn", F.col("next").alias("goal"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
+        goals = moved.drop("more")
+        if moved.filter("more > 0").isEmpty():
+            break
+    rooted = goals.select("conv", "turn", F.col("goal.conv").alias("thread_conv"), F.col("goal.turn").alias("thread_turn"), "depth")
+    ordered = numbered(rooted, ["thread_conv", "thread_turn"], [F.col("depth"), F.col("conv"), F.col("turn")]).withColumnRenamed("pos", "position")
+    return answers.join(ordered, ["conv", "turn"])
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
-    """Sorted by thread, then by conversation and turn: every message after what it quotes."""
-    return linked.orderBy("thread_conv", "thread_turn", "conv", "turn")
+    """Sorted by thread and position in it: every message after the one that it answers."""
+    return linked.orderBy("thread_conv", "thread_turn", "position", "conv", "turn")

@@ -23,10 +23,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftline.llm.frames import checkpointed, column
+from liftline.llm.frames import checkpointed, column, numbered
 
 BAND, SHARD, PIECE = 512, 1 << 18, 1 << 13
 #: Bytes of merged boundary nodes that are broadcast at most.
@@ -45,20 +45,8 @@ def encoded(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "
     key = F.unhex(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256))
     turns = conversations.select(column(conversations, id_col).cast("long").alias("conv"), column(conversations, turn_col).alias("turn"), key.alias("key"),
                                  F.octet_length(text).cast("long").alias("bytes")).filter("conv is not null")
-    return numbered(turns)
-
-
-def numbered(turns: DataFrame) -> DataFrame:
-    """turns with each one's place in its conversation instead of its turn. A conversation with very many turns is
-    counted piece by piece."""
-    order = [F.col("turn").asc_nulls_first(), F.col("key")]
-    ranged = checkpointed(turns.repartitionByRange("conv", *order).withColumn("piece", F.spark_partition_id()))
-    pieces = ranged.groupBy("conv", "piece").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("conv", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("conv", "piece").orderBy(*order))
-    return ranged.withColumn("inside", inside).join(pieces, ["conv", "piece"]).select(
-        "conv", (F.col("before") + F.col("inside") - 1).alias("pos"), "key", "bytes")
+    # a conversation with very many turns is counted piece by piece
+    return numbered(turns, ["conv"], [F.col("turn").asc_nulls_first(), F.col("key")]).select("conv", "pos", "key", "bytes")
 
 
 # A shard ----------------------------------------------------------------------------------------------------------

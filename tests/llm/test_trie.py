@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftline.llm import queries, trie
+from liftline.llm.frames import numbered
 
 SCHEMA = "conv_id long, turn int, role string, text string, path string, key int"
 COLUMNS = ("conv", "depth", "parent_conv", "n_convs", "n_children", "n_leaves", "saved", "ends_sha")
@@ -82,7 +83,7 @@ def test_empty_table_and_null_ids(spark):
 def test_a_conversation_in_many_pieces_and_a_hot_ending(spark):
     turns = spark.range(3000).select(F.lit(7).cast("long").alias("conv"), F.col("id").alias("turn"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"),
                                      F.lit(1).cast("long").alias("bytes"))
-    assert [(r["pos"], r["key"]) for r in trie.numbered(turns).orderBy("pos").collect()] == [(r["turn"], r["key"]) for r in turns.orderBy("turn").collect()]
+    assert [(r["pos"], r["key"]) for r in numbered(turns, ["conv"], [F.col("turn")]).orderBy("pos").collect()] == [(r["turn"], r["key"]) for r in turns.orderBy("turn").collect()]
     ends = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).cast("long").alias("ending"), F.col("id").alias("conv"))
     got = {r["ending"]: r["sha"] for r in trie.digests(ends, piece=7).collect()}
     assert got[0] == hashlib.sha256(",".join(map(str, range(900))).encode()).hexdigest() and got[950] == hashlib.sha256(b"950").hexdigest() and len(got) == 101
