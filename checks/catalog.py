@@ -1185,6 +1185,13 @@ def _(spark, d):
     return r6(rows.select("upc", "store", "block_id", "metric", F.ln("raw_value").alias("log_value"), "weeks"))
 
 
+@query("multiplier_context", "SELECT upc, store, block_id, metric, " + rnd("ln(lift/expected) AS log_unfloored", "e_ref AS elasticity_used")
+       + " FROM emult")
+def _(spark, d):
+    rows = E.block_metrics(blocks(spark, d)).filter(F.col("unfloored").isNotNull())
+    return r6(rows.select("upc", "store", "block_id", "metric", F.ln("unfloored").alias("log_unfloored"), "elasticity_used"))
+
+
 @query("elasticity_metrics", "SELECT upc, store, key, round(value, 2) AS value, weeks FROM labelled", labelled=LABELLED)
 def _(spark, d):
     return E.elasticity_metrics(panel(spark, d))

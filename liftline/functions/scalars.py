@@ -14,7 +14,7 @@ __all__ = [
     "active_promos", "any_nonzero", "any_positive", "clamp_nonneg", "clean_name",
     "half_up", "in_weeks", "metric_round", "multiplier",
     "parse_quoted_list", "percent_text", "promo_class", "quoted_list",
-    "ratio_or_null", "safe_log", "to_number", "units_text",
+    "ratio_or_null", "raw_multiplier", "safe_log", "to_number", "units_text",
 ]
 
 
@@ -38,11 +38,17 @@ def half_up(numerator: Column, denominator: Column) -> Column:
     )
 
 
-def multiplier(lift: Column, price_ratio: Column, elasticity: Column) -> Column:
-    """max(1, lift / price_ratio ** elasticity); null when the power is unusable."""
+def raw_multiplier(lift: Column, price_ratio: Column, elasticity: Column) -> Column:
+    """lift / price_ratio ** elasticity; null when the power is unusable."""
     expected = F.pow(price_ratio, elasticity)
     usable = (expected > EPSILON) & (expected < F.lit(float("inf")))
-    return F.when(usable, F.greatest(F.lit(1.0), lift / expected))
+    return F.when(usable, lift / expected)
+
+
+def multiplier(lift: Column, price_ratio: Column, elasticity: Column) -> Column:
+    """The raw multiplier, at least 1; null when it is null."""
+    raw = raw_multiplier(lift, price_ratio, elasticity)
+    return F.when(raw.isNotNull(), F.greatest(F.lit(1.0), raw))
 
 
 def promo_class(instore: Column, flyer: Column, cpp: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metric_round, multiplier, safe_log
+from ..functions import metric_round, raw_multiplier, safe_log
 from ..operators.clean import drop_incomplete, drop_negative, effective_price, with_promo_type
 from ..params import (
     EPSILON, INSTORE_ONLY, IQR_FACTOR, MIN_BLOCK_WEEKS, MULTIPLIERS, NO_PROMO, PRICE_SMOOTHING,
@@ -169,10 +169,11 @@ def with_promo_elasticity(blocks: DataFrame) -> DataFrame:
 
 
 def with_multipliers(blocks: DataFrame) -> DataFrame:
-    """Add `e_ref` and `m_value` to blocks promoted with flyer and/or coupon.
+    """Add `e_ref`, `m_raw` and `m_value` to blocks promoted with flyer and/or coupon.
 
     `e_ref` is the last promo elasticity measured against the same reference
-    block, wherever in the series it was measured.
+    block, wherever in the series it was measured. `m_raw` is the multiplier as
+    computed, `m_value` the same floored at 1.
     """
     same_ref = Window.partitionBy(*SERIES, F.col("ref")["block_id"])
     measured = F.when(F.col("e_promo").isNotNull(), F.col("block_id"))
@@ -186,8 +187,9 @@ def with_multipliers(blocks: DataFrame) -> DataFrame:
         & F.col("avg_units").isNotNull() & ref["avg_units"].isNotNull()
         & F.col("avg_price").isNotNull() & ref["price"].isNotNull()
     )
-    return blocks.withColumn("e_ref", e_ref).withColumn(
-        "m_value", F.when(known, multiplier(lift, ratio, F.col("e_ref"))))
+    staged = blocks.withColumn("e_ref", e_ref).withColumn(
+        "m_raw", F.when(known, raw_multiplier(lift, ratio, F.col("e_ref"))))
+    return staged.withColumn("m_value", F.when(F.col("m_raw").isNotNull(), F.greatest(F.lit(1.0), F.col("m_raw"))))
 
 
 def _multiplier_key() -> Column:
@@ -203,9 +205,11 @@ def _shown(value: Column) -> Column:
 
 
 def block_metrics(blocks: DataFrame) -> DataFrame:
-    """Unlabelled metrics: (upc, store, block_id, metric, raw_value, weeks, detail).
+    """Unlabelled metrics: (upc, store, block_id, metric, raw_value, weeks, detail, unfloored, elasticity_used).
 
-    A block yields at most one metric, so this is a projection, not a union.
+    A block yields at most one metric, so this is a projection, not a union. The last
+    two are a multiplier's value before the floor and the promo elasticity it was
+    computed with; null for elasticities.
     """
     rows = with_multipliers(with_promo_elasticity(with_regular_elasticity(blocks)))
     is_regular, is_promo = F.col("e_regular").isNotNull(), F.col("e_promo").isNotNull()
@@ -221,6 +225,8 @@ def block_metrics(blocks: DataFrame) -> DataFrame:
         F.coalesce("e_regular", "e_promo", "m_value").alias("raw_value"),
         (F.col("weeks") + base["weeks"]).cast("int").alias("weeks"),
         detail.alias("detail"),
+        F.when(~is_regular & ~is_promo, F.col("m_raw")).alias("unfloored"),
+        F.when(~is_regular & ~is_promo, F.col("e_ref")).alias("elasticity_used"),
     ).filter(F.col("raw_value").isNotNull())
 
 

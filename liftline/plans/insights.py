@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import active_promos, percent_text, ratio_or_null, units_text
 from ..params import GROUP, PROMOS, RECENT_WEEKS, WEEK, keys_of
 
+# --- fixed values: columns of the insight frame; the types and metric codes below are fixed too ---
 FIELDS = ("insight_type", "promo_type", "metric", "value", "analysis", "recommendation")
+# --- end of fixed values ---
 
 
 def promo_effectiveness(history: DataFrame, promos: Iterable[str] = PROMOS) -> DataFrame:
