@@ -110,5 +110,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias(everything), column(docs, id_col).alias("k_doc"),
                          row_key(F.coalesce(column(docs, text_col), F.lit(""))).alias(row))
     joined = packed.alias("d").join(keep.alias("k"), (F.col(f"d.{row}") == F.col("k.k_row")) & F.col("d.k_doc").eqNullSafe(F.col("k.k_doc")), "left_semi")
-    first = Window.partitionBy(row, "k_doc").orderBy(F.xxhash64(everything))
+    # of rows that repeat id and text any may stay; maps have no hash, so they don't bear on which
+    hashed = [F.col(everything)[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy(row, "k_doc").orderBy(F.xxhash64(*hashed))
     return joined.withColumn("turn", F.row_number().over(first)).filter("turn = 1").select(f"{everything}.*")
