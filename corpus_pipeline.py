@@ -1,7 +1,12 @@
 """A corpus, stage by stage: toxic documents, exact copies, near copies and contaminated documents go; the rest is packed.
 
 Each stage works on all that the one before kept, written as Parquet and read again. All but the last return the
-columns of documents.
+columns of documents, other columns included, of whatever type.
+
+Null texts count as empty. Empty texts are documents like any other: they are copies of one another, so one of them
+stays. Rows with a null id are kept or dropped by their texts; of equal texts a row with an id goes before one without. Rows
+that repeat an id are told apart by their texts; of equal ones one stays. An empty table passes every stage and gives no
+pieces; without labels nothing is toxic, without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm import decontaminate, exact, packing, simhash, toxicity
-from liftline.llm.frames import table
+from liftline.llm.frames import shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder; what they hand on lies below the session's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
