@@ -1267,18 +1267,17 @@ FIT_CTES = dict(
       (n_weeks-k-1)::DOUBLE AS d2 FROM fits""")
 
 
-FIT_LOG_SQL = ("SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
-               + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "f AS f_statistic", "p AS p_value", "mape", "rmse", "trend_rmse",
-                     "forecast_wmape", "forecast_mape")
-               + "{stamp} FROM fits JOIN ftail ON id = dept::VARCHAR || '|' || group_code JOIN fcerrors USING (dept, group_code)")
+def _fit_log_sql(more: str, joined: str) -> str:
+    return ("SELECT group_code, dept, 'NATIONAL' AS region, 'Quantity sold' AS volume_status, sparsity_status, n_weeks, "
+            + rnd("r2", "1-(1-r2)*(n_weeks-1)/(n_weeks-k-1) AS adj_r2", "f AS f_statistic", "p AS p_value", "mape", "rmse", "trend_rmse",
+                  "forecast_wmape", "forecast_mape")
+            + f"{more} FROM fits JOIN ftail ON id = dept::VARCHAR || '|' || group_code {joined}")
 
 
-@query("fit_log", FIT_LOG_SQL.format(stamp=""), **FIT_CTES)
+# the job's log (job_fit_log) has the back-test's errors too
+@query("fit_log", _fit_log_sql("", "CROSS JOIN (SELECT NULL::DOUBLE AS forecast_wmape, NULL::DOUBLE AS forecast_mape)"), **FIT_CTES)
 def _(spark, d):
-    weekly = sink.shared(history_panel(spark, d))
-    rows = sink.shared(M.prepared_rows(weekly, history_calendar(spark, d), retail.pull_forward_edges(spark, d), PARAMS))
-    errors = BT.forecast_errors(BT.rolling_forecasts(rows, BT.origin_weeks(history_weeks(spark, d)), PARAMS))
-    return r6(B.fit_log(B.baseline_results(M.finish_table(rows, PARAMS)), errors))
+    return r6(B.fit_log(results(spark, d)))
 
 
 @query("rolling_forecasts", "SELECT origin, dept, group_code, yr_wk, " + rnd("forecast", "actual", digits=4) + " FROM oerrors")
@@ -1637,7 +1636,7 @@ def _(spark, d):
     return five_digits(job_frame("classes")(spark, d), PROMOTIONS)
 
 
-@query("job_fit_log", FIT_LOG_SQL.format(stamp=f", {STAMP}"), **FIT_CTES)
+@query("job_fit_log", _fit_log_sql(f", {STAMP}", "JOIN fcerrors USING (dept, group_code)"), **FIT_CTES)
 def _(spark, d):
     return r6(job_frame("fit_log")(spark, d))
 
