@@ -165,7 +165,7 @@ def con():
 FEW = ["scan_edges", "densify", "add_halo_features", "iqr_bounds", "smooth_regular_price", "promo_multipliers",
        "elasticity_metrics", "model_table", "repair_anomalies_seasonal", "promo_lift", "fit_log", "forecast",
        "insights", "pull_forward", "association_matrix", "winsorize_outliers", "groups_of_interest", "model_table_cross",
-       "joint_regression", "job_fit_log", "mann_kendall"]
+       "mann_kendall"]
 
 
 @pytest.mark.parametrize("name", list(Q.QUERIES) if os.environ.get("LIFTLINE_ALL") else FEW)
