@@ -132,25 +132,28 @@ def _links(known: DataFrame, turn_kind: str) -> DataFrame:
 
 def _threads(turns: DataFrame, links: DataFrame) -> DataFrame:
     """turns (conv, turn) with to_conv, to_turn, by_quote, thread_conv, thread_turn, depth, position."""
-    placed = checkpointed(numbered(turns, ["conv"], [F.col("turn")]))
-    previous = placed.select("conv", (F.col("pos") + 1).alias("pos"), F.col("turn").alias("previous"))
+    ranged = checkpointed(turns.repartitionByRange("conv", "turn").withColumn("piece", F.spark_partition_id()))
+    # the turn before: inside a piece of a conversation, or the last one of the piece before
+    ends = ranged.groupBy("conv", "piece").agg(F.max("turn").alias("last"))
+    ends = ends.withColumn("last", F.lag("last").over(Window.partitionBy("conv").orderBy("piece")))
+    inside = F.lag("turn").over(Window.partitionBy("conv", "piece").orderBy("turn"))
+    placed = ranged.withColumn("inside", inside).join(ends, ["conv", "piece"]).select("conv", "turn", F.coalesce("inside", "last").alias("previous"))
     quoting = F.col("to_turn").isNotNull()
-    answers = checkpointed(placed.join(previous, ["conv", "pos"], "left").join(links, ["conv", "turn"], "left").select(
+    answers = placed.join(links, ["conv", "turn"], "left").select(
         "conv", "turn", F.when(quoting, F.col("to_conv")).when(F.col("previous").isNotNull(), F.col("conv")).alias("to_conv"),
-        F.when(quoting, F.col("to_turn")).otherwise(F.col("previous")).alias("to_turn"), quoting.alias("by_quote")))
+        F.when(quoting, F.col("to_turn")).otherwise(F.col("previous")).alias("to_turn"), quoting.alias("by_quote"))
     # each message's goal, how far up it is, and whether something is above it
     own, up = F.col("to_turn").isNull(), F.struct(F.col("to_conv").alias("conv"), F.col("to_turn").alias("turn"))
-    goals = checkpointed(answers.select(
-        "conv", "turn", F.when(own, F.struct("conv", "turn")).otherwise(up).alias("goal"), F.when(own, 0).otherwise(1).cast("long").alias("depth")))
+    goals = checkpointed(answers.withColumns({"goal": F.when(own, F.struct("conv", "turn")).otherwise(up), "depth": F.when(own, 0).otherwise(1).cast("long")}))
     while True:
         above = goals.select(F.struct("conv", "turn").alias("goal"), F.col("goal").alias("next"), F.col("depth").alias("more"))
-        moved = checkpointed(goals.join(above, "goal").select("conv", "turn", F.col("next").alias("goal"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
+        moved = checkpointed(goals.join(above, "goal").select(
+            "conv", "turn", "to_conv", "to_turn", "by_quote", F.col("next").alias("goal"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
         goals = moved.drop("more")
         if moved.filter("more > 0").isEmpty():
             break
-    rooted = goals.select("conv", "turn", F.col("goal.conv").alias("thread_conv"), F.col("goal.turn").alias("thread_turn"), "depth")
-    ordered = numbered(rooted, ["thread_conv", "thread_turn"], [F.col("depth"), F.col("conv"), F.col("turn")]).withColumnRenamed("pos", "position")
-    return answers.join(ordered, ["conv", "turn"])
+    rooted = goals.select("conv", "turn", "to_conv", "to_turn", "by_quote", F.col("goal.conv").alias("thread_conv"), F.col("goal.turn").alias("thread_turn"), "depth")
+    return numbered(rooted, ["thread_conv", "thread_turn"], [F.col("depth"), F.col("conv"), F.col("turn")]).withColumnRenamed("pos", "position")
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
