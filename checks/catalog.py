@@ -1082,12 +1082,15 @@ def _(spark, d):
     return G.union_frames(first, future_panel(spark, d).drop("qty"))
 
 
-@query("bind_rows", """SELECT dept, group_code, focus_group, promo, 'halo' AS kind FROM (SELECT target_dept AS dept, target_group AS group_code,
-  focus_group, unnest(promos) AS promo FROM halo_edges) UNION ALL SELECT target_dept, target_group, focus_group, unnest(promos), 'cann' FROM cann_edges""")
-def _(spark, d):
-    parts = [tables.scan_edges(e).select(F.col("target_dept").alias("dept"), F.col("target_group").alias("group_code"), "focus_group",
-                                         F.explode("promos").alias("promo"), F.lit(k).alias("kind")) for k, e in both_edges(spark, d).items()]
-    return G.union_frames(*parts)
+@query("bind_rows", """SELECT dept, group_code, yr_wk, NULL AS focus_group, NULL AS promo, 'halo' AS kind FROM hpanel
+  UNION ALL SELECT dept, group_code, yr_wk, NULL, NULL, 'cann' FROM hpanel
+  UNION ALL SELECT target_dept, target_group, NULL, focus_group, unnest(promos), 'halo' FROM halo_edges
+  UNION ALL SELECT target_dept, target_group, NULL, focus_group, unnest(promos), 'cann' FROM cann_edges""")
+def _(spark, d):
+    related = [tables.scan_edges(e).select(F.col("target_dept").alias("dept"), F.col("target_group").alias("group_code"), F.lit(None).cast("int").alias("yr_wk"),
+                                           "focus_group", F.explode("promos").alias("promo"), F.lit(k).alias("kind")) for k, e in both_edges(spark, d).items()]
+    weekly = history_panel(spark, d).select("dept", "group_code", "yr_wk")
+    return G.union_frames(*related, *[weekly.withColumn("kind", F.lit(k)) for k in ("halo", "cann")])
 
 
 # --- scalar functions ---------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import os
 import re
 import subprocess
 import sys
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ def test_package_is_shipped_with_its_functions(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     script = f"""
 import sys
+from datetime import datetime, timedelta
 sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
 from liftline.plans import levels
@@ -176,3 +178,18 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(Q.ORACLE) <= set(Q.QUERIES)
+
+
+def test_bind_rows_holds_the_weeks_of_all_departments(spark, tmp_path):
+    brands = range(1, 8)
+    spark.createDataFrame([(k, f"Brand#{k}") for k in brands], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(k, 1, 2.0, 20.0, 0.1, "N", "O", datetime(2024, 1, 1) + timedelta(weeks=w)) for k in brands for w in range(20)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
+                                 "l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = Q.QUERIES["bind_rows"](spark, str(tmp_path)).collect()
+    weeks = sorted({r["yr_wk"] for r in rows if r["yr_wk"]})
+    assert weeks and max(weeks) < 202420  # the last weeks are the horizon
+    for kind in ("halo", "cann"):
+        weekly = [(r["dept"], r["group_code"], r["yr_wk"]) for r in rows if r["kind"] == kind and r["yr_wk"]]
+        assert sorted(weekly) == sorted((k % 5, f"Brand#{k}", w) for k in brands for w in weeks)
+        assert {r["focus_group"] for r in rows if r["kind"] == kind and r["promo"]} == {f"Brand#{k}" for k in brands}
