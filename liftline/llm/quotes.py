@@ -8,13 +8,18 @@ conversation of a smaller id; whole passages go before lines, outer levels befor
 earlier ones. A passage under ``LEAST_CHARS`` characters tells nothing about other conversations, so it is looked for in
 its own only. A message without a link answers the turn before it, whatever its number.
 
-So every message answers one that is smaller by conversation and turn, or none: the answers are trees. Root and depth of
-every message are found by doubling: in each round a message jumps to where its goal points. A thread is a tree; its
-order is by depth, then conversation, then turn, so every message comes after the one that it answers.
+So every message answers one that is smaller by conversation and turn, or none: the answers are trees. A conversation falls
+into runs: a first or quoting message and those after it that answer the turn before. Root and depth of every run are found
+by doubling: in each round a run jumps to where its goal points. A thread is a tree; its order is by depth, then
+conversation, then turn, so every message comes after the one that it answers.
+
+Intermediate frames are stored, not checkpointed by `frames.checkpointed`: that drops an execution's shuffles when it ends.
+Adaptive execution doesn't wait for stages that it started and then finds needless, as the other side of a join is empty;
+their tasks would wait for the dropped shuffles until a time limit, holding cores.
 
 A text that very many messages share gives no pairs: originals are reduced to the turns of one conversation that hold
 it, of which a quoting message needs the last one before it, and to the first of all. A conversation or thread with very
-many messages isn't gathered: its places are counted in pieces.
+many messages isn't gathered: runs and places are counted in pieces of all messages.
 
 Null texts count as empty. Rows with a null conversation or turn are kept, link to nothing and are not linked to.
 Of rows that repeat conversation and turn each is kept; they are one message of the thread, with the best of their links. An
@@ -28,10 +33,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftline.llm.frames import checkpointed, column, numbered
+from liftline.llm.frames import column, stored
 
 LEAST_CHARS = 12
 
@@ -102,22 +107,23 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     kinds = dict(rows.dtypes)
     parsed = rows.mapInArrow(_parse, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, text string, "
                                      "quoted array<struct<rank: int, hash: long, short: boolean>>, own array<long>")
-    known = parsed.filter("conv is not null and turn is not null")
-    threads = _threads(known.select("conv", "turn").distinct(), _links(known, kinds["turn"]))
+    valid = "conv is not null and turn is not null"
+    links = _links(stored(parsed.filter(valid).select("conv", "turn", "quoted", "own")), kinds["turn"])
+    threads = _threads(rows.filter(valid).select("conv", "turn"), links)
     return parsed.select("conv", "turn", "role", "text", F.size("quoted").cast("long").alias("n_quoted")).join(threads, ["conv", "turn"], "left").select(
         "conv", "turn", "role", "text", "n_quoted", "to_conv", "to_turn", F.coalesce("by_quote", F.lit(False)).alias("by_quote"), "thread_conv",
         "thread_turn", "depth", "position")
 
 
 def _links(known: DataFrame, turn_kind: str) -> DataFrame:
-    """conv, turn, to_conv, to_turn of the messages whose quotes are found."""
-    quotes = checkpointed(known.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.rank", "q.hash", "q.short").distinct())
+    """conv, turn, to (conv, turn) and its order among the message's links, smallest first: every found quote."""
+    quotes = known.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.rank", "q.hash", "q.short")
     wanted = quotes.select("hash").distinct()
     # only what somebody quotes is looked for among the originals
-    origins = checkpointed(known.select("conv", "turn", F.explode("own").alias("hash")).join(wanted, "hash", "left_semi").distinct())
+    origins = stored(known.select("conv", "turn", F.explode("own").alias("hash")).join(wanted, "hash", "left_semi").distinct())
     # within a conversation: the last original turn before the quoting one, by one window over both
     both = origins.select("hash", "conv", "turn", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("boolean").alias("short"), F.col("turn").alias("origin")).unionByName(
-        quotes.select("hash", "conv", "turn", "rank", "short", F.lit(None).cast(turn_kind).alias("origin")))
+        quotes.select("hash", "conv", "turn", "rank", "short", F.lit(None).cast(turn_kind).alias("origin")).distinct())
     before = Window.partitionBy("hash", "conv").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("to_turn", F.max("origin").over(before)).filter("rank is not null")
     first = origins.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
@@ -125,35 +131,65 @@ def _links(known: DataFrame, turn_kind: str) -> DataFrame:
     elsewhere = F.col("to_turn").isNull() & ~F.col("short") & (F.col("first.conv") < F.col("conv"))
     found = far.select("conv", "turn", "rank", F.when(elsewhere, F.col("first.conv")).otherwise(F.col("conv")).alias("to_conv"),
                        F.when(elsewhere, F.col("first.turn")).otherwise(F.col("to_turn")).alias("to_turn"), F.coalesce(elsewhere, F.lit(False)).alias("elsewhere"))
-    found = found.filter("to_turn is not null")
-    best = F.min_by(F.struct("to_conv", "to_turn"), F.struct("elsewhere", "rank", -F.col("to_turn"), "to_conv"))
-    return checkpointed(found.groupBy("conv", "turn").agg(best.alias("to")).select("conv", "turn", "to.to_conv", "to.to_turn"))
+    return found.filter("to_turn is not null").select("conv", "turn", F.struct(F.col("to_conv").alias("conv"), F.col("to_turn").alias("turn")).alias("to"),
+                                                      F.struct("elsewhere", "rank", -F.col("to_turn"), "to_conv").alias("order"))
 
 
 def _threads(turns: DataFrame, links: DataFrame) -> DataFrame:
     """turns (conv, turn) with to_conv, to_turn, by_quote, thread_conv, thread_turn, depth, position."""
-    ranged = checkpointed(turns.repartitionByRange("conv", "turn").withColumn("piece", F.spark_partition_id()))
-    # the turn before: inside a piece of a conversation, or the last one of the piece before
-    ends = ranged.groupBy("conv", "piece").agg(F.max("turn").alias("last"))
-    ends = ends.withColumn("last", F.lag("last").over(Window.partitionBy("conv").orderBy("piece")))
-    inside = F.lag("turn").over(Window.partitionBy("conv", "piece").orderBy("turn"))
-    placed = ranged.withColumn("inside", inside).join(ends, ["conv", "piece"]).select("conv", "turn", F.coalesce("inside", "last").alias("previous"))
-    quoting = F.col("to_turn").isNotNull()
-    answers = placed.join(links, ["conv", "turn"], "left").select(
-        "conv", "turn", F.when(quoting, F.col("to_conv")).when(F.col("previous").isNotNull(), F.col("conv")).alias("to_conv"),
-        F.when(quoting, F.col("to_turn")).otherwise(F.col("previous")).alias("to_turn"), quoting.alias("by_quote"))
-    # each message's goal, how far up it is, and whether something is above it
-    own, up = F.col("to_turn").isNull(), F.struct(F.col("to_conv").alias("conv"), F.col("to_turn").alias("turn"))
-    goals = checkpointed(answers.withColumns({"goal": F.when(own, F.struct("conv", "turn")).otherwise(up), "depth": F.when(own, 0).otherwise(1).cast("long")}))
-    while True:
-        above = goals.select(F.struct("conv", "turn").alias("goal"), F.col("goal").alias("next"), F.col("depth").alias("more"))
-        moved = checkpointed(goals.join(above, "goal").select(
-            "conv", "turn", "to_conv", "to_turn", "by_quote", F.col("next").alias("goal"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
-        goals = moved.drop("more")
-        if moved.filter("more > 0").isEmpty():
-            break
-    rooted = goals.select("conv", "turn", "to_conv", "to_turn", "by_quote", F.col("goal.conv").alias("thread_conv"), F.col("goal.turn").alias("thread_turn"), "depth")
-    return numbered(rooted, ["thread_conv", "thread_turn"], [F.col("depth"), F.col("conv"), F.col("turn")]).withColumnRenamed("pos", "position")
+    dealt = _dealt(turns.unionByName(links, allowMissingColumns=True), ["conv", "turn"])
+    messages = stored(dealt.groupBy("conv", "turn", "piece").agg(F.min_by("to", "order").alias("to")))
+    quoting, later = F.col("to").isNotNull(), F.col("place") > F.col("opened.place")
+    answers = stored(_runs(messages, ["conv"], ["conv", "turn"], quoting).select(
+        "conv", "turn", F.when(quoting, F.col("to.conv")).when(later, F.col("conv")).alias("to_conv"),
+        F.when(quoting, F.col("to.turn")).when(later, F.col("prior.turn")).alias("to_turn"), quoting.alias("by_quote"),
+        F.col("opened.place").alias("run"), F.col("opened.turn").alias("run_turn"), (F.col("place") - F.col("opened.place")).alias("since")))
+    # of each run that a quote opens: the run that it points into, how far up that one's first message is, and whether it may point on
+    goals = answers.select(F.col("conv").alias("to_conv"), F.col("turn").alias("to_turn"), F.col("run").alias("goal"), F.col("run_turn").alias("goal_turn"), "since")
+    ups = stored(answers.filter("by_quote").select("run", "to_conv", "to_turn").join(goals, ["to_conv", "to_turn"]).select(
+        "run", "goal", F.col("to_conv").alias("goal_conv"), "goal_turn", (F.col("since") + 1).alias("up"), F.lit(True).alias("moved")))
+    while not ups.filter("moved").isEmpty():
+        above = ups.select(F.col("run").alias("goal"), F.struct("goal", "goal_conv", "goal_turn", "up").alias("next"))
+        on = F.col("next").isNotNull()
+        ups = stored(ups.join(above, "goal", "left").select(
+            "run", *[F.when(on, F.col(f"next.{c}")).otherwise(F.col(c)).alias(c) for c in ("goal", "goal_conv", "goal_turn")],
+            (F.col("up") + F.coalesce("next.up", F.lit(0))).alias("up"), on.alias("moved")))
+    rooted = answers.join(ups, "run", "left").select(
+        "conv", "turn", "to_conv", "to_turn", "by_quote", F.coalesce("goal_conv", "conv").alias("thread_conv"), F.coalesce("goal_turn", "run_turn").alias("thread_turn"),
+        (F.col("since") + F.coalesce("up", F.lit(0))).alias("depth"))
+    thread, order = ["thread_conv", "thread_turn"], ["thread_conv", "thread_turn", "depth", "conv", "turn"]
+    return _runs(stored(_dealt(rooted, order)), thread, order, F.lit(False)).select(*rooted.columns, (F.col("place") - F.col("opened.place")).alias("position"))
+
+
+def _dealt(frame: DataFrame, order: list[str]) -> DataFrame:
+    """frame in ranges of the order, with `piece`, the number of each row's range."""
+    return frame.repartitionByRange(*order).withColumn("piece", F.spark_partition_id())
+
+
+def _runs(frame: DataFrame, keys: list[str], order: list[str], opens: Column) -> DataFrame:
+    """frame, dealt and stored, with `place` (from 1, over all rows), `prior` (the row before) and `opened` (place and turn of
+    the row that opens its run). A run opens where `opens` holds and where the keys change; keys are the first of order.
+
+    Rows are counted in pieces, whatever their keys; what goes from piece to piece is one row for each piece.
+    """
+    inside, pieces = Window.partitionBy("piece").orderBy(*order), Window.orderBy("piece")
+    row, key = F.struct(*order), F.struct(*keys)
+    rows = frame.withColumns({"inner": F.row_number().over(inside).cast("long"), "prior": F.lag(row).over(inside), "_opens": opens | (F.lag(key).over(inside) != key)})
+    rows = rows.withColumn("opened", F.max(F.when(F.col("_opens"), F.struct(F.col("inner").alias("place"), "turn"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("piece").agg(F.count("*").alias("n"), F.max("opened").alias("opened"), F.min(row).alias("first"), F.max(row).alias("last"))
+    earlier = pieces.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "end": F.lag("last").over(pieces)})
+    changed = F.col("end").isNull() | (F.struct(*[f"end.{k}" for k in keys]) != F.struct(*[f"first.{k}" for k in keys]))
+
+    def opened(place: Column, turn: str) -> Column:
+        return F.struct((F.col("before") + place).alias("place"), F.col(turn).alias("turn"))
+
+    ends = ends.withColumn("new", F.when(changed, opened(F.lit(1), "first.turn")))
+    known = F.coalesce(F.when(F.col("opened").isNotNull(), opened(F.col("opened.place"), "opened.turn")), "new")
+    ends = ends.withColumn("known", known).select("piece", "before", "end", F.coalesce("new", F.last("known", ignorenulls=True).over(earlier)).alias("carried"))
+    mine = F.when(F.col("opened").isNotNull(), opened(F.col("opened.place"), "opened.turn")).otherwise(F.col("carried"))
+    return rows.join(F.broadcast(ends), "piece").select(
+        *[c for c in frame.columns if c != "piece"], (F.col("before") + F.col("inner")).alias("place"), F.coalesce("prior", "end").alias("prior"), mine.alias("opened"))
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:

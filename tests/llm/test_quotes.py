@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -98,3 +103,52 @@ def test_a_gap_and_a_branch(spark):
     assert got == {0: (None, 0, 0, False), 1: (0, 1, 1, False), 2: (1, 2, 2, False), 3: (1, 2, 3, True), 5: (3, 3, 4, False), 6: (3, 3, 5, True)}
     assert [r["turn"] for r in quotes.in_reply_order(linked).collect()] == [0, 1, 2, 3, 5, 6]
     assert quotes.link_quotes(frame.limit(0)).count() == 0
+
+
+def test_conversations_over_several_pieces(spark):
+    rng = random.Random(5)
+    rows = threads(3, 30, 10) + [(950, t, "user", f"> long chain {rng.randrange(70)}\nanswer {t}" if t % 9 == 4 else f"> answer {t - 9}" if t % 9 == 6 else f"said {t}", 1)
+                                 for t in range(90)]
+    wanted = brute(rows)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "11"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        messages = spark.createDataFrame(rows, SCHEMA)
+        pieces = quotes._dealt(messages.filter("conv_id = 950"), ["conv_id", "turn"]).select("piece").distinct().count()
+        got = {(r["conv"], r["turn"]): ((r["to_conv"], r["to_turn"]) if r["to_conv"] is not None else None, r["by_quote"], (r["thread_conv"], r["thread_turn"]), r["depth"], r["position"])
+               for r in quotes.link_quotes(messages).collect() if r["conv"] is not None and r["turn"] is not None}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert pieces > 5 and got == wanted
+
+
+CLUSTER = """
+import sys, time
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[2])
+from liftline.llm import quotes
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config(map={
+    "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "4", "spark.executor.memory": "1g",
+    "spark.checkpoint.dir": "file://" + sys.argv[1] + "/shared", "spark.sql.warehouse.dir": sys.argv[1] + "/tables"}).getOrCreate()
+rows = spark.createDataFrame([(c, t, "user", f"message {c} {t}") for c in range(40) for t in range(5)], "conv_id long, turn int, role string, text string")
+for n in range(2):
+    quotes.link_quotes(rows).write.parquet(f"{sys.argv[1]}/out{n}")
+end = time.time() + 10
+while (left := spark.sparkContext.statusTracker().getActiveStageIds()) and time.time() < end:
+    time.sleep(0.2)
+print("left", list(left), flush=True)
+"""
+
+
+def test_no_stage_outlives_its_query(tmp_path):
+    """Executors of their own, no quotes: stages that a query has left behind would hold cores until a time limit."""
+    for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():  # executors work below Spark's home
+        if p.name != "work":
+            (tmp_path / "home").mkdir(exist_ok=True)
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13"}
+    done = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path), str(Path(__file__).resolve().parents[2])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split("\n")[-2:] == ["left []", ""], done.stdout + done.stderr[-2000:]
